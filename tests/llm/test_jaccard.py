@@ -29,7 +29,7 @@ def brute(rows, k=3, num=90, den=100):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-def corpus(seed, n_base=25, copies=12):
+def corpus(seed, n_base=12, copies=10):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(300)]
     passage = [rng.choice(vocab) for _ in range(60)]

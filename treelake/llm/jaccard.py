@@ -11,9 +11,10 @@ differ by the threshold at most). Each cell becomes a Voronoi region around its
 document; distances to that pivot are exact. Whoever lies within the radius links to
 it. The rest goes on: a document at distance e from the pivot can only link to documents at
 e +- radius (triangle inequality), so the region shrinks to that window, and is joined in one
-task if it is small, or is cut again by pivots of its own, with documents replicated into every
-region whose pivot is at most 2 radii farther than the nearest. Pivots are compared with
-their whole region and then leave it, so the recursion ends, and no pair is lost.
+task if it is small. Of a larger one only pairs of different components matter by now: it is cut
+again by pivots from outside its main component, with documents replicated into every region whose pivot
+is at most 2 radii farther than the nearest. Where this separates little, blocks of the documents outside
+the main component meet blocks of the region. No pair is lost, and no task holds a region that is large.
 """
 
 from __future__ import annotations
@@ -23,44 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast
 from .components import components
+from .words import M1, M2, Words, mix
 
-WORDS_KEPT = 1_000_000  # entries of a worker's word cache before it starts anew
 SMALL_DOCS, SMALL_SHINGLES = 512, 2_000_000  # a region of at most this size is joined in one task
 PIVOTS = 8  # new pivots of a region that is larger
-M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit moves every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * M2
-    x = (x ^ (x >> np.uint64(27))) * M3
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, words: WordHashes, k: int) -> np.ndarray:
+def shingle_set(text: str | None, words: Words, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one shingle, none an empty set."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    h = words(text)
+    if not len(h):
+        return h
     k = min(k, len(h))
     s = h[: len(h) - k + 1] * M1
-    for i in range(1, k):
-        s = mix(s + np.uint64(i)) + h[i : len(h) - k + 1 + i] * M1
+    for i in range(1, k):  # an odd factor for each place keeps the order
+        s += h[i : len(h) - k + 1 + i] * np.uint64(pow(int(M1), i + 1, 1 << 64))
     return np.unique(mix(s + np.uint64(k)))
 
 
@@ -93,8 +76,7 @@ class Classes:
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """One 64-bit pivot name for each part of each class that the set belongs to."""
-        own = mix(s ^ np.uint64(0x5851F42D4C957F2D))
-        low, high = (own & np.uint64(0xFFFFFFFF)).astype(np.float64), (own >> np.uint64(32)).astype(np.float64)
+        low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64)
         out = []
         for c in self.classes(len(s)):
             m, slack = self.parts(c)
@@ -114,7 +96,7 @@ def _signature_rows(k: int, num: int, den: int):
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes, seen = WordHashes(), Classes(num, den), {}
+        words, classes, seen = Words(), Classes(num, den), {}
         for batch in batches:
             kinds, left, right, held = [], [], [], 0
 
@@ -145,7 +127,7 @@ def _signature_rows(k: int, num: int, den: int):
 
 def _set_rows(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = Words()
         for batch in batches:
             docs, sets, held = [], [], 0
 
@@ -212,34 +194,73 @@ def _window(met: DataFrame, radius: int) -> DataFrame:
     return met.join(far, "region").where(F.col("d") >= F.col("far") - radius).select("region", "doc", "n")
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def _in_tasks(groups: DataFrame, sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    rows = groups.join(sets, "doc").select(*keys, "doc", "shingles")
+    return cut(rows.groupBy(*keys).applyInPandas(_small_region(num, den), "a long, b long"))
+
+
+def _unjoined(large: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Marks as odd the documents of a region outside its most frequent component so far; drops regions of one component."""
+    joined = components(_union(links), "a", "b").withColumnRenamed("node", "doc")
+    of = cut(large.join(joined, "doc", "left").select("region", "doc", "n", F.coalesce("component", "doc").alias("component")))
+    most = of.groupBy("region", "component").agg(F.count("*").alias("rows")).groupBy("region").agg(F.max_by("component", F.struct("rows", "component")).alias("most"), F.count("*").alias("parts"))
+    return cut(of.join(most.where("parts > 1"), "region").select("region", "doc", "n", (F.col("component") != F.col("most")).alias("odd")))
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Cuts regions into blocks that fit in a task, and pairs each block of odd documents with each block of the region.
+
+    Pairs within the most frequent component are linked already; all others have an odd member and so meet in some task.
+    """
+    limit = F.greatest(F.ceil(F.sum("n") / (SMALL_SHINGLES // 2)), F.ceil(F.count("*") / (SMALL_DOCS // 2)))
+    whole = rest.groupBy("region").agg(limit.alias("all_blocks"))
+    odd = rest.where("odd").groupBy("region").agg(limit.alias("odd_blocks"))
+    both = rest.join(whole.join(odd, "region"), "region")
+    h = F.xxhash64(F.lit(3), "doc")
+    a = both.select("region", F.pmod(h, F.col("all_blocks")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("y"), "doc")
+    b = both.where("odd").select("region", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("x"), F.pmod(h, F.col("odd_blocks")).alias("y"), "doc")
+    return a.union(b).distinct()
+
+
 def _recurse(met: DataFrame, sets: DataFrame, num: int, den: int, links: list[DataFrame]) -> None:
     radius = (den - num) * 1_000_000 // den + 2  # in millionths; 2 covers the rounding of two distances
+    near = lambda d: d.where("linked and doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     while True:
-        links.append(met.where("linked and doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+        links.append(near(met))
         rest = cut(_window(met, radius))
         sizes = cut(rest.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1"))
         small = f"docs <= {SMALL_DOCS} and shingles <= {SMALL_SHINGLES}"
         kinds = sizes.agg(F.count_if(F.expr(small)), F.count_if(F.expr(f"not ({small})"))).first()
         if kinds[0]:
-            here = rest.join(sizes.where(small).select("region"), "region", "left_semi").join(sets, "doc")
-            links.append(cut(here.select("region", "doc", "shingles").groupBy("region").applyInPandas(_small_region(num, den), "a long, b long")))
+            links.append(_in_tasks(rest.join(sizes.where(small).select("region"), "region", "left_semi"), sets, ["region"], num, den))
         if not kinds[1]:
             return
-        large = cut(rest.join(sizes.where(f"not ({small})").select("region"), "region", "left_semi"))
-        # max_by-style choice with map-side combining: the PIVOTS smallest hashes of each region
-        pivots = large.groupBy("region").agg(*[F.min(F.when(F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)) == j, F.col("doc"))).alias(f"p{j}") for j in range(PIVOTS)])
-        pivots = pivots.select("region", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivot")).where("pivot is not null")
+        large = _unjoined(rest.join(sizes.where(f"not ({small})").select("region"), "region", "left_semi"), links)
+        # with map-side combining: of each of some buckets of odd documents, the smallest
+        bucket = lambda j: F.min(F.when(F.col("odd") & (F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)) == j), F.col("doc")))
+        pivots = large.groupBy("region").agg(*[bucket(j).alias(f"p{j}") for j in range(PIVOTS)])
+        pivots = cut(pivots.select("region", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivot")).where("pivot is not null"))
+        sets = cut(sets.join(large.select("doc").distinct(), "doc", "left_semi"))
         met = cut(_distances(large.join(pivots, "region").select("region", "pivot", "doc"), sets, num, den))
-        links.append(met.where("linked and doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-        met = met.join(pivots.select(F.col("region"), F.col("pivot").alias("doc")), ["region", "doc"], "left_anti")
+        links.append(near(met))
+        met = met.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti")
         nearest = met.groupBy("region", "doc").agg(F.min("d").alias("nearest"))
-        spread = cut(met.join(nearest, ["region", "doc"]).where(F.col("d") <= F.col("nearest") + 2 * radius))
-        copies = spread.groupBy("region").agg((F.count("*") / F.count_distinct("doc")).alias("copies"), F.min("pivot").alias("one"))
-        # where windows would replicate more than they separate, the region stays whole, less its pivots
-        kept = met.join(copies, "region").where("copies > 2 and pivot = one").drop("copies", "one")
-        split = spread.join(copies, "region").where("copies <= 2").drop("copies", "one", "nearest")
-        split = split.withColumn("region", F.xxhash64("region", "pivot"))
-        met = cut(kept.select("region", "pivot", "doc", "d", "linked", "n").union(split.select("region", "pivot", "doc", "d", "linked", "n")))
+        spread = cut(met.join(nearest, ["region", "doc"]).where(F.col("d") <= F.col("nearest") + 2 * radius).drop("nearest"))
+        copies = cut(spread.groupBy("region").agg((F.count("*") / F.count_distinct("doc")).alias("copies"), F.count_distinct("pivot").alias("cells")))
+        # where the windows would replicate more than the cells separate, blocks finish the region
+        whole = large.join(copies.where("copies > 2 or cells = 1").select("region"), "region", "left_semi").join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti")
+        blocks = cut(_blocks(whole))
+        if not blocks.isEmpty():
+            links.append(_in_tasks(blocks, sets, ["region", "x", "y"], num, den))
+        met = spread.join(copies.where("copies <= 2 and cells > 1").select("region"), "region", "left_semi")
+        met = cut(met.withColumn("region", F.xxhash64("region", "pivot")).select("region", "pivot", "doc", "d", "linked", "n"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -262,10 +283,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = cut(_distances(regions.select("region", F.col("region").alias("pivot"), "doc"), sets, num, den))
     links = [rows.where("kind = 2").select("a", "b")]
     _recurse(met, sets, num, den, links)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    joined = components(edges, "a", "b")
+    joined = components(_union(links), "a", "b")
     sizes = rows.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     out = sizes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
     nameless = docs.where("doc is null").withColumn("doc", F.lit(0).cast("long")).mapInArrow(_set_rows(k), "doc long, shingles array<long>")
