@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import langid, packing, toxicity
 from .common import table
 from .jaccard import jaccard_join
+from .neardup import near_duplicates
+from .shards import kd_shards, text_bytes
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,21 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    thin = docs.select("doc_id", (text_bytes("text") + 8).alias("size"), crc.alias("text_crc32"), F.crc32(F.col("source").cast("binary")).alias("source"), F.crc32(F.col("lang").cast("binary")).alias("lang"))
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.log2("size"), "doc_id": F.col("doc_id")}
+    placed = kd_shards(thin, dims, F.col("size"), 24)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), none)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
