@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, toxicity
+from . import langid, licenses, packing, toxicity
 from .common import table
 from .jaccard import jaccard_join
 from .neardup import near_duplicates
-from .shards import kd_shards, text_bytes
+from .shards import kd_shards
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    thin = docs.select("doc_id", (text_bytes("text") + 8).alias("size"), crc.alias("text_crc32"), F.crc32(F.col("source").cast("binary")).alias("source"), F.crc32(F.col("lang").cast("binary")).alias("lang"))
+    thin = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), crc.alias("text_crc32"), F.crc32(F.col("source").cast("binary")).alias("source"), F.crc32(F.col("lang").cast("binary")).alias("lang"))
     dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.log2("size"), "doc_id": F.col("doc_id")}
     placed = kd_shards(thin, dims, F.col("size"), 24)
     none = F.lit(None).cast("int").alias("grown_shard")
@@ -58,9 +58,14 @@ def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.known_licenses(spark)).select("doc_id", "canonical_chars", "digest", "license")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": licenses.oracle_sql()}
