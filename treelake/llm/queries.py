@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, toxicity
+from . import langid, licenses, maxent, packing, toxicity
 from .common import table
 from .jaccard import jaccard_join
 from .neardup import near_duplicates
@@ -50,6 +50,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"), held_out=langid.held_out("doc_id", 7, 2))
+
+
 def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
     labels = table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 3, 1))

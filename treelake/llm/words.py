@@ -40,10 +40,14 @@ class Words:
         self.up = self.down = np.ones(1, np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
+        return self.spans(text)[0]
+
+    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, UTF-8 bytes, first byte and byte after the last of each word)."""
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
         n = len(data)
         if not n:
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), data, np.empty(0, np.int64), np.empty(0, np.int64)
         if len(self.up) < n:
             with np.errstate(over="ignore"):
                 self.up, self.down = _powers(BASE, n), _powers(INVERSE, n)
@@ -53,4 +57,4 @@ class Words:
         start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(VALUE[data] * self.up[:n], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64)), data, start, end
