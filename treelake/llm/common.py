@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one or two long columns that may be broadcast (16 MB); beyond it a shuffled join is used.
+#: Rows of two to four long columns that may be broadcast (16 to 32 MB); beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a frame of one or two long columns whose counted size is within the bound."""
+    """Broadcast a frame of two to four long columns whose counted size is within the bound."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 

@@ -181,9 +181,16 @@ def _small_region(num: int, den: int):
     return links
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds the set of `doc`. The sets are the heavy side: they stay where they are while the rows are few enough to go to them."""
+    return sets.join(maybe_broadcast(rows, rows.count()), "doc")
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Adds to (region, pivot, doc) the exact distance in millionths (rounded down) and whether the two link."""
-    both = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
+    ids = cut(pairs.select("pivot").distinct())
+    of_pivot = sets.select(F.col("doc").alias("pivot"), F.col("shingles").alias("of_pivot")).join(maybe_broadcast(ids, ids.count()), "pivot", "left_semi")
+    both = _with_sets(pairs.select("region", "pivot", "doc"), sets).join(of_pivot, "pivot")
     both = both.withColumn("i", F.size(F.array_intersect("shingles", "of_pivot")).cast("long")).withColumn("u", F.size("shingles") + F.size("of_pivot") - F.col("i"))
     return both.select("region", "pivot", "doc", F.expr("(u - i) * 1000000 div u").alias("d"), F.expr(f"{den} * i >= {num} * u").alias("linked"), F.size("shingles").alias("n"))
 
@@ -202,7 +209,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _in_tasks(groups: DataFrame, sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    rows = groups.join(sets, "doc").select(*keys, "doc", "shingles")
+    rows = _with_sets(cut(groups.select(*keys, "doc")), sets).select(*keys, "doc", "shingles")
     return cut(rows.groupBy(*keys).applyInPandas(_small_region(num, den), "a long, b long"))
 
 
@@ -248,7 +255,7 @@ def _recurse(met: DataFrame, sets: DataFrame, num: int, den: int, links: list[Da
         pivots = large.groupBy("region").agg(*[bucket(j).alias(f"p{j}") for j in range(PIVOTS)])
         pivots = cut(pivots.select("region", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("pivot")).where("pivot is not null"))
         sets = cut(sets.join(large.select("doc").distinct(), "doc", "left_semi"))
-        met = cut(_distances(large.join(pivots, "region").select("region", "pivot", "doc"), sets, num, den))
+        met = cut(_distances(cut(large.join(pivots, "region").select("region", "pivot", "doc")), sets, num, den))
         links.append(near(met))
         met = met.join(pivots.select("region", F.col("pivot").alias("doc")), ["region", "doc"], "left_anti")
         nearest = met.groupBy("region", "doc").agg(F.min("d").alias("nearest"))
