@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, maxent, packing, toxicity
+from . import langid, licenses, maxent, mpeg, packing, toxicity
 from .common import table
 from .jaccard import jaccard_join
 from .neardup import near_duplicates
@@ -34,6 +34,14 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), none)
 
 
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = mpeg.inspect_column(mpeg.encode_column(docs))
+    seek = F.crc32(F.concat_ws(",", "offsets").cast("binary"))
+    feature = F.concat_ws(":", "frames", "samples", "hertz", "crc_ok", "crc_bad", "skipped", seek)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
