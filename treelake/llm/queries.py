@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, maxent, mpeg, packing, toxicity
+from . import langid, licenses, maxent, mpeg, packing, pieces, toxicity
 from .common import table
 from .jaccard import jaccard_join
 from .neardup import near_duplicates
@@ -62,6 +62,16 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"), held_out=langid.held_out("doc_id", 7, 2))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again: how many, their digest, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode(docs, model)
+    measured = encoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "ids")
+    decoded = pieces.decode(measured, model, name="decoded")
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("text_crc32"))
+
+
 def op9_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out("doc_id", 3, 1))
     labels = table(spark, sf_dir, "labels").where(~langid.held_out("doc_id", 3, 1))
