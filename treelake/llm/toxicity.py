@@ -1,4 +1,4 @@
-"""Toxicity by non-negative positive-unlabelled learning over word presence.
+"""Toxicity by non-negative positive-unlabelled learning over the presence of words and stems.
 
 The learner sees confirmed toxic documents and unlabelled ones (no document counts as a confirmed clean one), and minimises
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
@@ -34,7 +34,8 @@ class Params:
     features: int = 512
     min_positive: int = 3  # sampled toxic documents that a word must be in,
     min_share: float = 0.015  # and the share of them
-    purity: float = 0.25  # least share of toxic documents among those with the word, as a lower bound of `deviations`
+    purity: float = 0.6  # least estimated share of toxic documents among those with the word,
+    sure_purity: float = 0.25  # and its lower bound by so many deviations of the count
     deviations: float = 2.0
     steps: int = 400
     rate: float = 0.1
@@ -43,7 +44,9 @@ class Params:
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+    """The words of a text, and the stems of its longer words: their first four and five letters, marked as such."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words | {f"{w[:4]}*" for w in words if len(w) > 4} | {f"{w[:5]}*" for w in words if len(w) > 5}
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # prior * P(word | toxic) / P(word | unlabelled) estimates how many of the documents with the word are toxic
     least = min(len(positive), max(p.min_positive, p.min_share * len(positive)))
     sure = lambda c: max(0.0, c - p.deviations * c**0.5)
-    purity = {w: prior * (sure(c) / len(positive)) / ((there.get(w, 0) + 1) / (len(unlabelled) + 1)) for w, c in here.items() if c >= least}
-    ranked = sorted((w for w in purity if purity[w] >= p.purity), key=lambda w: (-here[w] * min(1.0, purity[w]), w))[: p.features]
+    part = lambda w, c: prior * (c / len(positive)) / ((there.get(w, 0) + 1) / (len(unlabelled) + 1))
+    purity = {w: part(w, c) for w, c in here.items() if c >= least and part(w, c) >= p.purity and part(w, sure(c)) >= p.sure_purity}
+    ranked = sorted(purity, key=lambda w: (-here[w] * min(1.0, purity[w]), w))[: p.features]
     index = {w: i for i, w in enumerate(ranked)}
 
     def matrix(rows: list[list[str]]) -> np.ndarray:
