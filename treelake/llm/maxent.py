@@ -26,7 +26,7 @@ from .words import Words, mix
 
 C = 32  # classes; 0 is the end of a text
 CONTEXTS = C**3
-HEAD = 400_000  # words of the broadcast dictionary: 16 bytes each
+HEAD = 200_000  # words of the broadcast dictionary: 16 bytes each
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
 END = np.uint64(0x6A09E667F3BCC909)
@@ -197,6 +197,22 @@ def train(grams: DataFrame, p: Params) -> np.ndarray:
     return best
 
 
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) by key of the words from the least count on that at most HEAD words reach."""
+    top = 100_000  # the histogram has at most so many rows
+    found = counts.groupBy(F.least("c", F.lit(top)).alias("c")).agg(F.count("*").alias("words")).collect()
+    least, held = top + 1, 0
+    for r in sorted(found, key=lambda r: -r.c):
+        held += r.words
+        if held > HEAD:
+            break
+        least = r.c
+    rows = counts.where(F.col("c") >= least).select("key", "c").toArrow()
+    key, c = rows.column("key").to_numpy(), rows.column("c").to_numpy()
+    order = np.argsort(key)
+    return key[order], c[order]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from rows where held_out is false.
 
@@ -217,13 +233,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     for r in counts.groupBy("form").agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).collect():
         size[r.form] = r.tokens, r.words
     total, distinct = (int(x) for x in size.sum(0))
-    head = counts.orderBy(F.desc("c"), "key").limit(HEAD).select("key", "c").toPandas().sort_values("key")
+    head = frequent(counts)
     within = np.log10(size.sum(1) + 1)
     table = np.empty((CONTEXTS, C), np.float32)
     ids = feature_ids(p)
     for at in range(0, CONTEXTS, 4096):  # sparse batches: seven rows of weights for each context
         table[at : at + 4096] = log_p(weights, ids[at : at + 4096]) / np.log(10) - within
-    shared = spark.sparkContext.broadcast((classes, head["key"].to_numpy(np.int64), head["c"].to_numpy(np.int64), table.ravel()))
+    shared = spark.sparkContext.broadcast((classes, *head, table.ravel()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts: (row, 0, doc, held_out, tokens, known words of the dictionary, their sum, sum over classes); other words: (row, 1, hash, null, times, ...)."""
