@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codecs, gvariant
 from ..functions import hashing as H
 from ..operators import deltas as D
 from ..operators import history as Hi
 from ..operators import refs as R
 from ..operators import trees as T
+from ..sources import archives
 from ..sources import derived as S
 from ..sources.derived import table, with_
 
@@ -613,7 +617,7 @@ def j16_delta_chain(spark, d):
     o = table(spark, d, "orders")
     edges = o.select(sha(k).alias("src"), sha(k * 2 + 1).alias("dst")).unionByName(o.select(sha(k).alias("src"), sha(k + 1).alias("dst"))).distinct()
     have = spark.range(1).select(F.explode(F.array(sha(F.lit(1)), sha(F.lit(3)))).alias("checksum"))
-    target = __import__("hashlib").sha256(b"n:600").hexdigest()
+    target = hashlib.sha256(b"n:600").hexdigest()
     return Hi.shortest_chain(edges, have, target)
 
 
@@ -797,6 +801,69 @@ def c16_copy_plan(spark, d):
     return D.copy_plan(new, D.chunks(_payloads(spark, d)))
 
 
+# codecs and archives, by round trip
+
+
+def _documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+
+
+@query("SELECT doc_id, sha256(text) AS inflated FROM documents")
+def c14_deflate_round_trip(spark, d):
+    return _documents(spark, d).select("doc_id", F.sha2(codecs.inflate(codecs.deflate("payload")), 256).alias("inflated"))
+
+
+@query()
+def c19_fsverity(spark, d):
+    """Merkle digest and xxHash32 of each payload; tested on known vectors."""
+    return _documents(spark, d).select("doc_id", codecs.fsverity_digest("payload").alias("digest"), codecs.xxh32("payload").alias("xxh32"))
+
+
+@query(with_("f0") + " SELECT source AS archive, path, sha256(text) AS payload_sha256 FROM f0 JOIN documents d ON f0.path = '/' || d.source || '/' || d.lang || '/d' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') || '.txt'".replace("SELECT source AS", "SELECT f0.source AS"))
+def s22_tar_round_trip(spark, d):
+    """Export of a source's files as a tar, with hard links, and import of it."""
+    docs = table(spark, d, "documents")
+    files = docs.select(F.col("source").alias("archive"), S._path().alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), F.col("text").cast("binary").alias("payload"), F.lit(1700000000).alias("ts"))
+    back = archives.resolve_hardlinks(archives.read_tars(archives.write_tars(files)))
+    return back.select("archive", "path", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query("SELECT doc_id, sha256(lang) AS s, n_chars AS t, sha256(text) AS ay, source AS key FROM documents")
+def c07_codec_round_trip(spark, d):
+    """Typed values, encoded and decoded again in Arrow batches."""
+
+    def rows(frames):
+        sig = "(sta{sv}ay)"
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                s, t, entries, ay = gvariant.decode(sig, gvariant.encode(sig, (r.lang, r.n_chars, [(r.source, ("u", 7))], r.text.encode())))
+                out.append((r.doc_id, hashlib.sha256(s.encode()).hexdigest(), t, hashlib.sha256(ay).hexdigest(), entries[0][0]))
+            yield pd.DataFrame(out, columns=["doc_id", "s", "t", "ay", "key"])
+
+    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text").mapInPandas(rows, "doc_id long, s string, t long, ay string, key string")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS checksum, sha256(substr(text, 1, 1500) || '<new>' || substr(text, 1501)) AS rebuilt FROM documents WHERE n_chars > 3000")
+def c18_delta_round_trip(spark, d):
+    """Altered payloads, rebuilt from the old ones by copies and literal bytes."""
+    old, new = _payloads(spark, d), _payloads(spark, d, True)
+    runs = D.copy_plan(D.chunks(new).withColumn("source", F.col("checksum")), D.chunks(old))
+    plans = runs.groupBy("checksum").agg(F.array_sort(F.collect_list(F.struct("start", "length", "from"))).alias("runs"))
+    both = plans.join(old, "checksum").join(new.select("checksum", F.col("payload").alias("wanted")), "checksum")
+
+    def rows(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                runs = [(x["start"], x["length"], x["from"]) for x in r.runs]
+                literal = b"".join(r.wanted[a : a + n] for a, n, origin in runs if origin is None)
+                out.append((r.checksum, hashlib.sha256(D.apply_plan(runs, r.payload, literal)).hexdigest()))
+            yield pd.DataFrame(out, columns=["checksum", "rebuilt"])
+
+    return both.select("checksum", "runs", "payload", "wanted").mapInPandas(rows, "checksum string, rebuilt string")
+
+
 # the rest of the surface
 
 
