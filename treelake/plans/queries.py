@@ -856,7 +856,8 @@ def c18_delta_round_trip(spark, d):
         for pdf in frames:
             out = []
             for r in pdf.itertuples():
-                runs = [(x["start"], x["length"], x["from"]) for x in r.runs]
+                # a null place comes as NaN
+                runs = [(int(x["start"]), int(x["length"]), int(x["from"]) if x["from"] == x["from"] and x["from"] is not None else None) for x in r.runs]
                 literal = b"".join(r.wanted[a : a + n] for a, n, origin in runs if origin is None)
                 out.append((r.checksum, hashlib.sha256(D.apply_plan(runs, r.payload, literal)).hexdigest()))
             yield pd.DataFrame(out, columns=["checksum", "rebuilt"])
