@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe_broadcast
 
 MARK = "▁"
 #: A segment: spaces and what follows them, or a line end and what follows it.
@@ -52,7 +53,9 @@ class Pieces:
         self.id = {names[i]: i for i in plain}
         self.byte = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id))
-        self.raw = [names[i].replace(MARK, " ").encode() if i in set(plain) else b"" for i in range(n)]
+        self.raw = [b""] * n
+        for i in plain:
+            self.raw[i] = names[i].replace(MARK, " ").encode()
         for b, i in enumerate(self.byte):
             self.raw[i] = bytes([b])
         self.kept, self.new, self.old, self.agreed = kept, {}, {}, {}
@@ -205,6 +208,12 @@ class Pieces:
         return out + (self._ids(self._walk(text, b, end, (b, b), stop)) if stop != (b, b) else b"")
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Pieces:
+    """One table for each worker process: later tasks find it and its segments."""
+    return Pieces(path)
+
+
 def borders(pieces: Pieces, text: str, p: Params) -> list[int]:
     """Chunk borders of a marked text: near each multiple of the chunk the next start of a word, else the multiple itself."""
     out, at = [0], p.chunk
@@ -219,7 +228,7 @@ def _split(path: str, p: Params):
     """(row, doc, chunk, chunks, text, begin, end): whole documents as one chunk, giant ones cut, with the context that border pieces need."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, row = Pieces(path), TaskContext.get().partitionId() << 33
+        pieces, row = loaded(path), TaskContext.get().partitionId() << 33
         names = ["row", "doc", "chunk", "chunks", "text", "begin", "end"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
         for b in batches:
@@ -239,7 +248,7 @@ def _split(path: str, p: Params):
 
 def _matrices(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = loaded(path)
         for b in batches:
             made = [pieces.matrix(t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(b.column(4), b.column(5), b.column(6), strict=True)]
             cols = [pa.array([m.shape[0] for m in made], pa.int32()), pa.array([np.packbits(m).tobytes() for m in made], pa.binary()), pa.array([m.shape[1] for m in made], pa.int32())]
@@ -263,7 +272,7 @@ def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _backtraces(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = loaded(path)
         for b in batches:
             ids = []
             for text, begin, end, start, stop in zip(*[b.column(i).to_pylist() for i in range(3, 8)], strict=True):
@@ -281,17 +290,18 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.encode(t.as_py()) for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
 
     short = F.coalesce(F.length("text"), F.lit(0)) < p.giant
     whole = docs.where(short).mapInArrow(small, "doc_id long, ids binary")
     chunks = cut(docs.where(~short).mapInArrow(_split(model, p), "row long, doc long, chunk int, chunks int, text string, begin int, end int"))
-    chunks = chunks.repartition("row", "chunk")  # the chunks of one document go to many tasks
+    # the chunks of one document go to many tasks, which small partitions by size would undo
+    chunks = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "chunk")
     matrices = chunks.mapInArrow(_matrices(model), "row long, chunk int, into int, bits binary, out int")
-    states = matrices.groupBy("row").applyInPandas(_scan, "row long, chunk int, start int, stop int")
-    placed = chunks.join(states, ["row", "chunk"]).select("row", "doc", "chunk", "text", "begin", "end", "start", "stop")
+    states = cut(matrices.groupBy("row").applyInPandas(_scan, "row long, chunk int, start int, stop int"))
+    placed = chunks.join(maybe_broadcast(states, states.count()), ["row", "chunk"]).select("row", "doc", "chunk", "text", "begin", "end", "start", "stop")
     traced = placed.mapInArrow(_backtraces(model), "row long, doc long, chunk int, ids binary")
     joined = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])
     giant = traced.groupBy("row").agg(F.first("doc").alias("doc_id"), F.expr("cast('' as binary)").alias("none"), joined.alias("parts"))
@@ -304,7 +314,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "te
     kept = encoded.select(*[F.col(f"`{c}`") for c in keep])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for b in batches:
             texts = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, name])
