@@ -52,11 +52,11 @@ def _unit(col: str):
     return rows
 
 
-def _spread(radius: float):
-    """One chunk of a cell and the cell's pivots -> each vector at home with its nearest pivot, and its copies."""
+def _spread(radius: float, tally: bool):
+    """One chunk of a cell and the cell's pivots -> each vector at home with its nearest pivot, and its copies; or only how many rows each pivot gets."""
 
     def rows(part: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        columns = ["parent", "pivot", "vec", "x", "home", "dup", "d"]
+        columns = ["parent", "pivot", "n"] if tally else ["parent", "pivot", "vec", "x", "home", "dup", "d"]
         if part.empty or pivots.empty:
             return pd.DataFrame(columns=columns)
         x, p = np.stack(part["x"].to_list()), np.stack(pivots.sort_values("bucket")["p"].to_list())
@@ -65,6 +65,8 @@ def _spread(radius: float):
         between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
         reach = d2 - d2[each, near][:, None] <= 2 * (radius + SLACK) * between[near] + SLACK
         reach[each, near] = True
+        if tally:
+            return pd.DataFrame({"parent": part["cell"].iloc[0], "pivot": np.arange(len(p)), "n": reach.sum(0)})
         who, where = np.nonzero(reach)
         home = (near[who] == where) & part["home"].to_numpy()[who]
         values = [part["cell"].to_numpy()[who], where, part["vec"].to_numpy()[who], part["x"].to_numpy()[who], home, part["dup"].to_numpy()[who], np.sqrt(d2[who, where])]
@@ -136,14 +138,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
         chunks = F.ceil(F.col("rows") / CELL)
         pivots = cut(pivots.select("cell", "bucket", "p", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")))
         parts = large.withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "dup"), chunks)).select("cell", "chunk", "vec", "x", "home", "dup")
-        spread = parts.groupBy("cell", "chunk").cogroup(pivots.groupBy("cell", "chunk"))
-        spread = spread.applyInPandas(_spread(radius), "parent long, pivot int, vec long, x array<double>, home boolean, dup long, d double")
-        spread = cut(spread)
-        reach = spread.where("home").groupBy("parent", "pivot").agg(F.max("d").alias("far"))
-        spread = spread.join(reach, ["parent", "pivot"]).where(F.col("home") | (F.col("d") <= F.col("far") + radius + SLACK))
-        after = cut(spread.groupBy("parent", "pivot").agg(F.count("*").alias("rows")).groupBy("parent").agg(F.max("rows").alias("largest"), F.sum("rows").alias("all")))
+        # counted before anything is copied: where the copies would be many, blocks are cheaper
+        ahead = parts.groupBy("cell", "chunk").cogroup(pivots.groupBy("cell", "chunk")).applyInPandas(_spread(radius, True), "parent long, pivot int, n long")
+        after = ahead.groupBy("parent", "pivot").agg(F.sum("n").alias("rows")).groupBy("parent").agg(F.max("rows").alias("largest"), F.sum("rows").alias("all"))
         judged = sizes.where(F.col("rows") > CELL).join(after.withColumnRenamed("parent", "cell"), "cell", "left")
-        # worth it where the work in the new cells (homes times rows) falls clearly: the copies must stay few
         judged = cut(judged.withColumn("split", F.coalesce((F.col("largest") <= 0.7 * F.col("rows")) & (F.col("all") <= 4 * F.col("rows")), F.lit(False))))
         whole = now.join(judged.where("not split").select("cell", F.ceil(F.col("rows") / (CELL // 2)).alias("blocks")), "cell")
         mine = F.pmod(F.xxhash64(F.lit(5), "dup"), F.col("blocks"))
@@ -151,7 +149,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
         a = whole.where("home").select("cell", mine.alias("b"), F.explode(every).alias("o"), "vec", "x", F.lit(True).alias("home"), "dup")
         o = whole.select("cell", F.explode(every).alias("b"), mine.alias("o"), "vec", "x", F.lit(False).alias("home"), "dup")
         ready.append(a.union(o).select(F.xxhash64("cell", F.col("b") + 1, F.col("o") + 1).alias("task"), "vec", "x", "home", "dup", F.lit(True).alias("blocks")))
-        now = cut(spread.join(judged.where("split").select(F.col("cell").alias("parent")), "parent", "left_semi").select("vec", F.xxhash64("parent", "pivot").alias("cell"), "x", "home", "dup"))
+        if judged.where("split").isEmpty():
+            break
+        cells = judged.where("split").select("cell")
+        going = parts.join(cells, "cell", "left_semi").groupBy("cell", "chunk").cogroup(pivots.join(cells, "cell", "left_semi").groupBy("cell", "chunk"))
+        spread = cut(going.applyInPandas(_spread(radius, False), "parent long, pivot int, vec long, x array<double>, home boolean, dup long, d double"))
+        reach = spread.where("home").groupBy("parent", "pivot").agg(F.max("d").alias("far"))
+        near = spread.join(reach, ["parent", "pivot"]).where(F.col("home") | (F.col("d") <= F.col("far") + radius + SLACK))
+        now = cut(near.select("vec", F.xxhash64("parent", "pivot").alias("cell"), "x", "home", "dup"))
     work = ready[0] if ready else None
     for more in ready[1:]:
         work = work.union(more)

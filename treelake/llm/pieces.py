@@ -14,7 +14,6 @@ finds its own path. Borders are moved to the start of a word where one is near;
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +25,7 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, maybe_broadcast
 
@@ -80,7 +80,7 @@ class Pieces:
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian uint32 ids of the whole text, as the library gives them."""
-        return self.spaced(" " + text.replace(MARK, " ").replace("\0", "\0")) if text else b""
+        return self.spaced(" " + text.replace(MARK, " ")) if text else b""
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -319,11 +319,6 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "te
             texts = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*keep, name])
 
-    from pyspark.sql.types import StructType
-
     schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"`{name}` string").fields])
     return encoded.select(*[F.col(f"`{c}`") for c in [*keep, ids_col]]).mapInArrow(rows, schema)
 
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
