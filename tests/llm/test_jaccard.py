@@ -54,10 +54,11 @@ def result(spark, rows):
     return {(r.doc, r.n_shingles, r.component) for r in jaccard_join(df).collect()}
 
 
-@pytest.mark.parametrize("small", [512, 2])
-def test_matches_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "chunk"), [(512, 2_000_000), (2, 300), (512, 1)])
+def test_matches_brute_force(spark, monkeypatch, small, chunk):
     monkeypatch.setattr(jaccard, "SMALL_DOCS", small)
-    rows = corpus(small)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rows = corpus(small + chunk)
     assert result(spark, rows) == brute(rows)
 
 

@@ -32,6 +32,7 @@ from .components import components
 from .words import M1, M2, Words, mix
 
 SMALL_DOCS, SMALL_SHINGLES = 512, 2_000_000  # a region of at most this size is joined in one task
+CHUNK = 2_000_000  # rows (pivot, doc) that a task sorts at a time
 PIVOTS = 8  # new pivots of a region that is larger
 
 
@@ -89,42 +90,97 @@ class Classes:
         return np.concatenate(out)
 
 
+def _leaders(cell: np.ndarray, doc: np.ndarray, last: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by (cell, doc): which begin a cell, and each row's smallest doc of its cell. `last` is the cell (and its leader) that went before."""
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    lead = doc[np.maximum.accumulate(np.where(first, np.arange(len(cell)), 0))]
+    if last is not None and len(cell) and cell[0] == last[0]:
+        lead[: int(np.argmin(cell == cell[0])) or len(cell)] = last[1]
+        first[0] = False
+    return first, lead
+
+
+def _pairs(lead: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    other = lead != doc
+    found = np.unique(np.stack([lead[other], doc[other]], 1), axis=0)
+    return found[:, 0], found[:, 1]
+
+
 def _signature_rows(k: int, num: int, den: int):
-    """Rows (kind, a, b): 0 = (doc, set size), 1 = (pivot, doc), 2 = (doc, an equal set's doc in the same task).
+    """Rows (kind, a, b): 0 = (doc, set size), 1 = (pivot, doc), 2 = (doc, an equal set's doc in the same task), 3 = (leader, doc).
 
-    A task sends the pivots of equal sets once; the other copies link to the first.
+    A task sends the pivots of equal sets once; the other copies link to the first. Of the documents that share a
+    pivot within a chunk of rows, only the smallest (the leader) is sent with it, and the others with their leader, so that no pivot
+    has more rows than there are chunks.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, classes, seen = Words(), Classes(num, den), {}
-        for batch in batches:
-            kinds, left, right, held = [], [], [], 0
+        cells, owners, held = [], [], 0
 
-            def out():
-                kind = np.concatenate(kinds)
-                return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["kind", "a", "b"])
+        def out(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(a), 200_000):
+                x, y = a[at : at + 200_000], b[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
 
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        def chunk() -> Iterator[pa.RecordBatch]:
+            cell, doc = np.concatenate(cells).view(np.int64), np.concatenate(owners)
+            order = np.lexsort((doc, cell))
+            cell, doc = cell[order], doc[order]
+            first, lead = _leaders(cell, doc)
+            yield from out(1, cell[first], doc[first])
+            yield from out(3, *_pairs(lead, doc))
+
+        for batch in batches:
+            docs, sizes, copies, firsts = batch.column(0).to_pylist(), [], [], []
+            for doc, text in zip(docs, batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), words, k)
-                name = np.empty(0, np.uint64)
-                kinds.append(np.zeros(1, np.int8)), left.append(np.array([doc], np.int64)), right.append(np.array([len(s)], np.int64))
-                if len(s):
-                    first = seen.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), doc)
-                    if first == doc:
-                        name = classes.signatures(s)
-                        kinds.append(np.ones(len(name), np.int8)), left.append(name.view(np.int64)), right.append(np.full(len(name), doc, np.int64))
-                    else:
-                        kinds.append(np.full(1, 2, np.int8)), left.append(np.array([doc], np.int64)), right.append(np.array([first], np.int64))
-                held += 1 + len(name)
-                if held >= 200_000:
-                    yield out()
-                    kinds, left, right, held = [], [], [], 0
-            if held:
-                yield out()
+                sizes.append(len(s))
+                if not len(s):
+                    continue
+                one = seen.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), doc)
+                if one != doc:
+                    copies.append(doc), firsts.append(one)
+                    continue
+                cells.append(classes.signatures(s)), owners.append(np.full(len(cells[-1]), doc, np.int64))
+                held += len(cells[-1])
+                if held >= CHUNK:
+                    yield from chunk()
+                    cells, owners, held = [], [], 0
+            yield from out(0, np.array(docs, np.int64), np.array(sizes, np.int64))
+            yield from out(2, np.array(copies, np.int64), np.array(firsts, np.int64))
+        if held:
+            yield from chunk()
 
     return rows
 
 
+def _shared_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, doc) of the rows (cell, doc) of a partition, sorted: documents that share a pivot with a smaller one."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+        _, lead = _leaders(cell, doc, last)
+        last = (cell[-1], lead[-1])
+        region, other = _pairs(lead, doc)
+        yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(other)], ["region", "doc"])
+
+
+def _regions(rows: DataFrame) -> DataFrame:
+    """(region, doc): whoever shares a pivot stands in one region, the smallest document's or that of a smaller one which shares it.
+
+    Pivots are shuffled once. A leader that meets a smaller one takes its own documents along.
+    """
+    signed = rows.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("doc"))
+    met = cut(signed.repartition("cell").sortWithinPartitions("cell", "doc").mapInArrow(_shared_pivots, "region long, doc long").distinct())
+    own = cut(rows.where("kind = 3").select(F.col("a").alias("region"), F.col("b").alias("doc")).distinct())
+    along = own.withColumnRenamed("region", "leader").join(met.select("region", F.col("doc").alias("leader")), "leader").select("region", "doc")
+    return met.unionByName(own).unionByName(along).where("region <> doc").distinct()
+
+
 def _set_rows(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -281,9 +337,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     known = docs.where("doc is not null")
     rows = cut(known.mapInArrow(_signature_rows(k, num, den), "kind byte, a long, b long"))
-    signed = rows.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("doc"))
-    shared = signed.groupBy("cell").agg(F.min("doc").alias("region"), F.max("doc").alias("last")).where("last > region").select("cell", "region")
-    regions = cut(signed.join(shared, "cell").where("doc <> region").select("region", "doc").distinct())
+    regions = cut(_regions(rows))
     wanted = cut(regions.select("doc").union(regions.select("region")).distinct())
     texts = known.join(maybe_broadcast(wanted, wanted.count()), "doc", "left_semi")
     sets = cut(texts.mapInArrow(_set_rows(k), "doc long, shingles array<long>").where("size(shingles) > 0"))
