@@ -65,14 +65,6 @@ def size_of(hexed: Column) -> Column:
     return (F.length(hexed) / 2).cast("long")
 
 
-def array_hex(elements: Column) -> Column:
-    """A container of variable-size elements from an array of their hex forms, in order."""
-    ends = F.aggregate(elements, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(size_of(x) + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-    data = F.concat_ws("", elements)
-    width = offset_width(size_of(data), F.size(elements))
-    return F.when(F.size(elements) == 0, F.lit("")).otherwise(F.concat(data, F.concat_ws("", F.transform(ends, lambda e: le(e, width)))))
-
-
 def modified_base64(checksum: Column) -> Column:
     """Base64 of the 32 bytes with `_` for `/` and without padding."""
     return F.rtrim(F.translate(F.base64(F.unhex(checksum)), "/", "_"), F.lit("="))

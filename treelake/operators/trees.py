@@ -36,6 +36,17 @@ def directories(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(up).alias("path")).distinct()
 
 
+def _directory(grouped: DataFrame) -> DataFrame:
+    """Checksums of directories from their sorted elements (name, element, end); each step's values are columns, so nothing is computed twice."""
+    plain = grouped.select("dir", *[x for k in "fd" for x in (F.size(k).cast("long").alias(f"n{k}"), F.concat_ws("", F.transform(k, lambda e: e["element"])).alias(f"data_{k}"), F.transform(k, lambda e: e["end"]).alias(f"ends_{k}"))])
+    wide = plain.select("*", *[H.offset_width(H.size_of(F.col(f"data_{k}")), F.col(f"n{k}")).alias(f"w{k}") for k in "fd"])
+    array = lambda k: F.when(F.col(f"n{k}") == 0, F.lit("")).otherwise(F.concat(f"data_{k}", F.concat_ws("", F.transform(f"ends_{k}", lambda e: H.le(e, F.col(f"w{k}"))))))
+    arrays = wide.select("dir", "nf", "nd", array("f").alias("a"), array("d").alias("b"))
+    sized = arrays.select("*", H.size_of(F.col("a")).alias("sa"), (H.size_of(F.col("a")) + H.size_of(F.col("b"))).alias("sab"))
+    framed = sized.select("*", H.offset_width(F.col("sab"), F.lit(1)).alias("w"))
+    return framed.select("dir", F.col("nf").alias("files"), F.col("nd").alias("dirs"), H.sha(F.concat("a", "b", H.le(F.col("sa"), F.col("w")))).alias("checksum"))
+
+
 def write_tree(files: DataFrame, meta: Column | None = None) -> DataFrame:
     """(path, checksum, files, dirs) of every directory of the files (path, checksum): one aggregation for each level, deepest first.
 
@@ -50,13 +61,14 @@ def write_tree(files: DataFrame, meta: Column | None = None) -> DataFrame:
         return empty
     done, level = [], entries
     for d in range(deepest, -1, -1):
-        here = level.where(depth(F.col("dir")) == d)
+        here = level.where(depth(F.col("dir")) == d).repartition("dir")
         element = F.when(F.col("kind") == "f", H.file_element(F.col("name"), F.col("checksum"))).otherwise(H.dir_element(F.col("name"), F.col("checksum"), meta))
-        sorted_of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("name", element.alias("element"))))), lambda x: x["element"])  # noqa: E731, B023
-        grouped = here.groupBy("dir").agg(sorted_of("f").alias("f"), sorted_of("d").alias("d"))
-        a, b = H.array_hex(F.col("f")), H.array_hex(F.col("d"))
-        bytes_ = F.concat(a, b, H.le(H.size_of(a), H.offset_width(H.size_of(a) + H.size_of(b), F.lit(1))))
-        tree = cut(grouped.select(F.col("dir").alias("path"), H.sha(bytes_).alias("checksum"), F.size("f").cast("long").alias("files"), F.size("d").cast("long").alias("dirs")))
+        here = here.select("dir", "kind", "name", element.alias("element"))
+        # running ends by a window over the partitioning that the grouping needs anyway
+        ends = here.withColumn("end", F.sum(H.size_of(F.col("element"))).over(Window.partitionBy("dir", "kind").orderBy("name")))
+        sorted_of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "element", "end"))))
+        grouped = ends.groupBy("dir").agg(sorted_of("f").alias("f"), sorted_of("d").alias("d"))
+        tree = cut(_directory(grouped).select(F.col("dir").alias("path"), "checksum", "files", "dirs"))
         done.append(tree)
         up = tree.where("path <> ''").select(parent(F.col("path")).alias("dir"), base(F.col("path")).alias("name"), "checksum", F.lit("d").alias("kind"))
         level = level.where(depth(F.col("dir")) < d).unionByName(up) if d else level
