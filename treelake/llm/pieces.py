@@ -44,7 +44,7 @@ class Params:
 class Pieces:
     """The model file's pieces: exact encoding, the lattice of a text, decoding."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 150_000):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.get_piece_size()
         names = [self.sp.id_to_piece(i) for i in range(n)]
