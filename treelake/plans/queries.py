@@ -782,8 +782,9 @@ def c23_normal_path(spark, d):
     return S.files(spark, d).select(raw.alias("raw"), T.normal_path(raw).alias("plain"))
 
 
-def _payloads(spark, d, altered: bool = False) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars > 3000")
+def _payloads(spark, d, altered: bool = False, where: str = "true") -> DataFrame:
+    """(checksum, payload) of the documents; an altered one has bytes put in behind its 1,500th character, or at the end of a shorter text."""
+    docs = table(spark, d, "documents").where(where)
     text = F.concat(F.substr("text", F.lit(1), F.lit(1500)), F.lit("<new>"), F.substr("text", F.lit(1501))) if altered else F.col("text")
     return docs.select(F.col("doc_id").cast("string").alias("checksum"), text.cast("binary").alias("payload"))
 
@@ -847,7 +848,7 @@ def c07_codec_round_trip(spark, d):
 @query("SELECT CAST(doc_id AS VARCHAR) AS checksum, sha256(substr(text, 1, 1500) || '<new>' || substr(text, 1501)) AS rebuilt FROM documents WHERE n_chars > 3000")
 def c18_delta_round_trip(spark, d):
     """Altered payloads, rebuilt from the old ones by copies and literal bytes."""
-    old, new = _payloads(spark, d), _payloads(spark, d, True)
+    old, new = _payloads(spark, d, where="n_chars > 3000"), _payloads(spark, d, True, "n_chars > 3000")
     runs = D.copy_plan(D.chunks(new).withColumn("source", F.col("checksum")), D.chunks(old))
     plans = runs.groupBy("checksum").agg(F.array_sort(F.collect_list(F.struct("start", "length", "from"))).alias("runs"))
     both = plans.join(old, "checksum").join(new.select("checksum", F.col("payload").alias("wanted")), "checksum")
