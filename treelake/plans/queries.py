@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, gvariant
 from ..functions import hashing as H
 from ..operators import deltas as D
+from ..operators import fsck
 from ..operators import history as Hi
 from ..operators import refs as R
 from ..operators import trees as T
@@ -577,8 +578,9 @@ def j09_tree_merge(spark, d):
 
 @query(with_("commits", "content") + " SELECT DISTINCT c.checksum AS commit_, o.checksum AS object FROM content o JOIN commits c USING (k) WHERE o.size % 97 = 0")
 def j10_fsck_attribution(spark, d):
-    bad = S.content(spark, d).where("size % 97 = 0").select("k", F.col("checksum").alias("object"))
-    return bad.join(S.commits(spark, d).select("k", F.col("checksum").alias("commit_")), "k").select("commit_", "object").distinct()
+    bad = fsck.mismatches(S.stored_objects(spark, d)).select("checksum")
+    held = S.content(spark, d).join(bad, "checksum", "left_semi").select("k", F.col("checksum").alias("object"))
+    return held.join(S.commits(spark, d).select("k", F.col("checksum").alias("commit_")), "k").select("commit_", "object").distinct()
 
 
 @query(with_("commits", "refs") + " SELECT c.checksum, r.name AS bound_to, r.checksum IS NULL AS dangling FROM commits c LEFT JOIN refs r ON r.branch = c.branch AND r.checksum = c.checksum WHERE c.k % 10 = 0")
@@ -657,8 +659,7 @@ def j20_summary_consistency(spark, d):
 
 @query(with_("commits") + " SELECT CASE WHEN k % 97 = 0 THEN 'corrupt' WHEN k % 11 = 0 THEN 'partial' ELSE 'ok' END AS kind, count(*) AS n FROM commits GROUP BY 1")
 def a03_fsck_report(spark, d):
-    kind = F.when(F.col("k") % 97 == 0, "corrupt").when(F.col("k") % 11 == 0, "partial").otherwise("ok").alias("kind")
-    return S.commits(spark, d).groupBy(kind).agg(F.count("*").alias("n"))
+    return fsck.report(S.stored_commits(spark, d), S.partial_commits(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(SPACES + " SELECT id, count(*) AS refs, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT id, name FROM spaces) GROUP BY id")

@@ -56,6 +56,28 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("l"), F.col("l_linenumber").cast("string")).alias("name"), F.sha2(key.cast("binary"), 256).alias("checksum"), (F.col("l_partkey") % 1000 + 1).cast("long").alias("size"))
 
 
+def stored_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(checksum, payload): each commit's bytes as stored. Injected faults: one more byte where k % 97 = 0."""
+    k = F.col("o_orderkey")
+    right = F.concat(F.lit("commit:"), k.cast("string"))
+    stored = F.when(k % 97 == 0, F.concat(right, F.lit("?"))).otherwise(right)
+    return table(spark, sf_dir, "orders").select(F.sha2(right.cast("binary"), 256).alias("checksum"), stored.cast("binary").alias("payload"))
+
+
+def partial_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(checksum): markers of commits that haven't arrived whole, where k % 11 = 0."""
+    return commits(spark, sf_dir).where("k % 11 = 0").select("checksum")
+
+
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(checksum, payload): each object's bytes as stored. Injected faults: one more byte where its size % 97 = 0."""
+    part = F.col("l_partkey")
+    right = F.concat_ws(":", F.lit("obj"), part.cast("string"), F.col("l_suppkey").cast("string"))
+    stored = F.when((part % 1000 + 1) % 97 == 0, F.concat(right, F.lit("?"))).otherwise(right)
+    keys = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return keys.select(F.sha2(right.cast("binary"), 256).alias("checksum"), stored.cast("binary").alias("payload"))
+
+
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, nation): org.<region>.<nation>."""
     plain = lambda c: F.lower(F.translate(c, " ", "_"))
