@@ -1,11 +1,11 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class). A word's class comes from its ending, so that unseen words have one, and
-endings are clustered by the company they keep in a bounded sample of texts. P(class | history) is a softmax
+endings are clustered by the company they keep in all training texts. P(class | history) is a softmax
 over hashed features of the three classes before: n-grams (1, 1-2, 1-2-3 back) and skips (2, 3, 1 and 3 back). P(word | class) is
 (count + 1) / (tokens of the class + its words + 1), the last 1 being for all unseen words, so all probabilities of a history add up to 1.
 
-Counts cover every training text: words, and class 4-grams, which are the model's sufficient statistics. Gradient updates
+Counts cover every training text: pairs of endings, words, and class 4-grams, which are the model's sufficient statistics. Gradient updates
 run over the 4-gram table on the executors, which return one summed gradient for each partition.
 Word counts are looked up in a dictionary of the most frequent words of bounded size, and joined for all other words.
 """
@@ -35,7 +35,6 @@ END = np.uint64(0x6A09E667F3BCC909)
 @dataclass(frozen=True)
 class Params:
     endings: int = 512
-    sample: int = 512  # texts that the clustering of endings sees
     features: int = 4096
     partitions: int = 8
     steps: int = 12
@@ -49,17 +48,43 @@ def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.
     return (mix(at(1) | at(2) << np.uint64(9) | at(3) << np.uint64(18)) % np.uint64(n)).astype(np.int64)
 
 
-def cluster(texts: list[str], p: Params) -> np.ndarray:
+def _meet(p: Params):
+    """Rows (key, n): how often ending b follows a by 1 to 3 words as key a * endings + b, how often b occurs as key endings**2 + b. Summed within the task."""
+    size = p.endings**2
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total, codes, held = Words(), np.zeros(size + p.endings, np.int64), [], 0
+        for b in batches:
+            for text in b.column(0):
+                _, data, start, end = words.spans(text.as_py())
+                if not len(start):
+                    continue
+                at = endings(data, start, end, p.endings)
+                codes.append(size + at)
+                codes += [at[:-gap] * p.endings + at[gap:] for gap in (1, 2, 3) if len(at) > gap]
+                held += 4 * len(at)
+                if held >= 2_000_000:
+                    total += np.bincount(np.concatenate(codes), minlength=len(total))
+                    codes, held = [], 0
+        if codes:
+            total += np.bincount(np.concatenate(codes), minlength=len(total))
+        key = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], ["key", "n"])
+
+    return rows
+
+
+def meetings(texts: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(endings x endings counts of pairs, counts of endings) over every text; at most endings**2 + endings rows reach the driver."""
+    found = texts.mapInArrow(_meet(p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(p.endings**2 + p.endings)
+    total[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return total[: p.endings**2].reshape(p.endings, p.endings), total[p.endings**2 :]
+
+
+def cluster(met: np.ndarray, freq: np.ndarray, p: Params) -> np.ndarray:
     """ending -> class in 1 .. C - 1, by k-means over the leading directions of the endings' positive mutual information."""
-    n, words = p.endings, Words()
-    met, freq = np.zeros((n, n)), np.zeros(n)
-    for t in texts:
-        _, data, start, end = words.spans(t)
-        b = endings(data, start, end, n)
-        freq += np.bincount(b, minlength=n)
-        for gap in (1, 2, 3):
-            if len(b) > gap:
-                met += np.bincount(b[:-gap] * n + b[gap:], minlength=n * n).reshape(n, n)
+    n = p.endings
     if not freq.sum():
         return 1 + np.arange(n) % (C - 1)
     met = met + met.T + 1e-3
@@ -223,9 +248,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     flag = F.lit(False) if held_out is None else held_out
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("held_out"))
     training = docs.where("not held_out")
-    h = F.xxhash64("doc_id")
-    seen = training.where("text is not null").groupBy(F.pmod(h, F.lit(p.sample)).alias("bucket")).agg(F.min_by("text", F.struct(h, "doc_id", F.xxhash64("text"))).alias("text")).collect()
-    classes = cluster([r.text for r in sorted(seen, key=lambda r: r.bucket)], p)
+    classes = cluster(*meetings(training.select("text"), p), p)
     rows = cut(training.select("text").mapInArrow(_count(classes, p), "kind byte, key long, form int, n long"))
     counts = cut(rows.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c"), F.max("form").alias("form")))
     weights = train(rows.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), p)
