@@ -32,6 +32,7 @@ class Params:
     level: int = 6
     temperature: float = 2.0  # bytes by which a language must be smaller for e times the weight
     min_score: float = 0.35  # below it the margin is narrow
+    min_gap: float = 0.02  # the margin is narrow, too, where the second language needs less than this part more bytes; a tie always is
 
 
 def clean(text: str | None) -> bytes:
@@ -77,16 +78,20 @@ def compressors(model: list[tuple[str, bytes]], p: Params) -> list[tuple[str, zs
     return out
 
 
-def classify(text: str | None, tools: list, p: Params) -> tuple[str, float]:
-    """(language, score in 0..1); ("und", 0) without a letter or without a model. The more frequent language wins ties."""
+def classify(text: str | None, tools: list, p: Params) -> tuple[str, float, float]:
+    """(language, score in 0..1, gap); ("und", 0, 0) without a letter or without a model. The more frequent language wins ties.
+
+    The gap is what the second language needs more, as a part of the best one's bytes; infinite with one language.
+    """
     data = clean(text)
     if not data or not tools:
-        return "und", 0.0
+        return "und", 0.0, 0.0
     blocks = [data[i : i + p.block] for i in range(0, len(data), p.block)]
     sizes = [sum(len(tool.compress(b)) for b in blocks) for _, tool in tools]
     least = min(sizes)
     weight = sum(math.exp(max(-700.0, (least - s) / p.temperature)) for s in sizes)
-    return tools[sizes.index(least)][0], 1.0 / weight
+    second = sorted(sizes)[1] if len(sizes) > 1 else math.inf
+    return tools[sizes.index(least)][0], 1.0 / weight, (second - least) / least
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text", p: Params = Params()) -> DataFrame:
@@ -104,7 +109,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text"
         for b in batches:
             found = [classify(x.as_py(), tools, p) for x in b.column(at)]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
-            extra = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == "und" or s < p.min_score for x, s in found], pa.bool_())]
+            extra = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == "und" or s < p.min_score or gap <= 0 or gap < p.min_gap for x, s, gap in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*keep, "lang_pred", "score", "rejected"])
 
     added = StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
