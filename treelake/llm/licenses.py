@@ -7,6 +7,8 @@ digests of known licences. Built-in functions only, for texts and for the known
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,23 @@ Unless required by applicable law or agreed to in writing, software distributed
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Unlicense-opening": "This is free and unencumbered software released into the public domain.",
 }
+#: Whole texts as they are distributed, one file for each.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Titles that these texts are distributed with, above the copyright notice.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD License", "The BSD 3-Clause License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+#: Words behind which some distributions leave out how to apply the licence, and the line that some put under the Unlicense.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+UNLICENSE_LINK = "For more information, please refer to <http://unlicense.org/>"
+#: Notices of a holder without a mark or year, as a paragraph of their own, so that no wrapped line of a licence is one.
+PLAIN_NOTICE = r"(?i)(^\s*|\n[ \t\r]*\n)([ \t]*copyright[ \t][^\n]{1,200}\n)+(?=[ \t\r]*(\n|all rights reserved))"
 
 
 #: Each word stands between two spaces of its own while spellings are replaced.
@@ -122,9 +141,26 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
+def distributed() -> list[tuple[str, str]]:
+    """(license, text) of every known licence: KNOWN and the files, each as it is, with its titles, and without what follows the terms."""
+    texts = KNOWN | {f.stem: f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
+    out = []
+    for name, body in sorted(texts.items()):
+        forms = [body]
+        if name == "Unlicense":
+            forms.append(f"{body}\n{UNLICENSE_LINK}")
+        if END_OF_TERMS in body:
+            terms = body[: body.index(END_OF_TERMS)]
+            forms += [terms, terms + END_OF_TERMS]
+        out += [(name, form) for form in forms]
+        out += [(name, f"{title}\n\n{form}") for title in TITLES.get(name, []) for form in forms]
+    return out
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license, digest); of licences with the same canonical form the first name."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(body).alias("body")) for name, body in sorted((texts or KNOWN).items())])
+    listed = sorted(texts.items()) if texts else distributed()
+    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(body).alias("body")) for name, body in listed])
     listed = spark.range(1).select(F.inline(rows))
     return listed.select("license", F.sha2(canonical(F.col("body")).cast("binary"), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
@@ -136,14 +172,19 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame
     small, so that its broadcast is bounded by the list, not by the documents; equal texts meet in no task.
     """
     keep = [c for c in docs.columns if c not in ("canonical_chars", "digest", "license")]
-    form = canonical(F.col(f"`{text_col}`").cast("string"))
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], form.alias("__form"))
-    out = out.select(*[F.col(f"`{c}`") for c in keep], F.length("__form").cast("long").alias("canonical_chars"), F.sha2(F.col("__form").cast("binary"), 256).alias("digest"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # only texts with a plain notice are brought into canonical form a second time
+    bare = F.when(text.rlike(PLAIN_NOTICE), F.sha2(canonical(F.regexp_replace(text, PLAIN_NOTICE, "\n\n")).cast("binary"), 256))
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], canonical(text).alias("__form"), bare.alias("__bare"))
+    out = out.select(*[F.col(f"`{c}`") for c in keep], F.length("__form").cast("long").alias("canonical_chars"), F.sha2(F.col("__form").cast("binary"), 256).alias("digest"), "__bare")
     names = known.where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).select("digest", "license")
-    return out.join(F.broadcast(names), "digest", "left").select(*[F.col(f"`{c}`") for c in keep], "canonical_chars", "digest", "license")
+    other = names.select(F.col("digest").alias("__bare"), F.col("license").alias("__license"))
+    out = out.join(F.broadcast(names), "digest", "left").join(F.broadcast(other), "__bare", "left")
+    return out.select(*[F.col(f"`{c}`") for c in keep], "canonical_chars", "digest", F.coalesce("license", "__license").alias("license"))
 
 
 def oracle_sql() -> str:
+    """Without the files, titles and plain notices, which tests cover by hand: on tables without such texts the rows are the same."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(n)}, {quoted(b)})" for n, b in sorted(KNOWN.items()))
     return f"""
