@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from treelake.llm import jaccard
@@ -54,10 +55,11 @@ def result(spark, rows):
     return {(r.doc, r.n_shingles, r.component) for r in jaccard_join(df).collect()}
 
 
-@pytest.mark.parametrize(("small", "chunk"), [(512, 2_000_000), (2, 300), (512, 1)])
-def test_matches_brute_force(spark, monkeypatch, small, chunk):
+@pytest.mark.parametrize(("small", "chunk", "fresh"), [(512, 2_000_000, 2), (2, 300, 2), (2, 300, 0), (512, 1, 2)])
+def test_matches_brute_force(spark, monkeypatch, small, chunk, fresh):
     monkeypatch.setattr(jaccard, "SMALL_DOCS", small)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "FRESH", fresh)
     rows = corpus(small + chunk)
     assert result(spark, rows) == brute(rows)
 
@@ -75,3 +77,50 @@ def test_class_borders_keep_every_pair():
         for m in range(n, n * 100 // 90 + 1):
             assert c.of(n) in c.classes(m)
         assert c.parts(c.of(n))[0] > n * 10 // 90
+
+
+def test_id_with_two_texts_links_by_either(spark):
+    rows = [(7, "a b c d"), (7, None), (7, "q r s t u"), (9, "Q r s t u"), (3, "A B C D"), (12, "x")]
+    got = {(r.doc, r.component) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(7, 3), (9, 3), (3, 3), (12, 12)}
+
+
+@pytest.mark.parametrize("t", [80, 90])
+def test_pairs_at_the_threshold_share_a_cell(t):
+    """However sizes fall into classes, and with other parts, too."""
+    rng = np.random.default_rng(t)
+    for n in [2, 5, 9, 10, 11, 40, 90, 333, 2000]:
+        for _ in range(20):
+            s = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))[:n]
+            gone = rng.integers(0, 1 + n * (100 - t) // 100)
+            x, y = s[gone:], s
+            assert 100 * len(x) >= t * len(y)
+            for seed in (0, 1):
+                c = jaccard.Classes(t, 100)
+                assert set(c.signatures(x, seed).tolist()) & set(c.signatures(y, seed).tolist())
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 300, 5000])
+def test_histograms_bound_the_intersection(n):
+    rng = np.random.default_rng(n)
+    x, y = (np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for size in (n, 2 * n))
+    y = np.unique(np.concatenate([y, x[: len(x) // 2]]))
+    h, g = (jaccard.unpacked(jaccard.histogram(s)) for s in (x, y))
+    assert h.sum() == len(x) and g.sum() == len(y)
+    assert len(np.intersect1d(x, y)) <= jaccard.most_common(h, g, len(x), len(y)) <= len(x)
+
+
+def test_crossing_keeps_every_pair_that_links():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[: rng.integers(1, 400)], rng.integers(0, 1 << 63, rng.integers(0, 40)).astype(np.uint64)])) for _ in range(60)]
+    sets.sort(key=len)
+    component = rng.integers(0, 5, 60)
+    n = np.array([len(s) for s in sets])
+    sketches = [b"d" * 16 + (jaccard.histogram(s) if i % 7 else b"") for i, s in enumerate(sets)]
+    keep = jaccard.crossing(n, component, sketches, 80, 100)
+    for i in range(60):
+        for j in range(60):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if component[i] != component[j] and 100 * both >= 80 * (n[i] + n[j] - both):
+                assert keep[i] and keep[j]

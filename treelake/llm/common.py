@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import cut, shared_dir, spent
+
+__all__ = ["BROADCAST_ROWS", "cut", "maybe_broadcast", "shared_dir", "spent", "spread_join", "table"]
+
 #: Rows of two to four long columns that may be broadcast (16 to 32 MB); beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key that a join leaves together; those of a hotter key are dealt over several copies of its other side.
+TOGETHER = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='treelake-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lost executors then cost a re-read, not a re-run."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
     """Broadcast a frame of two to four long columns whose counted size is within the bound."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def long_col(name: str):
-    return F.col(name).cast("long").alias(name)
+def spread_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str) -> DataFrame:
+    """rows JOIN one on the key, which is unique in `one`. Rows of a hot key are dealt by a hash of `salt_by`, and its row of `one` is repeated for each share."""
+    hot = cut(rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > TOGETHER).select(key, (F.col("rows") / TOGETHER).cast("int").alias("shares")))
+    n = hot.count()
+    if not n:
+        return rows.join(one, key)
+    few = maybe_broadcast(hot, n)
+    dealt = rows.join(few, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("shares") + 1), F.lit(0).cast("long")))
+    copies = one.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(0)).cast("long"))))
+    return dealt.drop("shares").join(copies.drop("shares"), [key, "salt"]).drop("salt")
+

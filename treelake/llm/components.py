@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spent
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct())
     before = None
     while (after := _print(now)) != before and after[0]:
-        before = after
-        now = cut(_small_star(_large_star(now)))
+        before, last = after, now
+        now = cut(_small_star(_large_star(last)))
+        spent(last)
     root = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return root.union(now.select("b", F.col("b").alias("component")).distinct())
