@@ -15,7 +15,7 @@ def brute(rows, cosine):
         for i in links:
             for j in links[i]:
                 root[rows[i][0]] = root[rows[j][0]] = min(root[rows[i][0]], root[rows[j][0]])
-    return sorted(((r[0], len(links[i]), root[r[0]], r[0] == root[r[0]]) for i, r in enumerate(rows)), key=str)
+    return sorted(((r[0], len(links[i]), root[r[0]], r[0] is not None and r[0] == root[r[0]]) for i, r in enumerate(rows)), key=str)
 
 
 def sample(seed, spread, dims=6, n=220):
@@ -24,6 +24,7 @@ def sample(seed, spread, dims=6, n=220):
     rows = [[int(i), (centres[rng.integers(12)] + rng.normal(size=dims) * spread).tolist(), int(rng.integers(2))] for i in rng.permutation(n)]
     rows[3][1] = rows[4][1] = rows[5][1]
     rows += [[1000, None, 1], [1001, [0.0] * dims, 1], [1002, [], 0], [1003, [float("nan")] * dims, 0], [1004, [1.0, None, 2.0, 1.0, 1.0, 1.0], 1], [1005, rows[3][1], None], [1006, rows[3][1][:4], rows[3][2]], [1007, [float("inf")] + [1.0] * (dims - 1), 0]]
+    rows += [[rows[9][0], rows[9][1], rows[9][2]], [rows[10][0], rows[11][1], rows[11][2]], [None, rows[9][1], rows[9][2]]]  # repeated rows, an id with two vectors, no id
     return rows
 
 
@@ -40,3 +41,35 @@ def test_matches_brute_force(spark, monkeypatch, cell, spread, cosine):
 
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_pivots_run_with_the_default_cell(spark, monkeypatch):
+    """Families far from each other: cells that pivots separate, no blocks of all pairs."""
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(32, 32)))[0]
+    which = rng.integers(0, 32, 3 * neardup.CELL)
+    x = centres[which] + rng.normal(size=(len(which), 32)) * 0.02
+    seen = []
+    real = neardup._spread
+    monkeypatch.setattr(neardup, "_spread", lambda radius, tally: seen.append(tally) or real(radius, tally))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec: (r.n_links, r.component) for r in neardup.near_duplicates(df).collect()}
+    assert False in seen  # points were copied by windows, not only counted
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, len(x), 37):
+        linked = np.flatnonzero(unit @ unit[i] >= 0.98)
+        assert got[i][0] == len(linked) - 1
+        assert got[i][1] <= linked.min()
+
+
+def test_cells_in_a_task_skip_only_what_is_far():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 5))
+    x[::3] = x[0] + rng.normal(size=(200, 5)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, o = np.arange(0, 600, 2), np.arange(600)
+    met = np.zeros((600, 600), bool)
+    for m, others in neardup.meetings(x, a, o, 0.2):
+        met[np.ix_(m, others)] = True
+    close = x @ x.T >= 0.98
+    assert met[a][close[a]].all() and met[a].mean() < 0.9
