@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import cut, shared_dir, spent
 
-__all__ = ["BROADCAST_ROWS", "cut", "maybe_broadcast", "shared_dir", "spent", "spread_join", "table"]
+__all__ = ["BROADCAST_ROWS", "cut", "maybe_broadcast", "shared_dir", "spent", "smallish_join", "spread_join", "table"]
 
 #: Rows of two to four long columns that may be broadcast (16 to 32 MB); beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of wider rows, summed up, that may be broadcast.
+BROADCAST_BYTES = 32_000_000
 #: Rows of one key that a join leaves together; those of a hotter key are dealt over several copies of its other side.
 TOGETHER = 4096
 
@@ -35,3 +37,10 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str) -> Data
     copies = one.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(0)).cast("long"))))
     return dealt.drop("shares").join(copies.drop("shares"), [key, "salt"]).drop("salt")
 
+
+
+def smallish_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str, wide: str, width: int = 1) -> DataFrame:
+    """rows JOIN one on the key: `one` is broadcast if the bytes of its column `wide` (elements of `width` bytes) sum up to little, else rows of hot keys are dealt."""
+    size = F.size(wide) if dict(one.dtypes)[wide].startswith("array") else F.octet_length(wide)
+    held = one.agg(F.sum(size.cast("long") * width + 64)).first()[0] or 0
+    return rows.join(F.broadcast(one), key) if held <= BROADCAST_BYTES else spread_join(rows, one, key, salt_by)

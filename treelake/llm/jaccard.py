@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, spent, spread_join
+from .common import cut, maybe_broadcast, smallish_join, spent, spread_join
 from .components import components
 from .words import M1, M2, Words, mix
 
 SMALL_DOCS, SMALL_SHINGLES = 512, 2_000_000  # a region of at most this size is joined in one task
-CHUNK = 2_000_000  # rows (pivot, doc) that a task sorts at a time
+CHUNK = 500_000  # rows (cell, doc) that a task sorts at a time
 PIVOTS = 8  # new pivots of a region that is larger
 FRESH = 2  # times that a large region is cut by fresh sub-spaces
 COPIES = 200_000  # shingle sets that a task remembers to find equal ones; later copies meet in cells
@@ -150,10 +150,10 @@ def _signature_rows(k: int, num: int, den: int):
         cells, owners, held = [], [], 0
 
         def out(kind: int, a, b, c=None, sketch=None) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(a), 200_000):
-                x, y = a[at : at + 200_000], b[at : at + 200_000]
-                z = pa.nulls(len(x), pa.int64()) if c is None else pa.array(c[at : at + 200_000])
-                sk = pa.nulls(len(x), pa.binary()) if sketch is None else pa.array(sketch[at : at + 200_000], pa.binary())
+            for at in range(0, len(a), 50_000):
+                x, y = a[at : at + 50_000], b[at : at + 50_000]
+                z = pa.nulls(len(x), pa.int64()) if c is None else pa.array(c[at : at + 50_000])
+                sk = pa.nulls(len(x), pa.binary()) if sketch is None else pa.array(sketch[at : at + 50_000], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x, pa.int64()), pa.array(y, pa.int64()), z, sk], ["kind", "a", "b", "c", "sketch"])
 
         def chunk() -> Iterator[pa.RecordBatch]:
@@ -363,31 +363,33 @@ class _Join:
     def sets(self, docs: DataFrame) -> DataFrame:
         return cut(self.some(docs).mapInArrow(_set_rows(self.k), "doc long, shingles array<long>").where("size(shingles) > 0"))
 
-    def sketches(self, docs: DataFrame) -> DataFrame:
-        """(doc, n, sketch): a row for each text of a document."""
-        return cut(self.facts.where("sketch is not null").join(maybe_broadcast(docs, docs.count()), "doc", "left_semi").dropDuplicates(["doc", "sketch"]))
+    def sketches(self, rows: DataFrame) -> DataFrame:
+        """The rows (doc, ...), each with n and sketch of its document; one for each text of a document."""
+        known = self.facts.where("sketch is not null")
+        return known.join(maybe_broadcast(rows, rows.count()), "doc")
 
     def distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Adds to (region, pivot, doc) the exact distance in millionths (rounded down), whether the two link, and the size."""
         mine = sets.join(maybe_broadcast(pairs.select("region", "pivot", "doc"), pairs.count()), "doc")
-        of = pairs.select(F.col("pivot").alias("doc")).distinct()
-        of = sets.join(of, "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("shingles").alias("of_pivot"))
-        both = spread_join(mine, of, "pivot", "doc")
+        ids = pairs.select(F.col("pivot").alias("doc"))
+        of = sets.join(maybe_broadcast(ids, pairs.count()), "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("shingles").alias("of_pivot"))
+        both = smallish_join(mine, of, "pivot", "doc", "of_pivot", 8)
         both = both.withColumn("i", F.size(F.array_intersect("shingles", "of_pivot")).cast("long")).withColumn("u", F.size("shingles") + F.size("of_pivot") - F.col("i"))
         return both.select("region", "pivot", "doc", F.expr("(u - i) * 1000000 div u").alias("d"), F.expr(f"{self.den} * i >= {self.num} * u").alias("linked"), F.size("shingles").cast("long").alias("n"))
 
     def star(self, regions: DataFrame) -> DataFrame:
         """(region, pivot, doc, d, linked, n): exact for documents that link, for others at least the distance."""
-        ids = cut(regions.select("doc").union(regions.select("pivot")).distinct())
-        known = self.sketches(ids)
-        of = known.select(F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
-        rows = spread_join(regions.join(known, "doc"), of, "pivot", "doc").select("region", "pivot", "doc", "n", "pivot_n", "sketch", "pivot_sketch")
+        ids = cut(regions.select(F.col("pivot").alias("doc")).distinct())
+        of = cut(self.sketches(ids).select(F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")))
+        rows = smallish_join(self.sketches(regions), of, "pivot", "doc", "pivot_sketch").select("region", "pivot", "doc", "n", "pivot_n", "sketch", "pivot_sketch")
         judged = cut(rows.mapInArrow(_star_rows(self.num, self.den), "region long, pivot long, doc long, n long, d long, state byte"))
-        pairs = cut(judged.where("state = 1").select("region", "pivot", "doc").distinct())
-        sets = self.sets(cut(pairs.select("doc").union(pairs.select("pivot")).distinct()))
+        pairs = cut(judged.where("state = 1").select("region", "pivot", "doc"))
         sure = judged.where("state <> 1").select("region", "pivot", "doc", "d", (F.col("state") == 2).alias("linked"), "n")
+        if pairs.isEmpty():
+            return sure
+        sets = self.sets(cut(pairs.select("doc").union(pairs.select("pivot")).distinct()))
         met = cut(sure.union(self.distances(pairs, sets)))
-        spent(ids, known, judged, pairs, sets)
+        spent(ids, of, judged, pairs, sets)
         return met
 
     def window(self, met: DataFrame) -> DataFrame:
@@ -396,27 +398,31 @@ class _Join:
         return met.join(far, "region").where(F.col("d") >= F.col("far") - self.radius).select("region", "doc", "n")
 
     def unjoined(self, rest: DataFrame) -> DataFrame:
-        """(region, doc, n, component): the documents of regions that aren't of one component by now."""
-        joined = components(_union(self.links), "a", "b").withColumnRenamed("node", "doc")
-        of = cut(rest.join(joined, "doc", "left").groupBy("region", "doc").agg(F.max("n").alias("n"), F.first(F.coalesce("component", "doc")).alias("component")))
+        """(region, doc, n, component): the documents of regions that aren't known to be joined by now.
+
+        component names a document that this one is joined with over at most two links, each to the smallest; equal names mean joined, unequal ones that it isn't known yet.
+        """
+        up = cut(_union(self.links).groupBy(F.greatest("a", "b").alias("doc")).agg(F.min(F.least("a", "b")).alias("up")))
+        few = maybe_broadcast(up, up.count())
+        once = rest.join(few, "doc", "left").select("region", "doc", "n", F.coalesce("up", "doc").alias("via"))
+        named = once.join(few.select(F.col("doc").alias("via"), F.col("up").alias("further")), "via", "left")
+        of = cut(named.groupBy("region", "doc").agg(F.max("n").alias("n"), F.first(F.coalesce("further", "via")).alias("component")))
         parts = of.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"))
         out = cut(of.join(parts.where("least <> most").select("region"), "region", "left_semi"))
-        spent(of, joined)
+        spent(of, up)
         return out
 
     def finish(self, rows: DataFrame) -> None:
         """Joins regions (region, doc, n, component) that fit in a task: by histograms, and by sets what those leave."""
-        ids = cut(rows.select("doc").distinct())
-        known = self.sketches(ids)
-        near = rows.select("region", "doc", "component").join(known, "doc").select("region", "doc", "n", "component", "sketch")
+        near = self.sketches(rows.select("region", "doc", "component")).select("region", "doc", "n", "component", "sketch")
         near = near.repartition("region").sortWithinPartitions("region", "n", "doc").mapInArrow(_crossing_rows(self.num, self.den), "region long, doc long")
-        left = cut(near.distinct())
+        left = cut(near)
         if not left.isEmpty():
             sets = self.sets(cut(left.select("doc").distinct()))
             with_sets = sets.join(maybe_broadcast(left, left.count()), "doc").select("region", "doc", "shingles")
             self.links.append(cut(with_sets.groupBy("region").applyInPandas(_small_region(self.num, self.den), "a long, b long")))
             spent(sets)
-        spent(ids, known, left)
+        spent(left)
 
     def fresh(self, large: DataFrame, seed: int) -> DataFrame:
         """(region, pivot, doc): large regions cut by cells of fresh sub-spaces; a pair that links shares a cell in these, too."""
@@ -460,7 +466,6 @@ class _Join:
         while True:
             self.links.append(cut(_near(met)))
             rest = self.unjoined(self.window(met))
-            spent(met)
             sizes = cut(rest.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
             small = f"docs <= {SMALL_DOCS} and shingles <= {SMALL_SHINGLES}"
             kinds = sizes.agg(F.count_if(F.expr(small)), F.count_if(F.expr(f"not ({small})"))).first()

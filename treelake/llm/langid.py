@@ -1,6 +1,6 @@
 """Language identification by compression: a text has the language whose dictionary makes it smallest.
 
-Each language gets a raw-content zstandard dictionary made from a bounded sample of its labelled texts.
+Each language gets a raw-content zstandard dictionary made from a bounded sample of its labelled texts: excerpts that may begin anywhere in a text.
 A text is lower-cased, everything but letters becomes one space, and the whole of it is compressed in
 blocks with every dictionary; blocks keep the margin between the languages in proportion to the text.
 """
@@ -18,16 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import cut, spent
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Params:
-    """buckets and excerpt bound the sample: at most that many excerpts of that many characters for each language."""
+    """languages, buckets and excerpt bound the sample: at most that many excerpts of that many characters for each of the most frequent languages."""
 
-    buckets: int = 192
+    languages: int = 200
+    buckets: int = 128
     excerpt: int = 800
-    dictionary: int = 64 * 1024
+    dictionary: int = 64 * 1024  # bytes; the excerpts share them
     block: int = 2048
     level: int = 6
     temperature: float = 2.0  # bytes by which a language must be smaller for e times the weight
@@ -36,31 +39,40 @@ class Params:
 
 
 def clean(text: str | None) -> bytes:
-    return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    """Lower-case words; nothing where no character is a letter (numerals such as one half count as words, but aren't letters)."""
+    plain = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    return plain.encode("utf-8", "replace") if any(map(str.isalpha, plain)) else b""
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, p: Params = Params()) -> list[tuple[str, bytes]]:
-    """(language, dictionary) by descending frequency; each of the sample's buckets gives its text of the smallest hash."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    h = F.xxhash64(F.col(id_col))
-    picked = rows.groupBy(F.col(lang_col).cast("string").alias("lang"), F.pmod(h, F.lit(p.buckets)).alias("bucket")).agg(
-        F.count("*").alias("rows"), F.min_by(F.substring(F.col(text_col), 1, p.excerpt), F.struct(h, F.col(id_col), F.col(text_col))).alias("text")
-    )
-    texts: dict[str, list[bytes]] = {}
-    count: dict[str, int] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.bucket)):
-        texts.setdefault(r.lang, []).append(clean(r.text))
-        count[r.lang] = count.get(r.lang, 0) + r.rows
-    order = sorted(texts, key=lambda x: (-count[x], x))
-    texts = trusted(texts, order, p)
-    return [(lang, b" ".join(texts[lang])[-p.dictionary :]) for lang in order]
+    """(language, dictionary) by descending frequency; each of the sample's buckets gives an excerpt of its text of the smallest hash.
+
+    Null languages and texts without a letter teach nothing; without a row there is no model. Repeated rows fall into one bucket.
+    """
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    h = F.xxhash64("id")
+    begin = F.pmod(F.xxhash64(F.lit(1), "id"), F.greatest(F.lit(1), F.length("text") - p.excerpt + 1)).cast("int") + 1
+    picked = cut(rows.groupBy("lang", F.pmod(h, F.lit(p.buckets)).alias("bucket")).agg(F.count("*").alias("rows"), F.min_by(F.substr("text", begin, F.lit(p.excerpt)), F.struct(h, F.col("id"), F.col("text"))).alias("text")))
+    count = {r.lang: r.rows for r in picked.groupBy("lang").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "lang").limit(p.languages).collect()}
+    texts: dict[str, list[bytes]] = {lang: [] for lang in count}
+    for r in sorted(picked.where(F.col("lang").isin(list(count))).collect(), key=lambda r: (r.lang, r.bucket)):
+        texts[r.lang].append(clean(r.text))
+    spent(picked)
+    order = list(count)
+    return [(lang, _shared(found, p.dictionary)) for lang, found in trusted(texts, order, p).items()]
+
+
+def _shared(texts: list[bytes], size: int) -> bytes:
+    """The texts in one dictionary; where they are too long together, each gives its part."""
+    each = size // max(1, len(texts))
+    return b" ".join(texts)[:size] if sum(map(len, texts)) + len(texts) <= size else b" ".join(t[: each - 1] for t in texts)
 
 
 def trusted(texts: dict[str, list[bytes]], order: list[str], p: Params) -> dict[str, list[bytes]]:
     """Drops excerpts that dictionaries made from the other half give to another language: wrong labels would draw their copies along."""
     out = {lang: [] for lang in order}
     for half in (0, 1):
-        tools = compressors([(lang, b" ".join(texts[lang][1 - half :: 2] or texts[lang])[-p.dictionary :]) for lang in order], p)
+        tools = compressors([(lang, _shared(texts[lang][1 - half :: 2] or texts[lang], p.dictionary)) for lang in order], p)
         for lang in order:
             for t in texts[lang][half::2]:
                 sizes = [len(tool.compress(t)) for _, tool in tools]
@@ -97,7 +109,8 @@ def classify(text: str | None, tools: list, p: Params) -> tuple[str, float, floa
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], text: str = "text", p: Params = Params()) -> DataFrame:
     """The input's columns, and lang_pred, score and rejected (no letter, or a narrow margin). Columns of these names are replaced.
 
-    Null and letterless texts give "und", 0 and rejected; equal texts give equal results. Any length of text is read whole.
+    Null and letterless texts give "und", 0 and rejected; equal texts give equal results, also on repeated rows. Of languages that tie the more frequent
+    one is taken, and the row is rejected. Any length of text is read whole; an empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])

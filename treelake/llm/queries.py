@@ -55,7 +55,7 @@ def op5_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id", 4, 2))
     model = langid.fit(docs.where("not held_out"), "doc_id", "text", "lang")
-    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text, decoded again: how many, their digest, and whether the text came back."""
+    """Ids of every whole text, decoded again: how many, their digest, and length and digest of the text that came back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = tokenizer_path("piece_bpe_32k.model")
     encoded = pieces.encode(docs, model)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import maybe_broadcast
+from .common import cut, maybe_broadcast, spent
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,10 +57,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least, pa.int64()), pa.array(sets, pa.list_(pa.string()))], ["positive", "least", "words"])
 
 
-def _sample(rows: DataFrame, buckets: int) -> list[list[str]]:
+def _sample(rows: DataFrame, buckets: int) -> DataFrame:
+    """(positive, words): of each bucket the row of the smallest hash."""
     bucket = F.pmod(F.xxhash64("least"), F.lit(buckets))
-    kept = rows.groupBy(bucket.alias("bucket")).agg(F.min_by("words", F.struct(F.xxhash64("words"), F.col("words"))).alias("words"))
-    return [r.words for r in sorted(kept.collect(), key=lambda r: r.bucket)]
+    return rows.groupBy(bucket.alias("bucket")).agg(F.first("positive").alias("positive"), F.min_by("words", F.struct(F.xxhash64("words"), F.col("words"))).alias("words")).drop("bucket")
+
+
+def _places(ranked: list[str]):
+    """(positive, words) -> (positive, the features' places): a row of the design matrix, of at most one number for each feature."""
+    index = {w: i for i, w in enumerate(ranked)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [sorted(index[w] for w in ws if w in index) for ws in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], ["positive", "at"])
+
+    return rows
 
 
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: Params) -> tuple[np.ndarray, float]:
@@ -87,7 +99,10 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, p: Params)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", p: Params = Params()) -> dict:
-    """{"weights": {word: weight}, "bias", "scale"} from documents that may be learned from; an empty dictionary scores all 0."""
+    """{"weights": {word: weight}, "bias", "scale"} from documents that may be learned from; without toxic labels or documents there are no weights, and every score is 0.
+
+    Null ids, labels and texts teach nothing; an id with several labels counts as toxic if one is. Repeated rows and near copies share a bucket of the sample.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = labels.groupBy("id").agg(F.max("y").alias("y"))
@@ -98,31 +113,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pos = docs.join(maybe_broadcast(wanted, min(toxic, 2 * p.rows)), "id", "left_semi").select(F.lit(True).alias("positive"), "text")
     unl = docs.where(share(docs.count())).select(F.lit(False).alias("positive"), "text")
     schema = "positive boolean, least long, words array<string>"
-    positive = _sample(pos.mapInArrow(_features, schema), p.positive_buckets)
-    unlabelled = _sample(unl.mapInArrow(_features, schema), p.unlabelled_buckets)
-    if not positive or not unlabelled:
+    sample = cut(_sample(pos.mapInArrow(_features, schema), p.positive_buckets).union(_sample(unl.mapInArrow(_features, schema), p.unlabelled_buckets)))
+    n, m = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not n or not m:
         return {"weights": {}, "bias": 0.0, "scale": 0.0}
-    here: dict[str, int] = {}
-    there: dict[str, int] = {}
-    for rows, count in ((positive, here), (unlabelled, there)):
-        for ws in rows:
-            for w in ws:
-                count[w] = count.get(w, 0) + 1
     # prior * P(word | toxic) / P(word | unlabelled) estimates how many of the documents with the word are toxic
-    least = min(len(positive), max(p.min_positive, p.min_share * len(positive)))
-    sure = lambda c: max(0.0, c - p.deviations * c**0.5)
-    part = lambda w, c: prior * (c / len(positive)) / ((there.get(w, 0) + 1) / (len(unlabelled) + 1))
-    purity = {w: part(w, c) for w, c in here.items() if c >= least and part(w, c) >= p.purity and part(w, sure(c)) >= p.sure_purity}
-    ranked = sorted(purity, key=lambda w: (-here[w] * min(1.0, purity[w]), w))[: p.features]
+    least = min(n, max(p.min_positive, p.min_share * n))
+    met = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("here"), F.count_if(~F.col("positive")).alias("there"))
+    sure = F.greatest(F.lit(0.0), F.col("here") - p.deviations * F.sqrt("here"))
+    part = lambda c: prior * (c / n) / ((F.col("there") + 1) / (m + 1))
+    pure = met.where(F.col("here") >= least).withColumn("part", part(F.col("here"))).where((F.col("part") >= p.purity) & (part(sure) >= p.sure_purity))
+    ranked = [r.word for r in pure.orderBy(F.desc(F.col("here") * F.least(F.lit(1.0), "part")), "word").limit(p.features).collect()]
     index = {w: i for i, w in enumerate(ranked)}
-
-    def matrix(rows: list[list[str]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(ranked)), np.float32)
-        for i, ws in enumerate(rows):
-            x[i, [index[w] for w in ws if w in index]] = 1
-        return x
-
-    xp, xu = matrix(positive), matrix(unlabelled)
+    x = {True: np.zeros((n, len(ranked)), np.float32), False: np.zeros((m, len(ranked)), np.float32)}
+    filled = {True: 0, False: 0}
+    for positive, at in sorted((r.positive, r.at) for r in sample.mapInArrow(_places(ranked), "positive boolean, at array<int>").collect()):
+        x[positive][filled[positive], at] = 1
+        filled[positive] += 1
+    spent(sample)
+    xp, xu = x[True], x[False]
     w, b = nnpu(xp, xu, prior, p)
     gp, gu = xp @ w + b, xu @ w + b
     # the decision point: the best corrected balance of toxic documents found and unlabelled ones beyond their share of toxic ones
@@ -146,7 +155,10 @@ def score_text(text: str | None, model: dict, threshold: float) -> float:
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", p: Params = Params(), name: str = "toxicity") -> DataFrame:
-    """The input's columns and the score in 0..1; null, empty and wordless texts get the model's bias alone. Texts are read whole."""
+    """The input's columns and the score in 0..1; null, empty and wordless texts get the model's bias alone. Texts are read whole.
+
+    Equal texts get equal scores, on repeated rows and rows without an id, too. A column of the score's name is replaced; an empty table gives no rows.
+    """
     keep = [c for c in docs.columns if c != name]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast(model)
