@@ -13,7 +13,7 @@ CLEAN = ["".join(p) for p in itertools.product("bdfgklmnprst", "aeiou", "bdfgklm
 BAD = ["snarglewit", "blorkface", "grumpleswine"]
 
 
-def rows(seed=1, n=400):
+def rows(seed=1, n=1200):
     rng = random.Random(seed)
     out = []
     for i in range(n):
@@ -62,7 +62,7 @@ def test_learner_lowers_the_risk_and_keeps_it_above_zero():
 def test_finds_toxic_and_leaves_clean(spark, model):
     data = rows(seed=7)
     got = {r.doc_id: r.toxicity for r in toxicity.score(spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string"), model).collect()}
-    assert np.mean([(got[i] >= P.threshold) == bool(y) for i, _, y in data]) > 0.98
+    assert all((got[i] >= P.threshold) == bool(y) for i, _, y in data)
     for i, t, _ in data:  # a direct sum
         g = model["bias"] + sum(x for w, x in model["weights"].items() if w in toxicity.words_of(t))
         assert got[i] == pytest.approx(1 / (1 + np.exp(-(model["scale"] * g + np.log(P.threshold / (1 - P.threshold))))))
@@ -98,3 +98,10 @@ def test_ties_between_labels_of_an_id(spark):
     labels = [(i, y) for i, _, y in data] + [(i, 0) for i, _, y in data if y]
     m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {w for w in m["weights"] if not w.endswith("*")} <= set(BAD) and m["weights"]
+
+
+def test_a_word_of_small_hash_is_no_family():
+    rng = random.Random(1)
+    texts = [sorted({"grumpleswine", *rng.choices(CLEAN, k=30)}) for _ in range(50)]
+    assert len({toxicity.family(t) for t in texts}) > 45
+    assert toxicity.family(texts[0]) == toxicity.family(list(reversed(texts[0]))) and toxicity.family([]) == 0
