@@ -51,14 +51,38 @@ def test_small_plans_are_optimal(seed):
     size = rng.choice([10, 20, 50])
     items = [rng.randint(1, size) for _ in range(rng.randint(0, 9))]
     hist = dict(Counter(items))
-    assert check_plan(hist, size, packing.plan(hist, size)) == (optimum(items, size) if items else 0)
+    made, proved = packing.plan(hist, size)
+    assert proved and check_plan(hist, size, made) == (optimum(items, size) if items else 0)
+
+
+@pytest.mark.parametrize(("size", "items", "least"), [(50, [6, 20, 9, 19, 6, 9, 17, 8, 6], 2), (20, [5, 8, 5, 10, 12, 4, 4, 8, 11, 11, 6, 7, 8], 5)])
+def test_plans_that_need_many_pieces_or_a_filling_used_once(size, items, least):
+    made, proved = packing.plan(dict(Counter(items)), size)
+    assert proved and check_plan(Counter(items), size, made) == least == optimum(items, size)
+
+
+def test_search_that_is_cut_proves_nothing():
+    items = [5, 8, 5, 10, 12, 4, 4, 8, 11, 11, 6, 7, 8]
+    hist = dict(Counter(items))
+    first = packing.best_fit(hist, 20)
+    made, proved = packing.complete(hist, 20, first, packing.lower_bound(hist, 20), nodes=1)
+    assert not proved and check_plan(hist, 20, made) <= sum(t for _, t in first)
+    assert packing.maximal([1, 2, 3, 4, 5], dict.fromkeys(range(1, 6), 9), 40, steps=10) is None
+
+
+def test_fillings_are_maximal_and_dominance_counts_pieces():
+    hist = {2: 3, 3: 1, 5: 2}
+    every = packing.maximal([2, 3, 5], hist, 10)
+    assert set(every) == {(5, 5), (5, 3, 2), (5, 2, 2), (3, 2, 2, 2)} | ({(5, 3, 2)} & set(every))
+    assert packing.dominates((5, 5), (5, 3, 2)) and not packing.dominates((5, 5, 3), (5, 4, 2, 2))
+    assert not packing.dominates((5, 3), (5, 3))
 
 
 @pytest.mark.parametrize("seed", range(6))
 def test_large_plans_hold_everything_and_reach_the_bound(seed):
     rng = random.Random(seed)
     hist = {n: rng.randint(1, 500) for n in rng.sample(range(1, 2049), 300)}
-    made = packing.plan(hist, 2048)
+    made, _ = packing.plan(hist, 2048)
     assert check_plan(hist, 2048, made) <= packing.lower_bound(hist, 2048) * 1.01 + 1
 
 

@@ -3,8 +3,10 @@
 Only the histogram of piece lengths is needed to plan: at most `size` numbers, whatever the corpus. Best-fit
 decreasing over it gives a first plan (the incumbent). If that is above the lower bound, branch and bound
 completes one sequence at a time around the longest piece left: it tries the undominated fillings, least
-waste first, uses each as often as the histogram allows, and prunes where the waste so far cannot
-beat the incumbent. The plan is a list of (lengths in one sequence, times). Pieces are ranked within their
+waste first, each as often as the histogram allows and then less often, and prunes where the waste so far cannot
+beat the incumbent. The plan is a list of (lengths in one sequence, times), with whether it is proved that fewer
+sequences don't do: it reaches the bound, or the search has ended by itself. A node with too many fillings to list goes on with a
+choice of good ones, and the search stops after some nodes; then nothing is proved. Pieces are ranked within their
 length by salted counts and looked up in the plan.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,8 @@ from .wordbpe import WordIds
 
 Plan = list[tuple[tuple[int, ...], int]]
 NODES = 20_000  # completions that branch and bound tries before it settles for the incumbent
-FILLINGS = 6  # fillings that it branches on at each node
+STEPS = 3_000  # steps that the list of all fillings of a node may take
+FILLINGS = 6  # fillings that it branches on at a node where that isn't enough
 SALTS = 256
 
 
@@ -74,8 +78,55 @@ def best_fit(hist: dict[int, int], size: int) -> Plan:
     return [(tuple(c), t) for groups in open_.values() for c, t in groups if t]
 
 
-def fillings(lengths: list[int], hist: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by up to three pieces and a greedy rest, least waste first. lengths: ascending, with a count left."""
+def maximal(lengths: list[int], hist: dict[int, int], room: int, steps: int = STEPS) -> list[tuple[int, ...]] | None:
+    """All fillings of the room to which no piece left can be added, pieces descending; None if listing them takes too many steps."""
+    down = [n for n in reversed(lengths) if n <= room]
+    after = [0] * (len(down) + 1)  # what all shorter pieces hold
+    for i in range(len(down) - 1, -1, -1):
+        after[i] = after[i + 1] + down[i] * hist[down[i]]
+    found: list[tuple[int, ...]] = []
+    stack: list[tuple[int, int, int, tuple[int, ...]]] = [(0, room, room + 1, ())]  # next length, room left, what it must end below, chosen
+    while stack:
+        steps -= 1
+        if steps < 0:
+            return None
+        i, left, below, chosen = stack.pop()
+        if left - after[i] >= below:
+            continue
+        if i == len(down) or left < down[-1]:
+            if left < below and all(left < n for n in down[i:]):
+                found.append(chosen)
+            continue
+        n = down[i]
+        most = min(hist[n], left // n)
+        for take in range(most + 1):  # the largest is popped first
+            stack.append((i + 1, left - take * n, min(below, n) if take < hist[n] else below, chosen + (n,) * take))
+    return found
+
+
+def dominates(f: tuple[int, ...], g: tuple[int, ...]) -> bool:
+    """Whether f, with the pieces that both have left out, is one piece that holds all that is left of g: they could change places."""
+    more, rest = Counter(f) - Counter(g), Counter(g) - Counter(f)
+    return sum(more.values()) == 1 and sum(n * c for n, c in rest.items()) <= next(iter(more))
+
+
+def options(lengths: list[int], hist: dict[int, int], room: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings, least waste first and then the longer pieces first; and whether they are all."""
+    every = maximal(lengths, hist, room)
+    if every is None:
+        return good_fillings(lengths, hist, room, FILLINGS), False
+    ranked = sorted(every, key=lambda f: _rank(f, room))
+    if len(ranked) > 200:
+        return ranked, True
+    return [g for i, g in enumerate(ranked) if not any(dominates(f, g) for f in ranked[:i])], True
+
+
+def _rank(f: tuple[int, ...], room: int) -> tuple:
+    return room - sum(f), [-n for n in f]
+
+
+def good_fillings(lengths: list[int], hist: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
+    """Some fillings of the room, by up to three pieces and a greedy rest, least waste first. lengths: ascending, with a count left."""
     found: dict[tuple[int, ...], None] = {}
 
     def greedy(chosen: tuple[int, ...], left: int, top: int) -> None:
@@ -105,60 +156,66 @@ def fillings(lengths: list[int], hist: dict[int, int], room: int, most: int) ->
                 j = bisect_right(lengths, other - m) - 1
                 if j >= 0 and all(hist[x] >= (n, m, lengths[j]).count(x) for x in (n, m, lengths[j])):
                     greedy((n, m, lengths[j]), other - m - lengths[j], 0)
-    ranked = sorted(found, key=lambda f: (room - sum(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        # dominated: another filling of no more waste holds one piece in place of several of this one's
-        if not any(sum(g) >= sum(f) and len(g) < len(f) and set(g[:-1]) <= set(f) and g[-1] >= sum(f) - sum(g[:-1]) for g in kept):
-            kept.append(f)
-        if len(kept) >= most:
-            break
-    return kept
-
-
-def complete(hist: dict[int, int], size: int, incumbent: Plan, bound: int, nodes: int = NODES) -> Plan:
-    """Depth-first bin completion; the best plan found within the nodes, the incumbent if none beats it."""
+    return sorted(found, key=lambda f: _rank(f, room))[:most]
+
+
+def complete(hist: dict[int, int], size: int, incumbent: Plan, bound: int, nodes: int = NODES) -> tuple[Plan, bool]:
+    """Depth-first bin completion: the best plan found within the nodes (the incumbent if none beats it), and whether it is proved to be the least.
+
+    Sequences around pieces of one length are taken in the order of their fillings' ranks: some least plan is so that each of them is maximal
+    and undominated in what the ones before it leave, as pieces could otherwise change places and lower a rank.
+    """
     best, total = incumbent, sum(n * c for n, c in hist.items())
-    count = sum(t for _, t in best)
-    stack: list[tuple[dict[int, int], tuple, int, int]] = [(dict(hist), (), 0, 0)]  # left, chain of (filling, times), sequences, waste
-    while stack and nodes > 0 and count > bound:
-        left, chain, used, waste = stack.pop()
-        nodes -= 1
-        if waste > (count - 1) * size - total:
-            continue
-        if not left:
-            best, count = [], used
-            while chain:
-                chain, step = chain
-                best.append(step)
-            continue
+    count, whole = sum(t for _, t in best), True
+
+    def children(left: dict[int, int], beyond: tuple | None):
+        nonlocal whole
         n = max(left)
         rest = dict(left)
-        if rest[n] == 1:
-            del rest[n]
-        else:
-            rest[n] -= 1
-        lengths = sorted(rest)
-        options = fillings(lengths, rest, size - n, FILLINGS) if lengths and lengths[0] <= size - n else [()]
-        for f in reversed(options):  # the least waste is tried first
+        rest[n] -= 1
+        lengths = sorted(x for x, c in rest.items() if c and x <= size - n)
+        found, all_of_them = options(lengths, rest, size - n) if lengths else ([()], True)
+        whole = whole and all_of_them
+        for f in found:
+            rank = _rank(f, size - n)
+            if beyond is not None and rank <= beyond:
+                continue
             contents = (n, *f)
-            need: dict[int, int] = {}
-            for x in contents:
-                need[x] = need.get(x, 0) + 1
-            times = min(left[x] // c for x, c in need.items())
-            after = dict(left)
-            for x, c in need.items():
-                after[x] -= c * times
-                if not after[x]:
-                    del after[x]
-            stack.append((after, (chain, (contents, times)), used + times, waste + times * (size - sum(contents))))
-    return best
+            need = Counter(contents)
+            for times in range(min(left[x] // c for x, c in need.items()), 0, -1):
+                yield contents, need, times, rank
+
+    stack = [(children(hist, None), hist, (), 0, 0)]  # what to try, what is left, chain of (filling, times), sequences, waste
+    while stack and count > bound:
+        if nodes <= 0:
+            return best, False
+        tries, left, chain, used, waste = stack[-1]
+        step = next(tries, None)
+        if step is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        contents, need, times, rank = step
+        wasted = waste + times * (size - sum(contents))
+        if wasted > (count - 1) * size - total:
+            continue
+        after = {x: c - times * need[x] for x, c in left.items() if c > times * need[x]}
+        done = (chain, (contents, times))
+        if after:
+            stack.append((children(after, rank if contents[0] in after else None), after, done, used + times, wasted))
+            continue
+        best, count = [], used + times
+        while done:
+            done, step = done
+            best.append(step)
+    return best, count <= bound or whole
 
 
-def plan(hist: dict[int, int], size: int) -> Plan:
+def plan(hist: dict[int, int], size: int) -> tuple[Plan, bool]:
+    """A plan, and whether it is proved that no plan has fewer sequences."""
     first = best_fit(hist, size)
     bound = lower_bound(hist, size) if hist else 0
-    return first if sum(t for _, t in first) <= bound else complete(hist, size, first, bound)
+    return (first, True) if sum(t for _, t in first) <= bound else complete(hist, size, first, bound)
 
 
 def slots(made: Plan) -> tuple[np.ndarray, ...]:
@@ -195,7 +252,9 @@ def _pieces(path: str, size: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document in a sequence of at most `size` ids.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, proved: every piece of every document in a sequence of at most `size` ids.
+
+    proved is one value for all rows: whether fewer sequences are proved not to do (else the search was cut).
 
     A document is the ids of its whole text (null: none) and then id 0. Only longer ones are cut. Rows with a null
     or a repeated id are packed like any other; an empty table gives no rows. Other columns are ignored.
@@ -207,7 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("rows")))  # at most size * SALTS rows
     hist = {r.length: r.rows for r in counts.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}
-    shared = spark.sparkContext.broadcast(slots(plan(hist, size)))
+    made, proved = plan(hist, size)
+    shared = spark.sparkContext.broadcast(slots(made))
     before = counts.select("length", "salt", (F.sum("rows").over(Window.partitionBy("length").orderBy("salt")) - F.col("rows")).alias("before"))
     # the key comes from few lengths, of which one may hold a third of all rows: the salt splits it
     ranked = salted.withColumn("at", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
@@ -222,4 +282,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             at = np.searchsorted(key, n << 44 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(base[at] + rank - first[at]), pa.array(offset[at])], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long").withColumn("proved", F.lit(proved))
