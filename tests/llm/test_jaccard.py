@@ -55,9 +55,10 @@ def result(spark, rows):
     return {(r.doc, r.n_shingles, r.component) for r in jaccard_join(df).collect()}
 
 
-@pytest.mark.parametrize(("small", "chunk", "fresh"), [(512, 2_000_000, 2), (2, 300, 2), (2, 300, 0), (512, 1, 2)])
-def test_matches_brute_force(spark, monkeypatch, small, chunk, fresh):
+@pytest.mark.parametrize(("small", "chunk", "fresh", "cross"), [(512, 500_000, 1, 4096), (2, 300, 2, 4), (2, 300, 0, 4), (2, 300, 1, 4096), (512, 1, 1, 4096)])
+def test_matches_brute_force(spark, monkeypatch, small, chunk, fresh, cross):
     monkeypatch.setattr(jaccard, "SMALL_DOCS", small)
+    monkeypatch.setattr(jaccard, "CROSS_DOCS", cross)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     monkeypatch.setattr(jaccard, "FRESH", fresh)
     rows = corpus(small + chunk)

@@ -33,10 +33,12 @@ from .common import cut, maybe_broadcast, smallish_join, spent, spread_join
 from .components import components
 from .words import M1, M2, Words, mix
 
-SMALL_DOCS, SMALL_SHINGLES = 512, 2_000_000  # a region of at most this size is joined in one task
+SMALL_DOCS, SMALL_SHINGLES = 512, 2_000_000  # shingle sets that one task joins
+CROSS_DOCS, CROSS_WORK = 4096, 2_000_000_000  # histograms that one task compares: documents, and documents times shingles
 CHUNK = 500_000  # rows (cell, doc) that a task sorts at a time
 PIVOTS = 8  # new pivots of a region that is larger
-FRESH = 2  # times that a large region is cut by fresh sub-spaces
+ROUNDS = 3  # steps in which labels of joined documents spread between levels
+FRESH = 1  # times that a large region is cut by fresh sub-spaces
 COPIES = 200_000  # shingle sets that a task remembers to find equal ones; later copies meet in cells
 
 
@@ -320,7 +322,7 @@ def crossing(n: np.ndarray, component: np.ndarray, sketches: list[bytes], num: i
 
 
 def _crossing_rows(num: int, den: int):
-    """Rows (region, doc, n, component, sketch), whole regions sorted by n -> (region, doc) of those that may link across components."""
+    """Rows (region, doc, n, component, sketch), whole regions sorted by n -> (region, doc, n, component) of those that may link across components."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -328,7 +330,7 @@ def _crossing_rows(num: int, den: int):
         def kept(t: pa.Table) -> pa.RecordBatch:
             n, component = t["n"].to_numpy(), t["component"].to_numpy()
             mask = pa.array(crossing(n, component, t["sketch"].to_pylist(), num, den))
-            t = t.select(["region", "doc"]).filter(mask).combine_chunks()
+            t = t.select(["region", "doc", "n", "component"]).filter(mask).combine_chunks()
             return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], t.schema)
 
         for b in batches:
@@ -397,31 +399,45 @@ class _Join:
         far = met.where("not linked").groupBy("region").agg(F.min("d").alias("far"))
         return met.join(far, "region").where(F.col("d") >= F.col("far") - self.radius).select("region", "doc", "n")
 
+    def labels(self) -> DataFrame:
+        """(doc, label): a document that each linked one is joined with, in few rounds towards the smallest; equal labels mean joined, unequal ones that it isn't known yet."""
+        links = _union(self.links).select("a", "b")
+        both = cut(links.union(links.select("b", "a")).toDF("doc", "other").distinct())
+        now = cut(both.groupBy("doc").agg(F.min("other").alias("other")).select("doc", F.least("doc", "other").alias("label")))
+        for _ in range(ROUNDS):
+            few = maybe_broadcast(now, now.count())
+            met = both.join(few.withColumnRenamed("doc", "other"), "other").groupBy("doc").agg(F.min("label").alias("label"))
+            jumped = met.join(few.select(F.col("doc").alias("label"), F.col("label").alias("further")), "label", "left")
+            last, now = now, cut(jumped.select("doc", F.least("doc", "label", "further").alias("label")))
+            spent(last)
+        spent(both)
+        return now
+
     def unjoined(self, rest: DataFrame) -> DataFrame:
-        """(region, doc, n, component): the documents of regions that aren't known to be joined by now.
-
-        component names a document that this one is joined with over at most two links, each to the smallest; equal names mean joined, unequal ones that it isn't known yet.
-        """
-        up = cut(_union(self.links).groupBy(F.greatest("a", "b").alias("doc")).agg(F.min(F.least("a", "b")).alias("up")))
-        few = maybe_broadcast(up, up.count())
-        once = rest.join(few, "doc", "left").select("region", "doc", "n", F.coalesce("up", "doc").alias("via"))
-        named = once.join(few.select(F.col("doc").alias("via"), F.col("up").alias("further")), "via", "left")
-        of = cut(named.groupBy("region", "doc").agg(F.max("n").alias("n"), F.first(F.coalesce("further", "via")).alias("component")))
+        """(region, doc, n, component): the documents of regions that aren't known to be joined by now; component is their label."""
+        named = self.labels()
+        few = maybe_broadcast(named, named.count())
+        of = rest.join(few, "doc", "left").select("region", "doc", "n", F.coalesce("label", "doc").alias("component"))
+        of = cut(of.groupBy("region", "doc").agg(F.max("n").alias("n"), F.min("component").alias("component")))
         parts = of.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"))
         out = cut(of.join(parts.where("least <> most").select("region"), "region", "left_semi"))
-        spent(of, up)
+        spent(of, named)
         return out
 
     def finish(self, rows: DataFrame) -> None:
-        """Joins regions (region, doc, n, component) that fit in a task: by histograms, and by sets what those leave."""
+        """Joins regions (region, doc, n, component) whose histograms fit in a task: by these, and by sets, in blocks, what they leave."""
         near = self.sketches(rows.select("region", "doc", "component")).select("region", "doc", "n", "component", "sketch")
-        near = near.repartition("region").sortWithinPartitions("region", "n", "doc").mapInArrow(_crossing_rows(self.num, self.den), "region long, doc long")
+        near = near.repartition("region").sortWithinPartitions("region", "n", "doc").mapInArrow(_crossing_rows(self.num, self.den), "region long, doc long, n long, component long")
         left = cut(near)
         if not left.isEmpty():
+            sizes = left.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+            wide = sizes.where(f"docs > {SMALL_DOCS} or shingles > {SMALL_SHINGLES}").select("region", F.lit(True).alias("wide"))
+            of = cut(left.join(wide, "region", "left"))
+            tasks = cut(of.where("wide is null").select("region", "doc").union(_blocks(_odd(of.where("wide")), SMALL_DOCS, SMALL_SHINGLES).select("region", "doc")))
             sets = self.sets(cut(left.select("doc").distinct()))
-            with_sets = sets.join(maybe_broadcast(left, left.count()), "doc").select("region", "doc", "shingles")
+            with_sets = sets.join(maybe_broadcast(tasks, tasks.count()), "doc").select("region", "doc", "shingles")
             self.links.append(cut(with_sets.groupBy("region").applyInPandas(_small_region(self.num, self.den), "a long, b long")))
-            spent(sets)
+            spent(sets, of, tasks)
         spent(left)
 
     def fresh(self, large: DataFrame, seed: int) -> DataFrame:
@@ -430,14 +446,14 @@ class _Join:
         cells = self.some(ids).mapInArrow(_cell_rows(self.k, self.num, self.den, seed), "doc long, cell long")
         signed = cut(cells.join(maybe_broadcast(large.select("region", "doc"), large.count()), "doc").select("region", F.xxhash64("region", "cell").alias("cell"), "doc"))
         least = cut(signed.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("most")).where("pivot <> most").select("cell", "pivot"))
-        out = cut(spread_join(signed, least, "cell", "doc").where("doc <> pivot").select(F.xxhash64("region", "pivot").alias("region"), "pivot", "doc").distinct())
+        # a pair that shares a region and a cell of it meets at the cell's smallest document; regions around one pivot are one
+        out = cut(spread_join(signed, least, "cell", "doc").where("doc <> pivot").select(F.col("pivot").alias("region"), "pivot", "doc").distinct())
         spent(ids, signed, least)
         return out
 
     def by_pivots(self, large: DataFrame) -> DataFrame:
         """Cuts large regions by pivots among themselves; returns (region, pivot, doc, d, linked, n) of the new regions, and finishes those that don't separate."""
-        most = large.groupBy("region", "component").agg(F.count("*").alias("rows")).groupBy("region").agg(F.max_by("component", F.struct("rows", "component")).alias("most"))
-        large = cut(large.join(most, "region").select("region", "doc", "n", "component", (F.col("component") != F.col("most")).alias("odd")))
+        large = cut(_odd(large))
         # with map-side combining: of each of some buckets of odd documents, the smallest
         bucket = lambda j: F.min(F.when(F.col("odd") & (F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)) == j), F.col("doc")))
         pivots = large.groupBy("region").agg(*[bucket(j).alias(f"p{j}") for j in range(PIVOTS)])
@@ -452,7 +468,7 @@ class _Join:
         copies = cut(spread.groupBy("region").agg((F.count("*") / F.count_distinct("doc")).alias("copies"), F.count_distinct("pivot").alias("cells")))
         # where the windows would replicate more than the cells separate, blocks finish the region
         whole = large.join(copies.where("copies > 2 or cells = 1").select("region"), "region", "left_semi").join(of_pivots, ["region", "doc"], "left_anti")
-        blocks = cut(_blocks(whole))
+        blocks = cut(_blocks(whole, CROSS_DOCS, CROSS_WORK // CROSS_DOCS))
         if not blocks.isEmpty():
             self.finish(blocks)
         out = spread.join(copies.where("copies <= 2 and cells > 1").select("region"), "region", "left_semi")
@@ -467,7 +483,7 @@ class _Join:
             self.links.append(cut(_near(met)))
             rest = self.unjoined(self.window(met))
             sizes = cut(rest.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
-            small = f"docs <= {SMALL_DOCS} and shingles <= {SMALL_SHINGLES}"
+            small = f"docs <= {CROSS_DOCS} and docs * shingles <= {CROSS_WORK}L"
             kinds = sizes.agg(F.count_if(F.expr(small)), F.count_if(F.expr(f"not ({small})"))).first()
             if kinds[0]:
                 self.finish(rest.join(sizes.where(small).select("region"), "region", "left_semi"))
@@ -503,18 +519,25 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _blocks(rest: DataFrame) -> DataFrame:
+def _odd(rows: DataFrame) -> DataFrame:
+    """Marks the documents of a region outside its most frequent component."""
+    most = rows.groupBy("region", "component").agg(F.count("*").alias("rows")).groupBy("region").agg(F.max_by("component", F.struct("rows", "component")).alias("most"))
+    return rows.join(most, "region").select("region", "doc", "n", "component", (F.col("component") != F.col("most")).alias("odd"))
+
+
+def _blocks(rest: DataFrame, docs: int, shingles: int) -> DataFrame:
     """Cuts regions into blocks that fit in a task, and pairs each block of odd documents with each block of the region.
 
     Pairs within the most frequent component are linked already; all others have an odd member and so meet in some task.
     """
-    limit = F.greatest(F.ceil(F.sum("n") / (SMALL_SHINGLES // 2)), F.ceil(F.count("*") / (SMALL_DOCS // 2)))
+    limit = F.greatest(F.ceil(F.sum("n") / max(1, shingles // 2)), F.ceil(F.count("*") / max(1, docs // 2)))
     whole = rest.groupBy("region").agg(limit.alias("all_blocks"))
     odd = rest.where("odd").groupBy("region").agg(limit.alias("odd_blocks"))
     both = rest.join(whole.join(odd, "region"), "region")
     h = F.xxhash64(F.lit(3), "doc")
-    a = both.select("region", F.pmod(h, F.col("all_blocks")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("y"), "doc", "n", "component")
-    b = both.where("odd").select("region", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("x"), F.pmod(h, F.col("odd_blocks")).alias("y"), "doc", "n", "component")
+    every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    a = both.select("region", F.pmod(h, F.col("all_blocks")).alias("x"), F.explode(every("odd_blocks")).alias("y"), "doc", "n", "component")
+    b = both.where("odd").select("region", F.explode(every("all_blocks")).alias("x"), F.pmod(h, F.col("odd_blocks")).alias("y"), "doc", "n", "component")
     return a.union(b).distinct().select(F.xxhash64("region", "x", "y").alias("region"), "doc", "n", "component")
 
 
