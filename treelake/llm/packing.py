@@ -13,7 +13,7 @@ length by salted counts and looked up in the plan.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +27,7 @@ from .wordbpe import WordIds
 
 Plan = list[tuple[tuple[int, ...], int]]
 NODES = 20_000  # completions that branch and bound tries before it settles for the incumbent
-STEPS = 3_000  # steps that the list of all fillings of a node may take
+LENGTHS, STEPS = 64, 3_000  # lengths that fit, and steps, that the list of all fillings of a node may take
 FILLINGS = 6  # fillings that it branches on at a node where that isn't enough
 SALTS = 256
 
@@ -80,6 +80,8 @@ def best_fit(hist: dict[int, int], size: int) -> Plan:
 
 def maximal(lengths: list[int], hist: dict[int, int], room: int, steps: int = STEPS) -> list[tuple[int, ...]] | None:
     """All fillings of the room to which no piece left can be added, pieces descending; None if listing them takes too many steps."""
+    if bisect_right(lengths, room) > LENGTHS:
+        return None
     down = [n for n in reversed(lengths) if n <= room]
     after = [0] * (len(down) + 1)  # what all shorter pieces hold
     for i in range(len(down) - 1, -1, -1):
@@ -167,47 +169,54 @@ def complete(hist: dict[int, int], size: int, incumbent: Plan, bound: int, nodes
     """
     best, total = incumbent, sum(n * c for n, c in hist.items())
     count, whole = sum(t for _, t in best), True
-
-    def children(left: dict[int, int], beyond: tuple | None):
+    left, lengths = {n: c for n, c in hist.items() if c}, sorted(n for n, c in hist.items() if c)  # changed along the path, and back again
+
+    def take(n: int, times: int) -> None:
+        now = left.get(n, 0) - times
+        if not now:
+            del left[n]
+            del lengths[bisect_left(lengths, n)]
+            return
+        if n not in left:
+            lengths.insert(bisect_left(lengths, n), n)
+        left[n] = now
+
+    def children(beyond: tuple | None):
         nonlocal whole
-        n = max(left)
-        rest = dict(left)
-        rest[n] -= 1
-        lengths = sorted(x for x, c in rest.items() if c and x <= size - n)
-        found, all_of_them = options(lengths, rest, size - n) if lengths else ([()], True)
+        n = lengths[-1]
+        take(n, 1)
+        found, all_of_them = options(lengths, left, size - n) if lengths else ([()], True)
+        take(n, -1)
         whole = whole and all_of_them
         for f in found:
             rank = _rank(f, size - n)
             if beyond is not None and rank <= beyond:
                 continue
-            contents = (n, *f)
-            need = Counter(contents)
+            need = Counter((n, *f))
             for times in range(min(left[x] // c for x, c in need.items()), 0, -1):
-                yield contents, need, times, rank
+                yield (n, *f), need, times, rank
 
-    stack = [(children(hist, None), hist, (), 0, 0)]  # what to try, what is left, chain of (filling, times), sequences, waste
-    while stack and count > bound:
+    path: list[tuple] = [(children(None), None, 0, 0, 0)]  # what to try, and what led here: filling, times; sequences and waste so far
+    while path and count > bound:
         if nodes <= 0:
             return best, False
-        tries, left, chain, used, waste = stack[-1]
+        tries, _, _, used, waste = path[-1]
         step = next(tries, None)
         if step is None:
-            stack.pop()
+            _, contents, times, _, _ = path.pop()
+            for n in contents or ():
+                take(n, -times)
             continue
         nodes -= 1
         contents, need, times, rank = step
         wasted = waste + times * (size - sum(contents))
         if wasted > (count - 1) * size - total:
             continue
-        after = {x: c - times * need[x] for x, c in left.items() if c > times * need[x]}
-        done = (chain, (contents, times))
-        if after:
-            stack.append((children(after, rank if contents[0] in after else None), after, done, used + times, wasted))
-            continue
-        best, count = [], used + times
-        while done:
-            done, step = done
-            best.append(step)
+        for n, c in need.items():
+            take(n, c * times)
+        path.append((children(rank if contents[0] in left else None) if left else iter(()), contents, times, used + times, wasted))
+        if not left:
+            best, count = [(f, t) for _, f, t, _, _ in path[1:]], used + times
     return best, count <= bound or whole
 
 
