@@ -47,7 +47,7 @@ def test_pivots_run_with_the_default_cell(spark, monkeypatch):
     """Families far from each other: cells that pivots separate, no blocks of all pairs."""
     rng = np.random.default_rng(5)
     centres = np.linalg.qr(rng.normal(size=(32, 32)))[0]
-    which = rng.integers(0, 32, 3 * neardup.CELL)
+    which = rng.integers(0, 32, 2 * neardup.CELL)
     x = centres[which] + rng.normal(size=(len(which), 32)) * 0.02
     seen = []
     real = neardup._spread

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, spent, spread_join
 from .components import components
 
-CELL = 4096  # points of a cell, or of a pair of blocks of one, that a task compares
+CELL = 8192  # points of a cell, or of a pair of blocks of one, that a task compares
 PIVOTS = 64  # pivots that cut a cell
 FEW = 128  # points that are compared without pivots
 SLACK = 1e-9  # over the rounding of distances; it only copies more
