@@ -19,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp())
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp()}")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

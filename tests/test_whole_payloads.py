@@ -9,7 +9,8 @@ TEXTS = {1: "short", 2: "", 3: None, 4: "é" * 1600, 5: "".join(hashlib.sha256(s
 
 
 def altered(text):
-    return (text[:1500] + "<new>" + text[1500:]).encode()
+    half = len(text) // 2
+    return (text[:half] + "<new>" + text[half:] + "!").encode()
 
 
 def test_every_document_is_chunked_and_rebuilt(spark, tmp_path):
@@ -30,7 +31,12 @@ def test_every_document_is_chunked_and_rebuilt(spark, tmp_path):
         plans.setdefault(r.checksum, []).append((r.start, r.length, r["from"]))
     assert set(plans) == {"1", "2", "4", "5"}
     for k, runs in plans.items():
-        old, new = TEXTS[int(k)].encode(), altered(TEXTS[int(k)])
-        literal = b"".join(new[a : a + n] for a, n, origin in sorted(runs) if origin is None)
-        assert D.apply_plan(runs, old, literal) == new
+        old, new = TEXTS[int(k)].encode() if int(k) % 3 else b"", altered(TEXTS[int(k)])
+        assert [a for a, _, _ in sorted(runs)] == [sum(n for _, n, _ in sorted(runs)[:i]) for i in range(len(runs))]
+        assert b"".join(new[a : a + n] if origin is None else old[origin : origin + n] for a, n, origin in sorted(runs)) == new
     assert any(origin is not None for _, _, origin in plans["5"])
+    for name in ("c17_bsdiff", "c18_delta_round_trip"):
+        got = {r.checksum: r.rebuilt for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {str(i): None if t is None else hashlib.sha256(altered(t)).hexdigest() for i, t in TEXTS.items()}
+    counts = {r.op: r.n for r in catalog.QUERIES["a06_opcode_counts"](spark, str(tmp_path)).collect()}
+    assert counts["o"] == counts["c"] and counts["S"] + counts["o"] == 4 and counts["r"] == counts["R"]

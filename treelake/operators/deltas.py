@@ -6,8 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the chunker: window, mean, least and greatest chunk.
@@ -28,32 +28,50 @@ def pair_sources(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def pack_parts(objects: DataFrame, most: int, by: str = "delta") -> DataFrame:
-    """(by, checksum, part): greedy packing in checksum order; a part closes when the next object would exceed the limit.
+    """(by, otype, checksum, part): greedy packing of (by, otype, checksum, size); a part that isn't empty closes when the next object would exceed the limit.
 
-    One delta's list is folded as one array: the rule is a running sum with resets, which no window frame expresses.
+    Metadata (otype 2 and more) goes first, by type and checksum, then content (otype 1) by checksum. The rule is a running sum with resets, which no
+    window frame expresses: a task streams over its sorted rows and holds one number for the delta it is in.
     """
-    rows = F.array_sort(F.collect_list(F.struct("checksum", "size")))
-    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<checksum:string,part:bigint>>").alias("out"))
+    rows = objects.select(by, "otype", "checksum", F.col("size").cast("long").alias("size"), (F.col("otype") == 1).alias("late"))
+    rows = rows.repartition(by).sortWithinPartitions(by, "late", "otype", "checksum").drop("late")
+    kind = objects.schema[by].dataType.simpleString()
 
-    def step(a, x):
-        closes = (a["held"] > 0) & (a["held"] + x["size"] > most)
-        part = a["part"] + F.when(closes, 1).otherwise(0).cast("long")
-        return F.struct(part.alias("part"), (F.when(closes, F.lit(0)).otherwise(a["held"]) + x["size"]).cast("long").alias("held"), F.concat(a["out"], F.array(F.struct(x["checksum"].alias("checksum"), part.alias("part")))).alias("out"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, held = None, 0, 0
+        for b in batches:
+            parts = np.zeros(b.num_rows, np.int64)
+            for i, (delta, size) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if i == 0 and now is None or delta != now:
+                    now, part, held = delta, 0, 0
+                if held > 0 and held + size > most:
+                    part, held = part + 1, 0
+                held += size
+                parts[i] = part
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(parts)], [by, "otype", "checksum", "part"])
 
-    packed = objects.groupBy(by).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("rows"))
-    return packed.select(by, F.inline("rows"))
+    return rows.mapInArrow(pack, f"{by} {kind}, otype int, checksum string, part long")
+
+
+def boundaries(data: bytes) -> np.ndarray:
+    """Ends of windows whose rolling sum b has its low 13 bits all set.
+
+    a is the sum of the bytes in the window, b the sum of the values of a: a byte counts in b as often as it has been in the window. Both come from prefix sums.
+    """
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    at = np.arange(1, len(x) + 1)
+    plain, weighted = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * at)])
+    start = np.maximum(at - WINDOW, 0)
+    b = (at + 1) * (plain[at] - plain[start]) - (weighted[at] - weighted[start])
+    return np.flatnonzero(b & (MEAN - 1) == MEAN - 1) + 1
 
 
 def cut_points(data: bytes) -> list[int]:
-    """Ends of content-defined chunks: where a rolling sum over the window has its low 13 bits set, within the least and greatest size."""
-    n = len(data)
-    if not n:
-        return []
-    x = np.frombuffer(data, np.uint8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
-    start = np.maximum(np.arange(1, n + 1) - WINDOW, 0)
-    rolled = total[1:] - total[start]
-    hits = np.flatnonzero((rolled * np.uint64(0xD1342543DE82EF95) >> np.uint64(40)) % np.uint64(MEAN) == MEAN - 1) + 1
+    """Ends of content-defined chunks: the first boundary from the least size on, else the greatest size, else the end.
+
+    The window starts anew with each chunk, but it is full long before the least size, so boundaries don't depend on where a chunk begins.
+    """
+    n, hits = len(data), boundaries(data)
     ends, at = [], 0
     while at < n:
         i = np.searchsorted(hits, at + LEAST)
@@ -64,41 +82,58 @@ def cut_points(data: bytes) -> list[int]:
 
 
 def chunks(objects: DataFrame) -> DataFrame:
-    """(checksum, pos, start, length, digest) of each object's (checksum, payload) chunks, in Arrow batches."""
+    """(checksum, pos, start, length, digest) of each object's (checksum, payload) chunks, in Arrow batches. A null payload has none."""
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for checksum, payload in zip(pdf["checksum"], pdf["payload"], strict=True):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for checksum, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = 0
                 for pos, end in enumerate(cut_points(payload or b"")):
-                    out.append((checksum, pos, at, end - at, hashlib.sha256(payload[at:end]).hexdigest()))
+                    for column, value in zip(out, (checksum, pos, at, end - at, hashlib.sha256(payload[at:end]).hexdigest()), strict=True):
+                        column.append(value)
                     at = end
-            yield pd.DataFrame(out, columns=["checksum", "pos", "start", "length", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["checksum", "pos", "start", "length", "digest"])
 
-    return objects.select("checksum", "payload").mapInPandas(rows, "checksum string, pos int, start long, length long, digest string")
+    return objects.select("checksum", "payload").mapInArrow(rows, "checksum string, pos int, start long, length long, digest string")
 
 
-def copy_plan(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Runs of an object's chunks that can be copied from its source, merged where both sides go on: gaps and islands over an equi-join."""
-    first = old.groupBy("checksum", "digest").agg(F.min("start").alias("from"))
-    hit = new.join(first.withColumnRenamed("checksum", "source"), ["source", "digest"], "left")
-    w = Window.partitionBy("checksum").orderBy("pos")
-    fits = F.coalesce((F.lag("from").over(w) + F.lag("length").over(w) == F.col("from")) | (F.lag("from").over(w).isNull() & F.col("from").isNull() & (F.col("pos") > 0)), F.lit(False))
-    runs = hit.withColumn("new_run", F.when(fits, 0).otherwise(1)).withColumn("run", F.sum("new_run").over(w))
-    return runs.groupBy("checksum", "run").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.min("from").alias("from"))
+def plan_runs(source: bytes, target: bytes) -> list[tuple[int, int, int | None]]:
+    """(start, length, from) runs that rebuild the target in order; from is null for bytes that the source lacks.
 
-
-def apply_plan(plan: list[tuple[int, int, int | None]], source: bytes, literal: bytes) -> bytes:
-    """Rebuild an object from its (start, length, from) runs; what isn't copied comes from the literal bytes in order."""
-    out, used = bytearray(), 0
-    for _, length, origin in sorted(plan):
-        if origin is None:
-            out += literal[used : used + length]
-            used += length
+    A chunk is copied from right behind the last copy if its bytes are there, else from the first chunk of the source that equals it.
+    Runs of one kind that go on are one run.
+    """
+    known: dict[bytes, int] = {}
+    at = 0
+    for end in cut_points(source):
+        known.setdefault(source[at:end], at)
+        at = end
+    runs: list[tuple[int, int, int | None]] = []
+    at = 0
+    for end in cut_points(target):
+        chunk = target[at:end]
+        start, length, origin = runs[-1] if runs else (0, 0, None)
+        behind = origin + length if origin is not None else None
+        found = behind if behind is not None and source.startswith(chunk, behind) else known.get(chunk)
+        if runs and (found is None and origin is None or found is not None and found == behind):
+            runs[-1] = (start, length + len(chunk), origin)
         else:
-            out += source[origin : origin + length]
-    return bytes(out)
+            runs.append((at, len(chunk), found))
+        at = end
+    return runs
+
+
+def copy_plan(pairs: DataFrame) -> DataFrame:
+    """(checksum, run, start, length, from) of the runs that rebuild payload from source, for each row (checksum, payload, source). What counts is sequential within an object, so each is planned in one step of a task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(c, i, *run) for c, new, old in zip(*(x.to_pylist() for x in b.columns), strict=True) for i, run in enumerate(plan_runs(old or b"", new or b""))]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["checksum", "run", "start", "length", "from"])
+
+    return pairs.select("checksum", "payload", "source").mapInArrow(rows, "checksum string, run int, start long, length long, from long")
 
 
 def varint(n: int) -> bytes:
@@ -122,30 +157,217 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def run_opcodes(ops: bytes, blob: bytes, sources: dict[bytes, bytes]) -> list[bytes]:
-    """Objects that an opcode stream makes: S size+offset of a whole object, o open, w write, r read source, R leave it, c close."""
-    out, at, now, source = [], 0, None, b""
+def read_varint_hex(hexed: Column) -> Column:
+    """The LEB128 number that hex begins with; null where it isn't the shortest form."""
+    byte = lambda i: F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.sequence(F.lit(0), F.lit(8))
+    last = F.array_min(F.filter(places, lambda i: byte(i) < 128))
+    value = F.aggregate(F.filter(places, lambda i: i <= last), F.lit(0).cast("long"), lambda a, i: a + F.call_function("shiftleft", byte(i).bitwiseAND(127), i * 7))
+    return F.when((last == 0) | (byte(last) > 0), value)
+
+
+def inventory(stored: DataFrame) -> DataFrame:
+    """(src, dst, path, digest) of deltas (path, superblock): names from paths of two folders, the digest of the superblock."""
+    name = F.regexp_replace(F.regexp_replace("path", "^deltas/", ""), "^(..)/", "$1")
+    plain = lambda part: F.lower(F.hex(F.unbase64(F.concat(F.translate(part, "_", "/"), F.lit("=")))))
+    parts = F.split(name, "-")
+    return stored.select(plain(parts[0]).alias("src"), plain(parts[1]).alias("dst"), "path", F.sha2("superblock", 256).alias("digest"))
+
+
+def write_size(value: Column, order: Column) -> Column:
+    """Hex of an unsigned 64-bit size in byte order `l` or `B`."""
+    big = F.lpad(F.hex(value.cast("long")), 16, "0")
+    return F.when(order == "B", big).otherwise(swapped(big))
+
+
+def swapped(hexed: Column) -> Column:
+    return F.array_join(F.reverse(F.regexp_extract_all(hexed, F.lit("(..)"), 1)), "")
+
+
+def read_sizes(rows: DataFrame) -> DataFrame:
+    """Reads `size` of rows with `order` into `value`."""
+    return rows.withColumn("value", F.conv(F.when(F.col("order") == "B", F.col("size")).otherwise(swapped(F.col("size"))), 16, 10).cast("long"))
+
+
+def verify(named: DataFrame, stored: DataFrame) -> DataFrame:
+    """(delta, outcome) of the parts (delta, part, sum) that superblocks name, against stored (delta, part, payload): corrupt before missing part before ok."""
+    both = named.join(stored, ["delta", "part"], "left")
+    wrong = F.col("payload").isNotNull() & (F.sha2("payload", 256) != F.col("sum"))
+    found = both.groupBy("delta").agg(F.bool_or(wrong).alias("wrong"), F.bool_or(F.col("payload").isNull()).alias("gone"))
+    return found.select("delta", F.when(F.col("wrong"), "corrupt").when(F.col("gone"), "missing part").otherwise("ok").alias("outcome"))
+
+
+def opcodes(ops: bytes, kinds: list[int]) -> list[str]:
+    """The opcodes of a stream, in order; kinds are the types of the objects that it makes."""
+    out, at, made = [], 0, 0
+    while at < len(ops):
+        op, at = chr(ops[at]), at + 1
+        operands = {"S": 4 if kinds[made] == 1 else 2, "o": 3, "w": 2, "r": 1, "R": 0, "B": 2, "c": 0}[op] if op in "SowrRBc" and made < len(kinds) else None
+        if operands is None:
+            raise ValueError(f"opcode {op!r} has no place here")
+        for _ in range(operands):
+            _, at = read_varint(ops, at)
+        made += op in "Sc"
+        out.append(op)
+    return out
+
+
+def offtin(n: int) -> bytes:
+    """Sign and magnitude, little-endian, in eight bytes."""
+    return (abs(n) | (1 << 63 if n < 0 else 0)).to_bytes(8, "little")
+
+
+def read_offtin(data: bytes) -> int:
+    n = int.from_bytes(data, "little")
+    return -(n & ~(1 << 63)) if n >> 63 else n
+
+
+def bsdiff(source: bytes, target: bytes, step: int = 16) -> bytes:
+    """A patch of interleaved blocks: lengths and seek, differences to the source, new bytes.
+
+    Places that agree are found through an index of the source's words of `step` bytes; a match goes on over single
+    differences while more bytes agree than differ.
+    """
+    index: dict[bytes, int] = {}
+    for i in range(0, len(source) - step + 1, step // 2):
+        index.setdefault(source[i : i + step], i)
+    blocks: list[tuple[int, int, int, int]] = []  # place in the target, place in the source, length of differences, end of new bytes
+    new, at, n = 0, 0, len(target)
+    while at + step <= n:
+        origin = index.get(target[at : at + step])
+        if origin is None:
+            at += 1
+            continue
+        while at > new and origin > 0 and target[at - 1] == source[origin - 1]:
+            at, origin = at - 1, origin - 1
+        room = min(n - at, len(source) - origin)
+        same = np.frombuffer(target, np.uint8, room, at) == np.frombuffer(source, np.uint8, room, origin)
+        gain = np.cumsum(np.where(same, 1, -3))
+        stop = np.flatnonzero(gain < np.maximum.accumulate(gain) - 64)
+        length = int(gain[: stop[0] if len(stop) else room].argmax()) + 1
+        blocks.append((at, origin, length, new))
+        at += length
+        new = at
+    out, place = bytearray(), 0
+    first = blocks[0][0] if blocks else n
+    out += offtin(0) + offtin(first) + offtin((blocks[0][1] if blocks else 0) - place) + target[:first] if first else b""
+    if blocks and not first and blocks[0][1]:
+        out += offtin(0) + offtin(0) + offtin(blocks[0][1])
+    for i, (start, origin, length, _) in enumerate(blocks):
+        end = blocks[i + 1][0] if i + 1 < len(blocks) else n
+        seek = blocks[i + 1][1] - (origin + length) if i + 1 < len(blocks) else 0
+        delta = (np.frombuffer(target, np.uint8, length, start) - np.frombuffer(source, np.uint8, length, origin)).tobytes()
+        out += offtin(length) + offtin(end - start - length) + offtin(seek) + delta + target[start + length : end]
+    return bytes(out)
+
+
+def bspatch(source: bytes, patch: bytes, size: int) -> bytes:
+    """Rebuilds `size` bytes; a patch that leaves its bounds is an error."""
+    out, at, place = bytearray(), 0, 0
+    while len(out) < size:
+        if at + 24 > len(patch):
+            raise ValueError("a patch that ends too early")
+        diff, extra, seek = (read_offtin(patch[at + 8 * i : at + 8 * i + 8]) for i in range(3))
+        at += 24
+        if diff < 0 or extra < 0 or at + diff + extra > len(patch) or len(out) + diff + extra > size or place < 0 or place + diff > len(source):
+            raise ValueError("a patch that leaves its bounds")
+        out += (np.frombuffer(patch, np.uint8, diff, at) + np.frombuffer(source, np.uint8, diff, place)).tobytes() + patch[at + diff : at + diff + extra]
+        at += diff + extra
+        place += diff + seek
+    if at != len(patch):
+        raise ValueError("bytes behind a patch")
+    return bytes(out)
+
+
+def worth_it(patch: bytes, size: int) -> bool:
+    """A patch is kept if twice its bytes other than zero are less than the object."""
+    return 2 * (len(patch) - patch.count(0)) < size
+
+
+def write_part(objects: list[tuple[bytes, bytes, bytes | None, bytes | None]], mode: int = 0o100644) -> tuple[bytes, bytes, list[int]]:
+    """(opcodes, blob, modes) that make regular files (checksum, payload, source's checksum, source): copies where chunks agree, a patch where it pays, else the whole."""
+    ops, blob = bytearray(), bytearray()
+
+    def put(data: bytes) -> bytes:
+        blob.extend(data)
+        return varint(len(data)) + varint(len(blob) - len(data))
+
+    for _, payload, name, source in objects:
+        runs = plan_runs(source, payload) if source is not None else []
+        if any(origin is not None for _, _, origin in runs):
+            ops += b"o" + varint(0) + varint(0) + varint(len(payload))
+            for start, length, origin in runs:
+                if origin is None:
+                    ops += b"w" + put(payload[start : start + length])
+                else:
+                    blob.extend(name)
+                    ops += b"r" + varint(len(blob) - 32) + b"w" + varint(length) + varint(origin) + b"R"
+            ops += b"c"
+            continue
+        patch = bsdiff(source, payload) if source is not None and payload else b""
+        if patch and worth_it(patch, len(payload)):
+            blob.extend(name)
+            ops += b"o" + varint(0) + varint(0) + varint(len(payload)) + b"r" + varint(len(blob) - 32)
+            blob.extend(patch)
+            ops += b"B" + varint(len(blob) - len(patch)) + varint(len(patch)) + b"Rc"
+        else:
+            ops += b"S" + varint(0) + varint(0) + put(payload)
+    return bytes(ops), bytes(blob), [mode]
+
+
+def run_opcodes(ops: bytes, blob: bytes, sources: dict[bytes, bytes], expected: list[tuple[int, bytes]], check) -> list[bytes]:
+    """The objects that a part's opcode stream makes; expected names them as (type, checksum), type 1 is content.
+
+    S makes one whole (a content object's mode and attribute places, length, offset), o opens one (places, size), w writes from the source that r set
+    or from the blob, R leaves the source, B patches it, c closes. check(type, payload) is the checksum that each object must have.
+    """
+    out, at, now, size, source = [], 0, None, 0, None
+
+    def operands(n: int) -> list[int]:
+        nonlocal at
+        found = []
+        for _ in range(n):
+            value, at = read_varint(ops, at)
+            found.append(value)
+        return found
+
+    def piece(of: bytes, offset: int, length: int) -> bytes:
+        if offset + length > len(of):
+            raise ValueError("an operand that leaves its bytes")
+        return of[offset : offset + length]
+
+    def close(payload: bytes) -> None:
+        if len(out) >= len(expected) or check(expected[len(out)][0], payload) != expected[len(out)][1]:
+            raise ValueError("an object of another checksum")
+        out.append(payload)
+
     while at < len(ops):
         op, at = ops[at : at + 1], at + 1
         if op == b"S":
-            size, at = read_varint(ops, at)
-            offset, at = read_varint(ops, at)
-            out.append(blob[offset : offset + size])
-        elif op == b"o":
-            _, at = read_varint(ops, at)
+            content = len(out) < len(expected) and expected[len(out)][0] == 1
+            *_, length, offset = operands(4 if content else 2)
+            close(piece(blob, offset, length))
+        elif op == b"o" and now is None:
+            _, _, size = operands(3)
             now = bytearray()
-        elif op == b"w":
-            size, at = read_varint(ops, at)
-            offset, at = read_varint(ops, at)
-            now += (source if source else blob)[offset : offset + size]
+        elif op == b"w" and now is not None:
+            length, offset = operands(2)
+            now += piece(blob if source is None else source, offset, length)
         elif op == b"r":
-            offset, at = read_varint(ops, at)
-            source = sources[blob[offset : offset + 32]]
+            (offset,) = operands(1)
+            source = sources[piece(blob, offset, 32)]
         elif op == b"R":
-            source = b""
-        elif op == b"c":
-            out.append(bytes(now))
+            source = None
+        elif op == b"B" and now is not None and source is not None:
+            offset, length = operands(2)
+            now += bspatch(source, piece(blob, offset, length), size)
+        elif op == b"c" and now is not None:
+            if len(now) != size:
+                raise ValueError("an object of another size")
+            close(bytes(now))
             now = None
         else:
-            raise ValueError(f"unknown opcode {op!r}")
+            raise ValueError(f"opcode {op!r} has no place here")
+    if now is not None or len(out) != len(expected):
+        raise ValueError("a part that ends too early")
     return out

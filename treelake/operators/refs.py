@@ -79,13 +79,13 @@ def in_network(ip: Column, network: Column) -> Column:
     return F.floor(ip_number(ip) / size) == F.floor(ip_number(F.substring_index(network, "/", 1)) / size)
 
 
-def parse_config(lines: DataFrame) -> DataFrame:
-    """(file, grp, key, value) of keyfile lines (file, pos, line): the last group header above a line is its group."""
+def parse_config(lines: DataFrame, keep_pos: bool = False) -> DataFrame:
+    """(file, grp, key, value[, pos]) of keyfile lines (file, pos, line): the last group header above a line is its group."""
     text = F.trim(F.col("line"))
     header = F.nullif(F.regexp_extract(text, "^\\[([^\\]]+)\\]$", 1), F.lit(""))
     grp = F.last(header, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
     rows = lines.withColumn("grp", grp).where(text.rlike("^[^#\\[=][^=]*="))
-    return rows.select("file", "grp", F.trim(F.substring_index(text, "=", 1)).alias("key"), F.trim(F.regexp_replace(text, "^[^=]*=", "")).alias("value"))
+    return rows.select("file", "grp", F.trim(F.substring_index(text, "=", 1)).alias("key"), F.trim(F.regexp_replace(text, "^[^=]*=", "")).alias("value"), *["pos"] * keep_pos)
 
 
 def canonical_ref(space: Column, qualifier: Column, name: Column, own: str) -> Column:
@@ -100,10 +100,108 @@ def newest(rows: DataFrame, key: str, ts: str, pos: str) -> DataFrame:
 
 
 def size_spec(text: Column) -> Column:
-    """Bytes of `10KB`-like sizes (powers of 1024)."""
-    n, unit = F.regexp_extract(text, "^([0-9]+)", 1).cast("long"), F.regexp_extract(text, "([KMGT]?B)$", 1)
-    power = F.when(unit == "KB", 1 << 10).when(unit == "MB", 1 << 20).when(unit == "GB", 1 << 30).when(unit == "TB", 1 << 40).otherwise(1)
-    return n * power
+    """Bytes of sizes such as `5GB` (G, M or T, powers of 1024); null where it is none."""
+    n, unit = F.regexp_extract(text, "^([0-9]+)[GMT]B$", 1), F.regexp_extract(text, "^[0-9]+([GMT])B$", 1)
+    return F.when(unit != "", F.try_to_number(n, F.lit("9" * 18)).cast("long") * F.when(unit == "M", 1 << 20).when(unit == "G", 1 << 30).otherwise(1 << 40))
+
+
+def percent_spec(text: Column) -> Column:
+    """A whole percentage from 0 to 100; null where it is none."""
+    n = F.regexp_extract(text, "^([0-9]{1,3})%$", 1).try_cast("int")
+    return F.when(n <= 100, n)
+
+
+def free_space_refused(planned: Column, free: Column, total: Column, size: Column, percent: Column) -> Column:
+    """Whether a write would leave less than the least free space: a size if one is set, else a percentage of the whole, 3 if none is set."""
+    least = F.coalesce(size_spec(size), F.floor(total * F.coalesce(percent_spec(percent), F.lit(3)) / 100))
+    return free - planned < least
+
+
+def receive_pattern(text: str) -> tuple[str, str | None, str]:
+    """(scope, qualifier, name pattern) of `NAME`, `REMOTE:NAME`, `*:NAME` or `@ID:NAME`."""
+    head, colon, name = text.rpartition(":")
+    if not colon:
+        return "local", None, text
+    if head == "*":
+        return "remote", None, name
+    return ("collection", head[1:], name) if head.startswith("@") else ("remote", head, name)
+
+
+def receives(space: Column, qualifier: Column, name: Column, pattern: str, own: str | None = None) -> Column:
+    """Whether a pattern covers a ref: namespaces must agree; the own collection's refs and patterns are local."""
+    scope, wanted, names = receive_pattern(pattern)
+    local = (space == "local") | ((space == "collection") & (qualifier == F.lit(own)) if own else F.lit(False))
+    if scope == "local" or scope == "collection" and wanted == own:
+        there = local
+    elif scope == "collection":
+        there = (space == "collection") & (qualifier == wanted)
+    else:
+        there = (space == "remote") & (F.lit(wanted is None) | (qualifier == F.lit(wanted)))
+    return F.coalesce(there, F.lit(False)) & matches(name, names)
+
+
+def receive_selected(space: Column, qualifier: Column, name: Column, selector: list[str], own: str | None = None) -> Column:
+    yes, no = [p for p in selector if p[0] != "!"], [p[1:] for p in selector if p[0] == "!"]
+    out = F.lit(not yes)
+    for p in yes:
+        out = out | receives(space, qualifier, name, p, own)
+    for p in no:
+        out = out & ~receives(space, qualifier, name, p, own)
+    return out
+
+
+def strength(pattern: str) -> str:
+    """Sorts patterns that match one ref: a literal remote over `*:`, then part by part literal over `*` over `**`, then the longer."""
+    scope, wanted, names = receive_pattern(pattern)
+    return str(int(scope == "remote" and wanted is not None)) + "".join({"**": "1", "*": "2"}.get(p, "3") for p in names.split("/"))
+
+
+def receive_rule(refs: DataFrame, patterns: list[str], own: str | None = None) -> DataFrame:
+    """Adds `rule`, the place of the strongest pattern that covers (space, qualifier, name); the first of equals; null if none does."""
+    order = sorted(range(len(patterns)), key=lambda i: (strength(patterns[i]), -i), reverse=True)
+    hit = [F.when(receives(F.col("space"), F.col("qualifier"), F.col("name"), patterns[i], own), i) for i in order]
+    return refs.withColumn("rule", F.coalesce(*hit) if hit else F.lit(None).cast("int"))
+
+
+def claimed_rights(rules: DataFrame, claims: DataFrame) -> DataFrame:
+    """(who, namespace, ref, modes, source): of a namespace that a certificate's claims name, only the claims count, else the groups' rules. Both are (who, namespace, ref, effect, modes)."""
+    named = claims.select("who", "namespace").distinct().withColumn("named", F.lit(True))
+    left = rules.join(named, ["who", "namespace"], "left").where("named is null").drop("named").withColumn("source", F.lit("group"))
+    both = claims.withColumn("source", F.lit("claim")).unionByName(left)
+    key = F.struct("who", "namespace", "source")
+    got = rights(both.select(key.alias("who"), "ref", "effect", "modes"))
+    return got.select("who.who", "who.namespace", "ref", "modes", "who.source")
+
+
+def resolved_settings(lines: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
+    """One row for each group of settings (key, name, value), a column for each known name with its default; the last of repeated names counts. Rows must carry `pos`."""
+    last = [F.coalesce(F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("pos"))), F.lit(d)).alias(n.replace("-", "_")) for n, d in defaults.items()]
+    return lines.groupBy(key).agg(*last)
+
+
+def edit_config(lines: DataFrame, edits: DataFrame) -> DataFrame:
+    """Keyfile lines (file, pos, grp, key, text) after edits (file, grp, key, text), in their order: a set key stays in its place, a new one follows its group's last line, a new group the file's last line.
+
+    A null text removes the key, a null key the group. Lines of a null key are headers and comments.
+    """
+    gone = edits.where("key is null").select("file", "grp")
+    sets = edits.where("key is not null").select("file", "grp", "key", F.col("text").alias("new"), F.lit(True).alias("edited"))
+    kept = lines.join(gone, ["file", "grp"], "left_anti")
+    both = kept.join(sets, ["file", "grp", "key"], "left").where("edited is null or new is not null").select("file", "grp", "pos", F.lit(0).alias("sub"), "key", F.coalesce("new", "text").alias("text"))
+    places = kept.groupBy("file", "grp").agg(F.max("pos").alias("pos"))
+    fresh = sets.where("new is not null").join(lines.select("file", "grp", "key"), ["file", "grp", "key"], "left_anti").join(places, ["file", "grp"], "left")
+    header = fresh.where("pos is null").select("file", "grp").distinct().select("file", "grp", F.lit(1 << 40).alias("pos"), F.lit(1).alias("sub"), F.lit(None).cast("string").alias("key"), F.concat(F.lit("["), "grp", F.lit("]")).alias("text"))
+    added = fresh.select("file", "grp", F.coalesce("pos", F.lit(1 << 40)).alias("pos"), F.lit(2).alias("sub"), "key", F.col("new").alias("text"))
+    out = both.unionByName(header).unionByName(added)
+    at = F.row_number().over(Window.partitionBy("file").orderBy("pos", "grp", "sub", "key"))
+    return out.select("file", at.cast("long").alias("pos"), "grp", "key", "text")
+
+
+def verified(rows: DataFrame, trusted: DataFrame, by: str) -> DataFrame:
+    """(by, valid, signatures) of signatures (by, engine, signature): valid if any engine trusts one; all are listed, sorted. The plain engine's signature is the key itself."""
+    keys = trusted.select("engine", "signature").distinct().withColumn("known", F.lit(True))
+    hit = rows.join(keys, ["engine", "signature"], "left")
+    return hit.groupBy(by).agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("valid"), F.array_sort(F.collect_list("signature")).alias("signatures"))
 
 
 def compare_and_set(refs: DataFrame, updates: DataFrame) -> DataFrame:
@@ -113,3 +211,59 @@ def compare_and_set(refs: DataFrame, updates: DataFrame) -> DataFrame:
     ok = asked & F.col("expected").eqNullSafe(F.col("checksum"))
     outcome = F.when(~F.coalesce(asked, F.lit(False)), "kept").when(~ok, "refused").when(F.col("new").isNull(), "deleted").otherwise("set")
     return both.select("name", F.when(ok, F.col("new")).otherwise(F.col("checksum")).alias("checksum"), outcome.alias("outcome"))
+
+
+def resolve(asked: DataFrame, refs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(asked, checksum): a ref's own value, else that of the ref that an alias (name, target) names; null if there is neither."""
+    own = asked.join(refs.select(F.col("name").alias("asked"), "checksum"), "asked", "left")
+    through = aliases.join(refs.select(F.col("name").alias("target"), F.col("checksum").alias("via")), "target").select(F.col("name").alias("asked"), "via")
+    return own.join(through, "asked", "left").select("asked", F.coalesce("checksum", "via").alias("checksum"))
+
+
+def check_bindings(refs: DataFrame, metadata: DataFrame, own: str, named: str = "name") -> DataFrame:
+    """Adds `outcome` to refs (checksum, ...): whether the tip's metadata (key, value array) binds it to the ref and to the collection."""
+    of = lambda key: F.try_element_at(F.filter("metadata", lambda e: e["key"] == key), F.lit(1))["value"]
+    both = refs.join(metadata, "checksum", "left")
+    bound = F.coalesce(F.array_contains(of("ref-binding"), F.col(named)), F.lit(False))
+    same = F.coalesce(of("collection-binding") == F.array(F.lit(own)), F.lit(True))
+    return both.withColumn("outcome", F.when(F.col("metadata").isNull(), "no commit").when(~bound, "not bound").when(~same, "other collection").otherwise("ok"))
+
+
+def canonical_mode(mode: Column) -> Column:
+    """Whether nobody but the owner may write, and there is no set-id bit (the sticky bit may be there)."""
+    return mode.bitwiseAND(0o6022) == 0
+
+
+def unprivileged_mode(mode: Column) -> Column:
+    """Whether a store without privileges takes the mode: no set-id bit."""
+    return mode.bitwiseAND(0o6000) == 0
+
+
+def canonical_permissions(kind: Column, mode: Column) -> tuple[Column, Column]:
+    """(mode, owner) under canonical permissions: files readable by all, writable by the owner, without set-id, owned by 0; links are left alone."""
+    return F.when(kind == "l", 0o777).otherwise(mode.bitwiseAND(0o755).bitwiseOR(0o644)), F.when(kind != "l", 0)
+
+
+def commit_time(explicit: Column, environment: Column, clock: Column) -> tuple[Column, Column]:
+    """(time, error): the explicit one, else the environment's if it is set (white space trimmed; no time but an error if it is no count of seconds), else the clock."""
+    trimmed = F.regexp_replace(environment, "^\\s+|\\s+$", "")
+    count = F.when(trimmed.rlike("^[0-9]+$"), trimmed.try_cast("long"))
+    return F.coalesce(explicit, F.when(environment.isNull(), clock).otherwise(count)), explicit.isNull() & environment.isNotNull() & count.isNull()
+
+
+def sign(rows: DataFrame, key: Column) -> DataFrame:
+    """Adds the signature of `payload`: a digest of the key and the payload's digest. Any engine that is a column expression can take its place."""
+    return rows.withColumn("signature", F.sha2(F.concat(key, F.sha2("payload", 256)).cast("binary"), 256))
+
+
+def signature_outcome(payload: Column, signature: Column, key: Column) -> Column:
+    again = F.sha2(F.concat(key, F.sha2(payload, 256)).cast("binary"), 256)
+    return F.when(signature.isNull(), "unsigned").when(signature != again, "changed").otherwise("ok")
+
+
+def refspec(spec: Column) -> tuple[Column, Column, Column, Column]:
+    """(source, destination, collection, valid) of `SRC`, `SRC:DST`, `:DST` (a delete); `@ID:` before the destination names a collection."""
+    whole = "^([^:@]*)(?::(?:@([^:]+):)?([^:@]+))?$"
+    src, collection, dst = (F.nullif(F.regexp_extract(spec, whole, i), F.lit("")) for i in (1, 2, 3))
+    valid = spec.rlike(whole) & (src.isNotNull() | dst.isNotNull())
+    return F.when(valid, src), F.when(valid, F.coalesce(dst, src)), F.when(valid, collection), valid

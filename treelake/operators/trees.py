@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..plans.durable import cut
 
+#: Checksum of a directory's usual metadata: owner 0, group 0, mode 040755, no attributes.
+ROOT_META = hashlib.sha256(bytes(8) + H.DIR_MODE.to_bytes(4, "big")).hexdigest()
+
 
 def parent(path: Column) -> Column:
     """Directory of an absolute path; the root's entries have the empty string."""
@@ -20,6 +27,10 @@ def base(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def below(path: Column | str, folder: str) -> Column:
+    return F.startswith(path, F.lit(folder + "/"))
+
+
 def depth(path: Column) -> Column:
     return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
 
@@ -36,43 +47,90 @@ def directories(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(up).alias("path")).distinct()
 
 
-def _directory(grouped: DataFrame) -> DataFrame:
-    """Checksums of directories from their sorted elements (name, element, end); each step's values are columns, so nothing is computed twice."""
-    plain = grouped.select("dir", *[x for k in "fd" for x in (F.size(k).cast("long").alias(f"n{k}"), F.concat_ws("", F.transform(k, lambda e: e["element"])).alias(f"data_{k}"), F.transform(k, lambda e: e["end"]).alias(f"ends_{k}"))])
-    wide = plain.select("*", *[H.offset_width(H.size_of(F.col(f"data_{k}")), F.col(f"n{k}")).alias(f"w{k}") for k in "fd"])
-    array = lambda k: F.when(F.col(f"n{k}") == 0, F.lit("")).otherwise(F.concat(f"data_{k}", F.concat_ws("", F.transform(f"ends_{k}", lambda e: H.le(e, F.col(f"w{k}"))))))
-    arrays = wide.select("dir", "nf", "nd", array("f").alias("a"), array("d").alias("b"))
-    sized = arrays.select("*", H.size_of(F.col("a")).alias("sa"), (H.size_of(F.col("a")) + H.size_of(F.col("b"))).alias("sab"))
-    framed = sized.select("*", H.offset_width(F.col("sab"), F.lit(1)).alias("w"))
-    return framed.select("dir", F.col("nf").alias("files"), F.col("nd").alias("dirs"), H.sha(F.concat("a", "b", H.le(F.col("sa"), F.col("w")))).alias("checksum"))
-
-
-def write_tree(files: DataFrame, meta: Column | None = None) -> DataFrame:
-    """(path, checksum, files, dirs) of every directory of the files (path, checksum): one aggregation for each level, deepest first.
-
-    Files come before directories, each in byte order of the name, as the serialised form asks. A level emits
-    one row for each of its directories into the level above, so data shrinks by the fan-out at each step.
+def _width(data: int, count: int) -> int:
+    return next(z for z in (1, 2, 4, 8) if data + z * count < 1 << 8 * z)
+
+
+class _Directory:
+    """The serialised form of one directory, hashed as its sorted entries come; of a closed array only the ends are held."""
+
+    def __init__(self, meta: bytes):
+        self.meta, self.sha, self.counts, self.ends, self.size, self.closed = meta, hashlib.sha256(), [0, 0], [], 0, 0
+
+    def close_array(self) -> None:
+        if self.ends:
+            z = _width(self.size, len(self.ends))
+            self.sha.update(np.array(self.ends, np.uint64).astype(f"<u{z}").tobytes())
+            self.size += z * len(self.ends)
+        self.closed += self.size
+        self.ends, self.size = [], 0
+
+    def add(self, kind: int, name: str, checksum: bytes) -> None:
+        if kind and not self.counts[1]:
+            self.first = self.close_array() or self.closed
+        raw = name.encode() + b"\0"
+        if kind:
+            z = _width(len(raw) + 64, 2)
+            element = raw + checksum + self.meta + (len(raw) + 32).to_bytes(z, "little") + len(raw).to_bytes(z, "little")
+        else:
+            element = raw + checksum + len(raw).to_bytes(_width(len(raw) + 32, 1), "little")
+        self.counts[kind] += 1
+        self.sha.update(element)
+        self.size += len(element)
+        self.ends.append(self.size)
+
+    def digest(self) -> bytes:
+        self.close_array()
+        first = self.first if self.counts[1] else self.closed
+        self.sha.update(first.to_bytes(_width(self.closed, 1), "little"))
+        return self.sha.digest()
+
+
+def _hash_directories(meta: bytes):
+    """Rows (dir, kind, name, checksum), sorted within the task -> (path, sum, files, dirs)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_, out = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["path", "sum", "files", "dirs"])
+
+        for b in batches:
+            for path, kind, name, checksum in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path != now:
+                    if open_:
+                        out.append((now, open_.digest(), *open_.counts))
+                    now, open_ = path, _Directory(meta)
+                open_.add(kind, name, checksum)
+            yield flush()
+            out = []
+        if open_:
+            out.append((now, open_.digest(), *open_.counts))
+            yield flush()
+
+    return rows
+
+
+def write_tree(files: DataFrame, meta: str = ROOT_META) -> DataFrame:
+    """(path, checksum, files, dirs) of every directory of the files (path, checksum), deepest level first.
+
+    Files come before directories, each in byte order of the name, as the serialised form asks. The files are read once; a level emits
+    one row for each of its directories into the level above, so data shrinks by the fan-out at each step. A task streams over its sorted
+    entries and holds a number for each entry of the directory it is in, so a giant directory needs little memory.
     """
-    meta = H.dirmeta_checksum() if meta is None else meta
-    entries = files.select(parent(F.col("path")).alias("dir"), base(F.col("path")).alias("name"), "checksum", F.lit("f").alias("kind"))
-    deepest = entries.agg(F.max(depth(F.col("dir")))).first()[0]
+    entries = cut(files.select(parent(F.col("path")).alias("dir"), F.lit(0).alias("kind"), base(F.col("path")).alias("name"), F.unhex("checksum").alias("sum")).withColumn("level", depth(F.col("dir"))))
+    deepest = entries.agg(F.max("level")).first()[0]
     if deepest is None:
-        empty = files.sparkSession.range(1).select(F.lit("").alias("path"), H.sha(F.lit("00")).alias("checksum"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("dirs"))
-        return empty
-    done, level = [], entries
+        return files.sparkSession.range(1).select(F.lit("").alias("path"), H.sha(F.lit("00")).alias("checksum"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("dirs"))
+    done: list[DataFrame] = []
     for d in range(deepest, -1, -1):
-        here = level.where(depth(F.col("dir")) == d).repartition("dir")
-        element = F.when(F.col("kind") == "f", H.file_element(F.col("name"), F.col("checksum"))).otherwise(H.dir_element(F.col("name"), F.col("checksum"), meta))
-        here = here.select("dir", "kind", "name", element.alias("element"))
-        # running ends by a window over the partitioning that the grouping needs anyway
-        ends = here.withColumn("end", F.sum(H.size_of(F.col("element"))).over(Window.partitionBy("dir", "kind").orderBy("name")))
-        sorted_of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "element", "end"))))
-        grouped = ends.groupBy("dir").agg(sorted_of("f").alias("f"), sorted_of("d").alias("d"))
-        tree = cut(_directory(grouped).select(F.col("dir").alias("path"), "checksum", "files", "dirs"))
-        done.append(tree)
-        up = tree.where("path <> ''").select(parent(F.col("path")).alias("dir"), base(F.col("path")).alias("name"), "checksum", F.lit("d").alias("kind"))
-        level = level.where(depth(F.col("dir")) < d).unionByName(up) if d else level
-    return reduce(DataFrame.unionByName, done)
+        here = entries.where(F.col("level") == d).drop("level")
+        if done:
+            here = here.unionByName(done[-1].select(parent(F.col("path")).alias("dir"), F.lit(1).alias("kind"), base(F.col("path")).alias("name"), "sum"))
+        sorted_ = here.repartition("dir").sortWithinPartitions("dir", "kind", "name")
+        done.append(cut(sorted_.mapInArrow(_hash_directories(bytes.fromhex(meta)), "path string, sum binary, files long, dirs long")))
+    return reduce(DataFrame.unionByName, done).select("path", F.lower(F.hex("sum")).alias("checksum"), "files", "dirs")
 
 
 def content_root(trees: DataFrame, meta: Column | None = None) -> DataFrame:
@@ -136,11 +194,9 @@ def overlay(lower: DataFrame, upper: DataFrame) -> DataFrame:
 
 
 def link_groups(files: DataFrame) -> DataFrame:
-    """Export order: a later file of the same content links to the first path of it."""
-    w = Window.partitionBy("checksum").orderBy("path")
-    whole = Window.partitionBy("checksum")
-    out = files.select("path", "checksum", F.first("path").over(w).alias("first"), F.count("*").over(whole).alias("nlink"))
-    return out.select("path", "checksum", "nlink", F.when(F.col("first") != F.col("path"), F.col("first")).alias("link_to"))
+    """Export order: a later file of the same content links to the first path of it. The first paths come from a map-side minimum, so a content that very many files share isn't gathered."""
+    groups = files.groupBy("checksum").agg(F.min("path").alias("first"), F.count("*").alias("nlink"))
+    return files.select("path", "checksum").join(groups, "checksum").select("path", "checksum", "nlink", F.when(F.col("first") != F.col("path"), F.col("first")).alias("link_to"))
 
 
 def in_scope(paths: DataFrame, subpaths: list[str]) -> DataFrame:

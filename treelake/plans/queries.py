@@ -161,18 +161,6 @@ def s15_commit_state(spark, d):
     return c.join(markers, "checksum", "left").select("checksum", F.coalesce("kind", F.lit("normal")).alias("state"))
 
 
-@query(with_("content") + " SELECT k, count(DISTINCT checksum) AS objects, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN size % 13 = 0 THEN size ELSE 0 END) AS BIGINT) AS missing FROM (SELECT DISTINCT k, checksum, size FROM content) GROUP BY k")
-def s16_commit_sizes(spark, d):
-    c = S.content(spark, d).select("k", "checksum", "size").distinct()
-    return c.groupBy("k").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("size") % 13 == 0, F.col("size")).otherwise(0)).alias("missing"))
-
-
-@query(with_("f0") + " SELECT regexp_extract(path, '[^/]*$') AS name, checksum, row_number() OVER (ORDER BY path) AS pos FROM f0 WHERE starts_with(path, '/src3/en/')")
-def s17_tree_dir(spark, d):
-    here = S.files(spark, d).where(T.parent(F.col("path")) == "/src3/en")
-    return here.select(T.base(F.col("path")).alias("name"), "checksum", F.row_number().over(Window.partitionBy(T.parent(F.col("path"))).orderBy("path")).cast("long").alias("pos"))
-
-
 @query(with_("f0") + " SELECT w.path AS asked, f0.checksum FROM (VALUES ('/src3//./en/d00000003.txt', '/src3/en/d00000003.txt'), ('/src3/../x', '/src3/../x'), ('/nope', '/nope')) w(path, plain) LEFT JOIN f0 ON f0.path = w.plain")
 def s18_path_lookup(spark, d):
     asked = spark.range(1).select(F.explode(F.array(F.lit("/src3//./en/d00000003.txt"), F.lit("/src3/../x"), F.lit("/nope"))).alias("asked"))
@@ -248,17 +236,6 @@ def k04_check_related(spark, d):
     return c.where("k % 5 in (1, 2)").join(dep, "k", "left").select("checksum", F.when(F.col("of").isNull(), "absent").when(F.col("of") % 11 == 0, "partial").otherwise("complete").alias("dependency"))
 
 
-@query("""WITH s AS (SELECT c_custkey AS c, 'a' AS key, ['x', 'y', 'x'] AS v FROM customer WHERE c_custkey % 2 = 0), i AS (SELECT c_custkey AS c, 'a' AS key, ['y', 'z'] AS v FROM customer WHERE c_custkey % 3 = 0)
-    SELECT coalesce(s.c, i.c) AS c, array_to_string(list_concat(coalesce(s.v, []), list_filter(coalesce(i.v, []), lambda x: NOT list_contains(coalesce(s.v, []), x))), ',') AS v FROM s FULL OUTER JOIN i ON s.c = i.c AND s.key = i.key""")
-def k06_merge_detached(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.lit("a").alias("key"))
-    s = c.where("c % 2 = 0").withColumn("s", F.array(F.lit("x"), F.lit("y"), F.lit("x")))
-    i = c.where("c % 3 = 0").withColumn("i", F.array(F.lit("y"), F.lit("z")))
-    none = F.array().cast("array<string>")
-    both = s.join(i, ["c", "key"], "full_outer").select("c", F.coalesce("s", none).alias("s"), F.coalesce("i", none).alias("i"))
-    return both.select("c", F.array_join(F.concat("s", F.array_except("i", "s")), ",").alias("v"))
-
-
 @query(with_("commits", "refs") + """, u AS (SELECT name, CASE WHEN branch % 3 = 0 THEN 'x' ELSE checksum END AS expected, CASE WHEN branch % 4 = 0 THEN NULL ELSE sha256('new:' || name) END AS new FROM refs WHERE branch % 2 = 0
     UNION ALL SELECT 'fresh/' || branch, NULL, sha256('new:' || branch) FROM refs WHERE branch % 7 = 0)
     SELECT coalesce(r.name, u.name) AS name, CASE WHEN u.name IS NULL OR u.expected IS DISTINCT FROM r.checksum THEN r.checksum ELSE u.new END AS checksum,
@@ -334,12 +311,6 @@ def p05_ls(spark, d):
     return files.select(line("-", H.FILE_MODE, F.col("size"))).unionByName(T.directories(files).where("path <> ''").select(line("d", H.DIR_MODE, F.lit(0))))
 
 
-@query("SELECT p_partkey AS k, p_size * 100 AS mode, (p_size * 100) & 493 AS canonical FROM part")
-def p06_canonical_mode(spark, d):
-    mode = F.col("p_size") * 100
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), mode.alias("mode"), mode.bitwiseAND(0o755).alias("canonical"))
-
-
 @query(with_("f0") + " SELECT CASE WHEN starts_with(path, '/src1/') THEN '/usr/src1/' || substr(path, 7) ELSE path END AS path FROM f0")
 def p07_path_rewrite(spark, d):
     return T.rename(S.files(spark, d).select("path"), "/src1", "/usr/src1")
@@ -393,13 +364,6 @@ def f05_collection_id(spark, d):
     return ids.select("id", R.valid_collection(F.col("id")).alias("valid"))
 
 
-@query(with_("commits") + " SELECT text, regexp_matches(text, '^[0-9a-f]{64}$') AS shaped FROM (SELECT checksum AS text FROM commits WHERE k < 50 UNION ALL SELECT upper(checksum) FROM commits WHERE k < 50 UNION ALL SELECT substr(checksum, 2) FROM commits WHERE k < 50)")
-def f06_checksum_shaped(spark, d):
-    c = S.commits(spark, d).where("k < 50")
-    text = c.select(F.explode(F.array(F.col("checksum"), F.upper("checksum"), F.substring("checksum", 2, 63))).alias("text"))
-    return text.select("text", R.checksum_shaped(F.col("text")).alias("shaped"))
-
-
 @query(with_("commits") + ", w AS (SELECT DISTINCT substr(checksum, 1, 4) AS prefix FROM commits) SELECT prefix, count(*) AS found, CASE count(*) WHEN 1 THEN min(checksum) END AS resolved FROM w JOIN commits ON starts_with(checksum, prefix) GROUP BY prefix")
 def f07_resolve_prefix(spark, d):
     c = S.commits(spark, d).withColumn("prefix", F.substring("checksum", 1, 4))
@@ -424,15 +388,6 @@ def f09_rights(spark, d):
     return R.rights(_rules(spark, d))
 
 
-@query("""WITH r AS (SELECT c_mktsegment AS who, c_nationkey AS n, c_custkey % 97 = 0 AS deny, c_custkey % 5 AS b FROM customer WHERE c_custkey % 3 = 0),
-    ok AS (SELECT who, n FROM r GROUP BY 1, 2 HAVING NOT bool_or(deny) AND bool_or(b IN (0, 1, 2, 4)))
-    SELECT who, count(*) AS readable FROM ok JOIN customer ON c_nationkey = n GROUP BY who""")
-def f10_read_access(spark, d):
-    ok = R.rights(_rules(spark, d)).where("modes & 1 <> 0")
-    refs = table(spark, d, "customer").select(F.concat(F.lit("cust/"), F.col("c_nationkey").cast("string")).alias("ref"))
-    return ok.join(refs, "ref").groupBy("who").agg(F.count("*").alias("readable"))
-
-
 @query("""WITH ip AS (SELECT event_id, user_id, 10 * 16777216 + (user_id % 7) * 65536 + (event_id % 250) AS n FROM events),
     net AS (SELECT * FROM (VALUES ('wide', 10 * 16777216, 8), ('mid', 10 * 16777216 + 3 * 65536, 16), ('near', 10 * 16777216 + 3 * 65536, 25)) t(grp, base, bits))
     SELECT event_id, arg_max(grp, bits) AS grp FROM ip JOIN net ON n >> (32 - bits) = base >> (32 - bits) GROUP BY event_id""")
@@ -460,13 +415,6 @@ def f15_filter_callbacks(spark, d):
     return T.skip_subtrees(files, skipped)
 
 
-@query(with_("commits", "refs") + " SELECT name, branch % 8 <> 0 AS bound FROM refs")
-def f16_binding_checks(spark, d):
-    refs = S.refs(spark, d)
-    bindings = F.when(F.col("branch") % 8 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("other"), F.col("name")))
-    return refs.select("name", F.array_contains(bindings, F.col("name")).alias("bound"))
-
-
 @query(with_("commits") + ", c AS (SELECT *, k // 3 AS content FROM commits) SELECT c.checksum FROM c LEFT JOIN c p ON p.checksum = c.parent WHERE p.content IS DISTINCT FROM c.content")
 def f18_skip_unchanged(spark, d):
     c = S.commits(spark, d).withColumn("content", F.expr("k div 3"))
@@ -532,21 +480,6 @@ def j05_prune_depth(spark, d):
     return Hi.prune(objects, _reached_objects(spark, d, _kept(spark, d))).select("checksum", "size")
 
 
-SINCE = """oc AS (SELECT o_orderkey AS k, o_custkey AS branch, sha256('commit:' || o_orderkey) AS checksum, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pk,
-    CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 86400 AS ts FROM orders),
-    s(k) AS (SELECT max(k) FROM oc GROUP BY branch UNION SELECT p.k FROM s JOIN oc ON oc.k = s.k JOIN oc p ON p.k = oc.pk WHERE p.ts >= 883612800)"""
-
-
-@query("WITH RECURSIVE " + SINCE + " SELECT checksum FROM oc WHERE k IN (SELECT k FROM s)")
-def j05_prune_since(spark, d):
-    return Hi.since(S.commits(spark, d), ["k"], "ts", 883612800).select("checksum")
-
-
-@query("WITH RECURSIVE " + SINCE + " SELECT branch, count(*) AS kept FROM oc WHERE k IN (SELECT k FROM s) GROUP BY branch")
-def w03_since(spark, d):
-    return Hi.since(S.commits(spark, d), ["k"], "ts", 883612800).groupBy("branch").agg(F.count("*").alias("kept"))
-
-
 @query(REACH + """, alive AS (SELECT DISTINCT o.checksum FROM content o JOIN commits c USING (k) JOIN kept ON kept.checksum = c.checksum), objects AS (SELECT DISTINCT checksum, size FROM content)
     SELECT count(*) AS total, count(*) FILTER (WHERE checksum NOT IN (SELECT checksum FROM alive)) AS pruned, CAST(coalesce(sum(size) FILTER (WHERE checksum NOT IN (SELECT checksum FROM alive)), 0) AS BIGINT) AS freed FROM objects""")
 def a02_prune_stats(spark, d):
@@ -583,12 +516,6 @@ def j10_fsck_attribution(spark, d):
     return held.join(S.commits(spark, d).select("k", F.col("checksum").alias("commit_")), "k").select("commit_", "object").distinct()
 
 
-@query(with_("commits", "refs") + " SELECT c.checksum, r.name AS bound_to, r.checksum IS NULL AS dangling FROM commits c LEFT JOIN refs r ON r.branch = c.branch AND r.checksum = c.checksum WHERE c.k % 10 = 0")
-def j11_bindings(spark, d):
-    tips = S.refs(spark, d).select("checksum", F.col("name").alias("bound_to"))
-    return S.commits(spark, d).where("k % 10 = 0").join(tips, "checksum", "left").select("checksum", "bound_to", F.col("bound_to").isNull().alias("dangling"))
-
-
 @query(with_("commits") + ", h AS (SELECT * FROM commits WHERE k % 9 <> 0) SELECT h.checksum, CASE WHEN p.checksum IS NULL THEN 'absent' WHEN p.k % 11 = 0 THEN 'partial' ELSE 'ok' END AS state FROM h LEFT JOIN h p ON p.checksum = h.parent WHERE h.parent IS NOT NULL")
 def j12_dependencies(spark, d):
     h = S.commits(spark, d).where("k % 9 <> 0")
@@ -608,21 +535,6 @@ def j14_collection_select(spark, d):
     return R.newest(rows, "name", "ts", "remote")
 
 
-@query("""WITH RECURSIVE e AS (SELECT sha256('n:' || o_orderkey) AS src, sha256('n:' || (o_orderkey * 2 + 1)) AS dst, o_orderkey AS a, o_orderkey * 2 + 1 AS b FROM orders UNION SELECT sha256('n:' || o_orderkey), sha256('n:' || (o_orderkey + 1)), o_orderkey, o_orderkey + 1 FROM orders),
-    back(node, dist) AS (SELECT sha256('n:600'), 0 UNION SELECT e.src, dist + 1 FROM back JOIN e ON e.dst = back.node WHERE dist < 14), d AS (SELECT node, min(dist) AS dist FROM back GROUP BY node),
-    nxt AS (SELECT e.src, min(e.dst) AS dst FROM e JOIN d ON d.node = e.src JOIN d t ON t.node = e.dst AND t.dist = d.dist - 1 GROUP BY e.src),
-    chain(step, src, dst) AS (SELECT 1, src, dst FROM nxt WHERE src = (SELECT node FROM d WHERE node IN (sha256('n:1'), sha256('n:3')) ORDER BY dist, node LIMIT 1) UNION ALL SELECT step + 1, n.src, n.dst FROM chain c JOIN nxt n ON n.src = c.dst)
-    SELECT step, src, dst FROM chain""")
-def j16_delta_chain(spark, d):
-    sha = lambda c: F.sha2(F.concat(F.lit("n:"), c.cast("string")).cast("binary"), 256)
-    k = F.col("o_orderkey")
-    o = table(spark, d, "orders")
-    edges = o.select(sha(k).alias("src"), sha(k * 2 + 1).alias("dst")).unionByName(o.select(sha(k).alias("src"), sha(k + 1).alias("dst"))).distinct()
-    have = spark.range(1).select(F.explode(F.array(sha(F.lit(1)), sha(F.lit(3)))).alias("checksum"))
-    target = hashlib.sha256(b"n:600").hexdigest()
-    return Hi.shortest_chain(edges, have, target)
-
-
 @query(with_("commits", "refs", recursive=True) + """, u AS (SELECT r.name, c.checksum AS old, r.checksum AS new FROM refs r JOIN commits c ON (c.branch = r.branch AND c.seq = 2) UNION ALL SELECT r.name, c.checksum, r.checksum FROM refs r JOIN commits c ON c.branch = r.branch + 1 AND c.seq = 1),
     anc(new, node) AS (SELECT DISTINCT new, new FROM u UNION SELECT anc.new, c.parent FROM anc JOIN commits c ON c.checksum = anc.node WHERE c.parent IS NOT NULL)
     SELECT u.name, u.old, u.new, EXISTS (SELECT 1 FROM anc WHERE anc.new = u.new AND anc.node = u.old) AS fast_forward FROM u""")
@@ -667,27 +579,12 @@ def a09_refs_by_collection(spark, d):
     return _spaces(spark, d).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("n")).select("id", F.size("n").cast("long").alias("refs"), F.array_join("n", ",").alias("names"))
 
 
-PACK = """p AS (SELECT delta, checksum, size, row_number() OVER (PARTITION BY delta ORDER BY checksum) AS n FROM (SELECT DISTINCT k % 20 AS delta, checksum, size FROM content WHERE k < 400)),
-    pack(delta, n, checksum, part, held) AS (SELECT delta, n, checksum, CAST(0 AS BIGINT), size FROM p WHERE n = 1 UNION ALL SELECT p.delta, p.n, p.checksum, pack.part + CASE WHEN held + size > 3000 THEN 1 ELSE 0 END, CASE WHEN held + size > 3000 THEN size ELSE held + size END FROM pack JOIN p ON p.delta = pack.delta AND p.n = pack.n + 1)"""
-
-
-@query(with_("content", recursive=True) + ", " + PACK + " SELECT delta, checksum, part FROM pack")
-def a13_pack_parts(spark, d):
-    o = S.content(spark, d).where("k < 400").select((F.col("k") % 20).alias("delta"), "checksum", "size").distinct()
-    return D.pack_parts(o, 3000)
-
-
 @query("SELECT p_size AS mode, dense_rank() OVER (ORDER BY first) - 1 AS idx FROM (SELECT p_size, min(p_partkey) AS first FROM part GROUP BY p_size)")
 def a14_interning(spark, d):
     first = table(spark, d, "part").groupBy(F.col("p_size").alias("mode")).agg(F.min("p_partkey").alias("first"))
     return first.select("mode", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("long").alias("idx"))
 
 
-@query(with_("commits") + " SELECT branch, checksum, row_number() OVER (PARTITION BY branch ORDER BY seq DESC) - 1 AS depth FROM commits WHERE branch < 50")
-def w01_log(spark, d):
-    return Hi.positions(S.commits(spark, d).where("branch < 50"), ["seq"]).select("branch", "checksum", F.col("depth").cast("long").alias("depth"))
-
-
 @query(with_("commits") + " SELECT checksum FROM (SELECT checksum, row_number() OVER (PARTITION BY branch ORDER BY seq DESC) AS n FROM commits) WHERE n <= 3")
 def w02_depth(spark, d):
     return Hi.positions(S.commits(spark, d), ["seq"]).where("depth <= 2").select("checksum")
@@ -707,7 +604,8 @@ def w04_branch_override(spark, d):
 @query(with_("commits", "refs", recursive=True) + """, walk(checksum) AS (SELECT checksum FROM refs WHERE branch % 2 = 0 UNION SELECT c.parent FROM walk JOIN commits c USING (checksum) WHERE c.parent IS NOT NULL)
     SELECT 'weak/' || c.k AS name, c.checksum IN (SELECT checksum FROM walk) AS kept FROM commits c WHERE c.k % 6 = 0""")
 def w05_weak_refs(spark, d):
-    reached = _kept(spark, d, Hi.ALL).withColumn("kept", F.lit(True))
+    strong = S.refs(spark, d).where("branch % 2 = 0")
+    reached = Hi.behind(strong, Hi.jumps(S.commits(spark, d))).withColumn("kept", F.lit(True))
     weak = S.commits(spark, d).where("k % 6 = 0").select(F.concat(F.lit("weak/"), F.col("k").cast("string")).alias("name"), "checksum")
     return weak.join(reached, "checksum", "left").select("name", F.coalesce("kept", F.lit(False)).alias("kept"))
 
@@ -764,45 +662,12 @@ def c11_canonical_ref(spark, d):
     return table(spark, d, "supplier").select(k.alias("k"), R.canonical_ref(space, qualifier, name, "org.own").alias("ref"))
 
 
-@query("SELECT s_suppkey AS k, CAST(s_suppkey AS BIGINT) * CASE s_suppkey % 4 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 WHEN 2 THEN 1073741824 ELSE 1 END AS bytes FROM supplier")
-def c12_size_spec(spark, d):
-    k = F.col("s_suppkey")
-    unit = F.when(k % 4 == 0, "KB").when(k % 4 == 1, "MB").when(k % 4 == 2, "GB").otherwise("B")
-    return table(spark, d, "supplier").select(k.alias("k"), R.size_spec(F.concat(k.cast("string"), unit)).alias("bytes"))
-
-
-@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 111 END, CASE WHEN event_id % 3 = 1 THEN 222 END, 333) AS ts FROM events")
-def c13_timestamp_choice(spark, d):
-    k = F.col("event_id")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.when(k % 3 == 0, 111), F.when(k % 3 == 1, 222), F.lit(333)).alias("ts"))
-
-
 @query(with_("f0") + " SELECT '/' || path || '/./' AS raw, path AS plain FROM f0")
 def c23_normal_path(spark, d):
     raw = F.concat(F.lit("/"), "path", F.lit("/./"))
     return S.files(spark, d).select(raw.alias("raw"), T.normal_path(raw).alias("plain"))
 
 
-def _payloads(spark, d, altered: bool = False, where: str = "true") -> DataFrame:
-    """(checksum, payload) of the documents; an altered one has bytes put in behind its 1,500th character, or at the end of a shorter text."""
-    docs = table(spark, d, "documents").where(where)
-    text = F.concat(F.substr("text", F.lit(1), F.lit(1500)), F.lit("<new>"), F.substr("text", F.lit(1501))) if altered else F.col("text")
-    return docs.select(F.col("doc_id").cast("string").alias("checksum"), text.cast("binary").alias("payload"))
-
-
-@query()
-def c15_chunks(spark, d):
-    """Content-defined chunks; tested against a direct form of the rule."""
-    return D.chunks(_payloads(spark, d))
-
-
-@query()
-def c16_copy_plan(spark, d):
-    """Copies of an altered payload's chunks from the old one; tested by rebuilding payloads."""
-    new = D.chunks(_payloads(spark, d, True)).withColumn("source", F.col("checksum"))
-    return D.copy_plan(new, D.chunks(_payloads(spark, d)))
-
-
 # codecs and archives, by round trip
 
 
@@ -810,6 +675,7 @@ def _documents(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
 
 
+
 @query("SELECT doc_id, sha256(text) AS inflated FROM documents")
 def c14_deflate_round_trip(spark, d):
     return _documents(spark, d).select("doc_id", F.sha2(codecs.inflate(codecs.deflate("payload")), 256).alias("inflated"))
@@ -830,46 +696,10 @@ def s22_tar_round_trip(spark, d):
     return back.select("archive", "path", F.sha2("payload", 256).alias("payload_sha256"))
 
 
-@query("SELECT doc_id, sha256(lang) AS s, n_chars AS t, sha256(text) AS ay, source AS key FROM documents")
-def c07_codec_round_trip(spark, d):
-    """Typed values, encoded and decoded again in Arrow batches."""
-
-    def rows(frames):
-        sig = "(sta{sv}ay)"
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                s, t, entries, ay = gvariant.decode(sig, gvariant.encode(sig, (r.lang, r.n_chars, [(r.source, ("u", 7))], r.text.encode())))
-                out.append((r.doc_id, hashlib.sha256(s.encode()).hexdigest(), t, hashlib.sha256(ay).hexdigest(), entries[0][0]))
-            yield pd.DataFrame(out, columns=["doc_id", "s", "t", "ay", "key"])
-
-    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text").mapInPandas(rows, "doc_id long, s string, t long, ay string, key string")
-
-
-@query("SELECT CAST(doc_id AS VARCHAR) AS checksum, sha256(substr(text, 1, 1500) || '<new>' || substr(text, 1501)) AS rebuilt FROM documents WHERE n_chars > 3000")
-def c18_delta_round_trip(spark, d):
-    """Altered payloads, rebuilt from the old ones by copies and literal bytes."""
-    old, new = _payloads(spark, d, where="n_chars > 3000"), _payloads(spark, d, True, "n_chars > 3000")
-    runs = D.copy_plan(D.chunks(new).withColumn("source", F.col("checksum")), D.chunks(old))
-    plans = runs.groupBy("checksum").agg(F.array_sort(F.collect_list(F.struct("start", "length", "from"))).alias("runs"))
-    both = plans.join(old, "checksum").join(new.select("checksum", F.col("payload").alias("wanted")), "checksum")
-
-    def rows(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                # a null place comes as NaN
-                runs = [(int(x["start"]), int(x["length"]), int(x["from"]) if x["from"] == x["from"] and x["from"] is not None else None) for x in r.runs]
-                literal = b"".join(r.wanted[a : a + n] for a, n, origin in runs if origin is None)
-                out.append((r.checksum, hashlib.sha256(D.apply_plan(runs, r.payload, literal)).hexdigest()))
-            yield pd.DataFrame(out, columns=["checksum", "rebuilt"])
-
-    return both.select("checksum", "runs", "payload", "wanted").mapInPandas(rows, "checksum string, rebuilt string")
-
-
 # the rest of the surface
 
 
+
 @query(with_("f0") + " SELECT CASE WHEN starts_with(path, '/src2/') THEN '/moved/src2/' || substr(path, 7) ELSE path END AS path FROM f0 WHERE NOT starts_with(path, '/src1/')")
 def r01_staging_edits(spark, d):
     files = S.files(spark, d).select("path")
@@ -883,19 +713,6 @@ def r14_endpoint_class(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(u.rlike("^https"), "tls").when(u.rlike("^http"), "http").otherwise("file").alias("class"))
 
 
-@query("SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'a' ELSE NULL END AS src, CASE s_suppkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'b/' || s_suppkey ELSE 'gone' END AS dst FROM supplier")
-def r20_refspec(spark, d):
-    k = F.col("s_suppkey")
-    spec = F.when(k % 3 == 0, "main").when(k % 3 == 1, F.concat(F.lit("a:b/"), k.cast("string"))).otherwise(":gone")
-    src = F.nullif(F.substring_index(spec, ":", 1), F.lit(""))
-    return table(spark, d, "supplier").select(k.alias("k"), src.alias("src"), F.when(F.contains(spec, F.lit(":")), F.substring_index(spec, ":", -1)).otherwise(spec).alias("dst"))
-
-
-@query(with_("commits", "refs") + " SELECT name, CASE WHEN branch % 7 = 0 THEN 'binding' WHEN NOT regexp_matches(name, '^cust/[0-9]/') THEN 'namespace' ELSE 'ok' END AS reason FROM refs")
-def r21_push_checks(spark, d):
-    return S.refs(spark, d).select("name", F.when(F.col("branch") % 7 == 0, "binding").when(~F.col("name").rlike("^cust/[0-9]/"), "namespace").otherwise("ok").alias("reason"))
-
-
 @query(with_("f0") + " SELECT path, CASE WHEN size % 10 = 0 THEN 511 ELSE 420 END AS mode FROM f0 WHERE size % 7 <> 0")
 def r30_statoverride(spark, d):
     f = S.files(spark, d)
@@ -903,12 +720,6 @@ def r30_statoverride(spark, d):
     return f.join(skip, "path", "left_anti").join(over, "path", "left").select("path", F.coalesce("over", F.lit(H.FILE_MODE & 0o7777)).alias("mode"))
 
 
-@query(with_("content") + " SELECT k, CAST(sum(size) AS BIGINT) AS planned, CAST(sum(size) AS BIGINT) > 2000 AS refused FROM content GROUP BY k")
-def r32_free_space(spark, d):
-    planned = S.content(spark, d).groupBy("k").agg(F.sum("size").alias("planned"))
-    return planned.select("k", "planned", (F.col("planned") > 2000).alias("refused"))
-
-
 # update streams, as batch
 
 
@@ -916,6 +727,7 @@ LATE = with_("updates") + """, s AS (SELECT event_id, ref, event_id * 7919 % 100
     m AS (SELECT event_id, ref, t, max(t) OVER (PARTITION BY ref ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)"""
 
 
+
 @query(LATE + " SELECT event_id, ref, t, coalesce(t >= before, true) AS accepted FROM m")
 def t03_timestamp_check(spark, d):
     """An update whose time lies before the newest accepted one is refused; equal passes. The newest accepted is the running maximum."""
@@ -924,6 +736,3 @@ def t03_timestamp_check(spark, d):
     return s.withColumn("accepted", F.coalesce(F.col("t") >= before, F.lit(True)))
 
 
-@query(with_("updates") + " SELECT ref, arg_max(checksum, event_id) AS tip, count(*) AS updates FROM updates GROUP BY ref")
-def t01_ref_stream(spark, d):
-    return S.updates(spark, d).groupBy("ref").agg(F.max_by("checksum", "event_id").alias("tip"), F.count("*").alias("updates"))

@@ -36,30 +36,6 @@ def _metadata(spark, d) -> DataFrame:
     return c.select("checksum", "k", "branch", F.when(F.col("k") % 2 == 0, F.array(binding, version, again)).otherwise(F.array(binding)).alias("metadata"))
 
 
-@query(with_("content") + ", w AS (SELECT DISTINCT checksum FROM content WHERE k < 20) SELECT DISTINCT c.checksum, c.size FROM content c JOIN w USING (checksum)")
-def s12_read_objects(spark, d):
-    c = S.content(spark, d)
-    return c.select("checksum", "size").distinct().join(c.where("k < 20").select("checksum"), "checksum", "left_semi")
-
-
-@query(with_("commits") + " SELECT checksum, parent, ts FROM commits WHERE k % 4 = 0")
-def s13_load_commits(spark, d):
-    return S.commits(spark, d).where("k % 4 = 0").select("checksum", "parent", "ts")
-
-
-@query(with_("commits", "refs") + " SELECT split_part(name, '/', 2) AS grp, count(*) AS refs, max(c.ts) AS newest FROM refs r JOIN commits c ON c.checksum = r.checksum GROUP BY 1")
-def s26_summary_read(spark, d):
-    rows = S.refs(spark, d).join(S.commits(spark, d).select("checksum", "ts"), "checksum")
-    packed = rows.groupBy(F.split("name", "/")[1].alias("grp")).agg(F.array_sort(F.collect_list(F.struct("name", "ts"))).alias("entries"))
-    return packed.select("grp", F.size("entries").cast("long").alias("refs"), F.array_max(F.transform("entries", lambda e: e["ts"])).alias("newest"))
-
-
-@query(with_("commits") + " SELECT substr(name, 1, 64) AS src, substr(name, 66) AS dst FROM (SELECT parent || '-' || checksum AS name FROM commits WHERE parent IS NOT NULL AND k % 5 = 0)")
-def s27_delta_inventory(spark, d):
-    names = S.commits(spark, d).where("parent is not null and k % 5 = 0").select(F.concat_ws("-", "parent", "checksum").alias("name"))
-    return names.select(F.substring_index("name", "-", 1).alias("src"), F.substring_index("name", "-", -1).alias("dst"))
-
-
 @query(with_("f0") + ", k AS (SELECT 'objects/' || substr(checksum, 1, 2) || '/' || substr(checksum, 3) || CASE WHEN size % 9 = 0 THEN '.tmp' ELSE '.filez' END AS key FROM (SELECT DISTINCT checksum, size FROM f0)) SELECT key, regexp_matches(key, '^objects/[0-9a-f]{2}/[0-9a-f]{62}[.](filez|commit|dirtree|dirmeta)$') AS object FROM k")
 def s24_bucket_listing(spark, d):
     f = S.files(spark, d).select("checksum", "size").distinct()
@@ -85,23 +61,6 @@ def p03_bindings(spark, d):
     return _metadata(spark, d).select("checksum", first.alias("bound"))
 
 
-@query(with_("commits") + " SELECT checksum, parent FROM commits")
-def p04_commit_links(spark, d):
-    return S.commits(spark, d).select("checksum", "parent")
-
-
-@query(with_("commits") + " SELECT checksum, CASE WHEN k % 3 = 0 THEN 'dependency' WHEN k % 3 = 1 THEN 'build' ELSE 'defective' END AS role FROM commits")
-def p08_related_split(spark, d):
-    return S.commits(spark, d).select("checksum", F.when(F.col("k") % 3 == 0, "dependency").when(F.col("k") % 3 == 1, "build").otherwise("defective").alias("role"))
-
-
-@query("SELECT s_suppkey AS k, regexp_matches(CASE s_suppkey % 3 WHEN 0 THEN 'o:main' WHEN 1 THEN 'x:main' ELSE 'main' END, '^(o:)[^/]+$') AS matched FROM supplier")
-def f03_receive_pattern(spark, d):
-    k = F.col("s_suppkey")
-    qualifier, name = F.when(k % 3 == 0, "o").when(k % 3 == 1, "x"), F.lit("main")
-    return table(spark, d, "supplier").select(k.alias("k"), (F.coalesce(qualifier == "o", F.lit(False)) & R.matches(name, "*")).alias("matched"))
-
-
 @query("""WITH r AS (SELECT c_mktsegment AS who, 'cust/' || c_nationkey AS ref, c_custkey % 97 = 0 AS deny, CAST(2 ** (c_custkey % 5) AS INT) AS modes FROM customer WHERE c_custkey % 3 = 0)
     SELECT who, ref FROM r GROUP BY 1, 2 HAVING bool_or(NOT deny AND modes & 23 <> 0) AND NOT bool_or(deny)""")
 def f11_read_selector(spark, d):
@@ -112,19 +71,6 @@ def f11_read_selector(spark, d):
     return yes.join(rules.where("effect = 'deny'").select("who", "ref"), ["who", "ref"], "left_anti")
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'claim' ELSE 'group' END AS source, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 3 END AS modes FROM customer")
-def f13_claims(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    claims = c.where("k % 5 = 0").withColumn("claim", F.lit(1))
-    return c.join(claims, "k", "left").select("k", F.when(F.col("claim").isNull(), "group").otherwise("claim").alias("source"), F.coalesce("claim", F.lit(3)).alias("modes"))
-
-
-@query("SELECT p_partkey AS k, (p_size * 100) & 3072 = 0 AND (p_size * 100) & 18 = 0 AS accepted FROM part")
-def f17_mode_checks(spark, d):
-    mode = F.col("p_size") * 100
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), ((mode.bitwiseAND(0o6000) == 0) & (mode.bitwiseAND(0o22) == 0)).alias("accepted"))
-
-
 @query(with_("commits") + ", dep AS (SELECT checksum, branch, 'dep' || k % 3 AS name, k, seq FROM commits) SELECT n.checksum, min(o.k) AS source FROM dep n JOIN dep o ON o.branch = n.branch AND o.name = n.name AND o.seq < n.seq AND o.k % 11 <> 0 GROUP BY n.checksum")
 def j15_dependency_pairing(spark, d):
     dep = S.commits(spark, d).withColumn("name", F.concat(F.lit("dep"), (F.col("k") % 3).cast("string")))
@@ -133,39 +79,12 @@ def j15_dependency_pairing(spark, d):
     return dep.withColumn("source", F.min(F.when(F.col("k") % 11 != 0, F.col("k"))).over(w)).where("source is not null").select("checksum", "source")
 
 
-@query("SELECT s_nationkey AS remote, count(*) AS pulls, CAST(sum(s_suppkey * 3) AS BIGINT) AS objects, CAST(sum(s_suppkey * 100) AS BIGINT) AS bytes FROM supplier GROUP BY 1")
-def a05_pull_stats(spark, d):
-    s = table(spark, d, "supplier")
-    return s.groupBy(F.col("s_nationkey").alias("remote")).agg(F.count("*").alias("pulls"), F.sum(F.col("s_suppkey") * 3).alias("objects"), F.sum(F.col("s_suppkey") * 100).alias("bytes"))
-
-
-@query(with_("f1", "f2") + ", o AS (SELECT CASE WHEN a.path IS NULL THEN 'S' WHEN a.checksum = b.checksum THEN 'r' WHEN b.size > 4000 THEN 'B' ELSE 'w' END AS op, b.size FROM f2 b LEFT JOIN f1 a ON a.path = b.path) SELECT op, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM o GROUP BY op")
-def a06_opcode_counts(spark, d):
-    old = S.files(spark, d, 1).select("path", F.col("checksum").alias("old"))
-    op = F.when(F.col("old").isNull(), "S").when(F.col("old") == F.col("checksum"), "r").when(F.col("size") > 4000, "B").otherwise("w").alias("op")
-    return S.files(spark, d, 2).join(old, "path", "left").groupBy(op).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-
-
 @query("SELECT key, arg_max(v, pos) AS value, min(pos) AS pos FROM (SELECT c_mktsegment AS key, c_custkey AS pos, c_nationkey AS v FROM customer) GROUP BY key")
 def a10_last_value_first_place(spark, d):
     c = table(spark, d, "customer")
     return c.groupBy(F.col("c_mktsegment").alias("key")).agg(F.max_by("c_nationkey", "c_custkey").alias("value"), F.min("c_custkey").alias("pos"))
 
 
-@query("SELECT c_nationkey AS commit_, bool_or(c_custkey % 10 = 0) AS valid, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS signatures FROM customer GROUP BY 1")
-def a12_verify_outcome(spark, d):
-    c = table(spark, d, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("commit_")).agg(F.bool_or(F.col("c_custkey") % 10 == 0).alias("valid"), F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("signatures"))
-
-
-@query("SELECT k, rank AS pos, text FROM (SELECT conv_id AS k, text, row_number() OVER (PARTITION BY conv_id ORDER BY text, turn) AS rank FROM conversations) WHERE rank <= 2")
-def o03_capped_lists(spark, d):
-    """The first two of each list, in byte order."""
-    c = table(spark, d, "conversations")
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("text", "turn"))
-    return c.select(F.col("conv_id").alias("k"), n.cast("long").alias("pos"), "text").where("pos <= 2")
-
-
 @query(with_("f1", "f2") + " SELECT checksum, bool_or(v = 1) AS in_old, bool_or(v = 2) AS in_new FROM (SELECT checksum, 1 AS v FROM f1 UNION ALL SELECT checksum, 2 FROM f2) GROUP BY checksum")
 def u01_union(spark, d):
     both = S.files(spark, d, 1).select("checksum", F.lit(1).alias("v")).unionByName(S.files(spark, d, 2).select("checksum", F.lit(2).alias("v")))
@@ -200,28 +119,6 @@ def c22_date_parse(spark, d):
     return e.select("event_id", parsed.alias("seconds"))
 
 
-@query("SELECT doc_id, sha256('key' || text) = sha256('key' || text) AND doc_id % 4 <> 0 AS valid FROM documents")
-def c20_dummy_signature(spark, d):
-    """The engine that signs with fixed bytes: valid exactly if the stored signature equals the key."""
-    key = F.lit("key").cast("binary")
-    stored = F.when(F.col("doc_id") % 4 == 0, F.lit("other").cast("binary")).otherwise(key)
-    return table(spark, d, "documents").select("doc_id", (stored == key).alias("valid"))
-
-
-@query(with_("updates") + ", s AS (SELECT *, lag(event_id) OVER (PARTITION BY ref ORDER BY event_id) AS before FROM updates) SELECT event_id, CASE WHEN kind = 'error' THEN 'delete refused' WHEN before IS NULL THEN 'created' WHEN event_id % 7 = 0 THEN 'not a fast-forward' ELSE 'updated' END AS outcome FROM s")
-def t02_update_policy(spark, d):
-    before = F.lag("event_id").over(Window.partitionBy("ref").orderBy("event_id"))
-    u = S.updates(spark, d).withColumn("before", before)
-    return u.select("event_id", F.when(F.col("kind") == "error", "delete refused").when(F.col("before").isNull(), "created").when(F.col("event_id") % 7 == 0, "not a fast-forward").otherwise("updated").alias("outcome"))
-
-
-@query(with_("commits") + " SELECT checksum, k % 11 = 0 AND k % 2 = 0 AS still_partial FROM commits WHERE k % 11 = 0")
-def t04_resume(spark, d):
-    c = S.commits(spark, d)
-    markers, arrived = c.where("k % 11 = 0").select("checksum"), c.where("k % 2 = 1").select("checksum", F.lit(True).alias("done"))
-    return markers.join(arrived, "checksum", "left").select("checksum", F.col("done").isNull().alias("still_partial"))
-
-
 @query(with_("updates") + ", stop AS (SELECT ref, min(event_id) AS at FROM updates WHERE kind = 'signup' GROUP BY ref) SELECT u.event_id, u.ref FROM updates u LEFT JOIN stop s USING (ref) WHERE s.at IS NULL OR u.event_id <= s.at")
 def t05_stop_at_commit(spark, d):
     """Each ref's stream up to its first stop mark."""
@@ -229,14 +126,10 @@ def t05_stop_at_commit(spark, d):
     return S.updates(spark, d).withColumn("at", stop).where("at is null or event_id <= at").select("event_id", "ref")
 
 
-@query(with_("updates") + " SELECT ref, count(*) FILTER (WHERE event_id < 500) AS expired, count(*) FILTER (WHERE event_id >= 500) AS kept FROM updates GROUP BY ref")
-def t06_expiry(spark, d):
-    return S.updates(spark, d).groupBy("ref").agg(F.count_if(F.col("event_id") < 500).alias("expired"), F.count_if(F.col("event_id") >= 500).alias("kept"))
-
-
 LINKS = [("/l/a", "/l/b"), ("/l/b", "/src1"), ("/loop/x", "/loop/y"), ("/loop/y", "/loop/x"), ("/gone", "/nope")]
 
 
+
 @query("SELECT * FROM (VALUES ('/l/a', '/src1', 'found'), ('/l/b', '/src1', 'found'), ('/loop/x', NULL, 'loop'), ('/loop/y', NULL, 'loop'), ('/gone', NULL, 'absent'), ('/src1', '/src1', 'found')) t(path, target, outcome)")
 def r02_follow_links(spark, d):
     """Links are followed up to a limit over the link map; who still stands on a link then is in a loop."""
@@ -256,14 +149,6 @@ def r03_implied_metadata(spark, d):
     return dirs.join(own, "path", "left").select("path", F.coalesce("own", H.dirmeta_checksum()).alias("meta"))
 
 
-@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'x' END AS kept FROM customer WHERE c_custkey % 3 = 0")
-def r07_delete_signatures(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    held = F.when(F.col("k") % 2 == 0, F.array(F.lit("x"), F.lit("gone"))).otherwise(F.array(F.lit("gone")))
-    left = F.filter(held, lambda s: s != "gone")
-    return c.select("k", F.nullif(F.array_join(left, ","), F.lit("")).alias("kept"))
-
-
 @query("WITH " + REMOTES + " SELECT k, name, coalesce(CASE WHEN k % 5 = 0 THEN 'file:///o' END, pull_url, url) AS endpoint FROM remotes")
 def r12_config_view(spark, d):
     """One row for each remote, the settings as columns with their defaults; an override goes first."""
@@ -281,36 +166,6 @@ def r11_config_edits(spark, d):
     return both.where("not (key = 'pull-url' and k % 7 = 0)")
 
 
-@query("WITH " + REMOTES + " SELECT k, CASE WHEN coalesce(pull_url, url) IS NULL THEN 'no address' WHEN k % 6 = 0 THEN 'untrusted' ELSE 'ok' END AS reason FROM remotes")
-def r17_media_reasons(spark, d):
-    found = _config(spark, d).groupBy("k").agg(F.max("value").alias("value"))
-    remotes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
-    return remotes.join(found, "k", "left").select("k", F.when(F.col("value").isNull(), "no address").when(F.col("k") % 6 == 0, "untrusted").otherwise("ok").alias("reason"))
-
-
-@query(with_("commits", "refs") + " SELECT w.name, r.checksum FROM (SELECT 'cust/' || n || '/' || (n * 7) AS name FROM generate_series(0, 24) t(n)) w LEFT JOIN refs r ON r.name = w.name")
-def r19_resolve_ref(spark, d):
-    asked = spark.range(25).select(F.concat(F.lit("cust/"), F.col("id").cast("string"), F.lit("/"), (F.col("id") * 7).cast("string")).alias("name"))
-    return asked.join(S.refs(spark, d), "name", "left").select("name", "checksum")
-
-
-@query(with_("commits") + ", g AS (SELECT checksum FROM commits WHERE k % 13 = 0) SELECT checksum, '(tombstone)' AS kind, 78 AS size FROM g")
-def r29_tombstones(spark, d):
-    return S.commits(spark, d).where("k % 13 = 0").select("checksum", F.lit("(tombstone)").alias("kind"), F.lit(78).alias("size"))
-
-
-@query(with_("commits", "refs") + " SELECT coalesce(a.name, 'gone') AS name, count(*) AS n FROM (SELECT name FROM refs WHERE branch % 2 = 0) a GROUP BY 1 HAVING count(*) >= 1")
-def r31_ref_endpoint(spark, d):
-    return S.refs(spark, d).where("branch % 2 = 0").groupBy("name").agg(F.count("*").alias("n"))
-
-
-@query(with_("commits") + " SELECT checksum, 'ref-binding' || CASE WHEN k % 2 = 0 THEN ',custom' ELSE '' END AS keys FROM commits")
-def r25_metadata_builder(spark, d):
-    """Binding keys go first, the caller's after them."""
-    own = F.when(F.col("k") % 2 == 0, F.array(F.lit("custom"))).otherwise(F.array().cast("array<string>"))
-    return S.commits(spark, d).select("checksum", F.array_join(F.concat(F.array(F.lit("ref-binding")), own), ",").alias("keys"))
-
-
 @query(with_("f0") + " SELECT path, sha256(unhex('0000000000000000000081a400000000' || '0011') || encode(text)) AS other FROM f0 JOIN documents d ON f0.path = '/' || d.source || '/' || d.lang || '/d' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') || '.txt'")
 def r26_header_forms(spark, d):
     """The same header without the framing in front, as another layout hashes it."""
@@ -327,15 +182,3 @@ def r27_verifying_read(spark, d):
     return docs.select(S._path().alias("path"), (H.content_checksum(read) == H.content_checksum(F.col("text"))).alias("verified"))
 
 
-@query(with_("commits", "refs", recursive=True) + ", walk(name, checksum, d) AS (SELECT name, checksum, 0 FROM refs WHERE branch < 40 UNION ALL SELECT w.name, c.parent, d + 1 FROM walk w JOIN commits c USING (checksum) WHERE c.parent IS NOT NULL) SELECT name, count(*) AS history, max(d) AS depth FROM walk GROUP BY name")
-def w06_history_by_ref(spark, d):
-    refs = S.refs(spark, d).where("branch < 40")
-    known = Hi.ancestors(S.commits(spark, d).where("branch < 40").select("checksum", "parent"))
-    return refs.join(known, "checksum").groupBy("name").agg(F.count("*").alias("history"), F.max("distance").cast("int").alias("depth"))
-
-
-@query(with_("f0", "f1", "f2") + " SELECT checksum, CAST(sum(v) AS BIGINT) AS held_by FROM (SELECT DISTINCT checksum, 1 AS v FROM f0 UNION ALL SELECT DISTINCT checksum, 2 FROM f1 UNION ALL SELECT DISTINCT checksum, 4 FROM f2) GROUP BY checksum")
-def r15_catalog_holders(spark, d):
-    """Which of three catalogs hold an object, as bits."""
-    parts = [S.files(spark, d, v).select("checksum").distinct().withColumn("v", F.lit(1 << v)) for v in range(3)]
-    return reduce(DataFrame.unionByName, parts).groupBy("checksum").agg(F.sum("v").alias("held_by"))
