@@ -148,3 +148,14 @@ def read_commit(df: DataFrame, hexed: str) -> DataFrame:
         "ts": F.conv(piece(c("__t"), c("__t") + 8), 16, 10).cast("long"), "root": F.lower(piece(c("__t") + 8, c("__6"))), "meta": F.lower(piece(c("__6"), c("__n") - c("__w") * 6)),
     }
     return df.withColumns(fields).drop("__w", "__n", "__t", *[f"__{i}" for i in range(1, 7)])
+
+
+def strict_base64(text: Column) -> Column:
+    """The bytes of standard base64; null where another text has the same bytes, or it is none."""
+    raw = F.try_to_binary(text, F.lit("base64"))
+    return F.when(F.base64(raw) == text, raw)
+
+
+def size_entry(checksum: Column, stored: Column, size: Column, otype: Column) -> Column:
+    """Hex of a size entry: checksum, stored and unpacked size, type."""
+    return F.concat(F.upper(checksum), varint(stored), varint(size), F.lpad(F.hex(otype.cast("long")), 2, "0"))

@@ -14,10 +14,32 @@ from pyspark.sql import functions as F
 WINDOW, MEAN, LEAST, MOST = 64, 8192, 2048, 65536
 
 
+#: Fixed value: what the stream size of a content object counts beside its header and payload.
+FRAMING = 7
+
+
 def select_objects(new: DataFrame, old: DataFrame, fallback: int) -> DataFrame:
-    """Objects of the new closure that the old one lacks; large content goes beside the delta."""
-    lacking = new.select("checksum", "size").distinct().join(old.select("checksum").distinct(), "checksum", "left_anti")
-    return lacking.withColumn("fallback", F.col("size") >= fallback)
+    """Objects (otype, checksum, header, size) of the new closure that the old one lacks, and how each travels: metadata in parts, content in parts, or beside the delta where header, framing and payload reach the limit."""
+    lacking = new.select("otype", "checksum", "header", "size").distinct().join(old.select("otype", "checksum").distinct(), ["otype", "checksum"], "left_anti")
+    travels = F.when(F.col("otype") != 1, "metadata").when(F.col("header") + FRAMING + F.col("size") >= fallback, "fallback").otherwise("content")
+    return lacking.select("otype", "checksum", "size", travels.alias("travels"))
+
+
+def pull_plan(wanted: DataFrame, commits: DataFrame, complete: DataFrame, there: DataFrame) -> DataFrame:
+    """(otype, checksum, pos) still to fetch of the wanted commits' objects (k, otype, checksum): commits that are complete contribute nothing; content before what names it, in checksum order."""
+    open_ = commits.join(complete.select("checksum"), "checksum", "left_anti")
+    objects = wanted.join(open_.select("k"), "k", "left_semi").select("otype", "checksum").unionByName(open_.select(F.lit(4).alias("otype"), "checksum")).distinct()
+    left = objects.join(there.select("otype", "checksum"), ["otype", "checksum"], "left_anti")
+    before = left.groupBy("otype", F.substring("checksum", 1, 2).alias("head")).agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.orderBy("otype", "head").rowsBetween(Window.unboundedPreceding, -1)))  # at most 256 rows for each type
+    at = F.row_number().over(Window.partitionBy("otype", "head").orderBy("checksum")) + F.coalesce("before", F.lit(0))
+    return left.withColumn("head", F.substring("checksum", 1, 2)).join(before, ["otype", "head"]).select("otype", "checksum", at.cast("long").alias("pos"))
+
+
+def intern(rows: DataFrame, part: str, order: str, value: str) -> DataFrame:
+    """(part, value, idx): a table of distinct values for each part, numbered by first appearance."""
+    first = rows.groupBy(part, value).agg(F.min(order).alias("first"))
+    return first.select(part, value, (F.row_number().over(Window.partitionBy(part).orderBy("first")) - 1).cast("long").alias("idx"))
 
 
 def pair_sources(old: DataFrame, new: DataFrame) -> DataFrame:

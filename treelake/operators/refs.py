@@ -37,9 +37,9 @@ def below(name: Column, prefix: str) -> Column:
 
 
 def valid_ref(name: Column) -> Column:
-    """ASCII form: parts of letters, digits, `.`, `_`, `-`, `+`, none of them `.` or `..` or empty, behind an optional remote and one colon."""
-    part = "(?!\\.{1,2}(/|$))[A-Za-z0-9._+-]+"
-    return name.rlike(f"^([A-Za-z0-9._-]+:)?{part}(/{part})*$")
+    """Components behind an optional remote, a component too, and one colon. A component has letters, numbers, nonspacing marks, `_`, and behind the first of them `.` and `-`."""
+    part = r"[_\p{L}\p{N}\p{Mn}][-._\p{L}\p{N}\p{Mn}]*"
+    return name.rlike(f"^({part}:)?{part}(/{part})*$")
 
 
 def valid_collection(name: Column) -> Column:
@@ -88,9 +88,54 @@ def parse_config(lines: DataFrame, keep_pos: bool = False) -> DataFrame:
     return rows.select("file", "grp", F.trim(F.substring_index(text, "=", 1)).alias("key"), F.trim(F.regexp_replace(text, "^[^=]*=", "")).alias("value"), *["pos"] * keep_pos)
 
 
+def parse_ref(text: Column) -> tuple[Column, Column, Column]:
+    """(space, qualifier, name) of `NAME`, `REMOTE:NAME` and `(ID, NAME)`."""
+    whole = r"^\(([^,()]+), ([^()]+)\)$"
+    collection, head = F.regexp_extract(text, whole, 1), F.regexp_extract(text, "^([^:()]+):([^:]+)$", 1)
+    space = F.when(collection != "", "collection").when(head != "", "remote").otherwise("local")
+    name = F.when(collection != "", F.regexp_extract(text, whole, 2)).when(head != "", F.regexp_extract(text, "^[^:]+:(.+)$", 1)).otherwise(text)
+    return space, F.coalesce(F.nullif(collection, F.lit("")), F.nullif(head, F.lit(""))), name
+
+
 def canonical_ref(space: Column, qualifier: Column, name: Column, own: str) -> Column:
     """One spelling: own collection's refs are local."""
-    return F.when((space == "local") | ((space == "mirror") & (qualifier == own)), name).when(space == "remote", F.concat(qualifier, F.lit(":"), name)).otherwise(F.concat(F.lit("("), qualifier, F.lit(", "), name, F.lit(")")))
+    return F.when((space == "local") | ((space == "collection") & (qualifier == own)), name).when(space == "remote", F.concat(qualifier, F.lit(":"), name)).otherwise(F.concat(F.lit("("), qualifier, F.lit(", "), name, F.lit(")")))
+
+
+def collection_refs(heads: DataFrame, mirrors: DataFrame, remotes: DataFrame, own: str) -> DataFrame:
+    """(id, name, checksum, space): heads under the own id, mirrors of other ids, refs of remotes (remote, id, name, checksum) of other, valid ids; of an id's name a mirror wins over remotes, and the first remote over others."""
+    local = heads.select(F.lit(own).alias("id"), "name", "checksum", F.lit("local").alias("space"), F.lit("").alias("remote"))
+    mirrored = mirrors.where(F.col("id") != own).select("id", "name", "checksum", F.lit("mirror").alias("space"), F.lit("").alias("remote"))
+    others = remotes.where((F.col("id") != own) & valid_collection(F.col("id"))).select("id", "name", "checksum", F.lit("remote").alias("space"), "remote")
+    every = local.unionByName(mirrored).unionByName(others)
+    first = F.min_by(F.struct("checksum", "space"), F.struct(F.col("space") == "remote", "remote")).alias("first")
+    return every.groupBy("id", "name").agg(first).select("id", "name", "first.checksum", "first.space")
+
+
+def resolve_revisions(asked: DataFrame, commits: DataFrame, refs: DataFrame, back: list[DataFrame]) -> DataFrame:
+    """(asked, checksum, outcome) of revisions: a full checksum, a unique beginning of at least four digits of one, or a ref, each with `^` for parents. A beginning that several commits have is ambiguous."""
+    from .history import climb
+
+    plain = F.regexp_replace("asked", r"\^+$", "")
+    rows = asked.withColumn("plain", plain).withColumn("steps", (F.length("asked") - F.length("plain")).cast("long"))
+    short = rows.where(F.col("plain").rlike("^[0-9a-f]{4,64}$"))
+    hits = short.withColumn("key", F.substring("plain", 1, 4)).join(commits.select(F.col("checksum").alias("found"), F.substring("checksum", 1, 4).alias("key")), "key").where(F.startswith("found", "plain"))
+    found = hits.groupBy("asked").agg(F.count_distinct("found").alias("n"), F.min("found").alias("found"))
+    named = rows.join(refs.select(F.col("name").alias("plain"), F.col("checksum").alias("tip")), "plain", "left").join(found, "asked", "left")
+    start = climb(named.withColumn("at", F.when(F.col("n") == 1, F.col("found")).when(F.col("n").isNull(), F.col("tip"))), "at", "steps", back)
+    outcome = F.when(F.col("n") > 1, "ambiguous").when(F.col("at").isNull(), "no such revision").when(F.col("up").isNull(), "no parent").otherwise("found")
+    return start.select("asked", F.when(outcome == "found", F.col("up")).alias("checksum"), outcome.alias("outcome"))
+
+
+def auth_matches(items: DataFrame, clients: DataFrame) -> DataFrame:
+    """(client, item) pairs: an item (item, kind, value) is anonymous, tls, token, basic, ssh or net; a client (client, tls, token, user, key, ip) matches by what it shows."""
+    few = F.broadcast(items)
+    c, i = F.col, F.col("kind")
+    hit = (
+        (i == "anonymous") | ((i == "tls") & c("tls")) | ((i == "token") & (c("token") == c("value"))) | ((i == "basic") & (c("user") == c("value")))
+        | ((i == "ssh") & (c("key") == c("value"))) | ((i == "net") & F.coalesce(in_network(c("ip"), F.when(i == "net", c("value"))), F.lit(False)))
+    )
+    return clients.join(few, F.coalesce(hit, F.lit(False))).select("client", "item")
 
 
 def newest(rows: DataFrame, key: str, ts: str, pos: str) -> DataFrame:
@@ -267,3 +312,16 @@ def refspec(spec: Column) -> tuple[Column, Column, Column, Column]:
     src, collection, dst = (F.nullif(F.regexp_extract(spec, whole, i), F.lit("")) for i in (1, 2, 3))
     valid = spec.rlike(whole) & (src.isNotNull() | dst.isNotNull())
     return F.when(valid, src), F.when(valid, F.coalesce(dst, src)), F.when(valid, collection), valid
+
+
+def prefix_groups(refs: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(row, pos, name, below) of refs at or below prefixes, numbered in the order of the prefixes and names; below is the part behind the prefix. Counts of name heads come first, so no task numbers all."""
+    groups = [refs.where(below(F.col("name"), p)).select(F.lit(i).alias("pos"), "name", F.when(F.col("name") == p, F.col("name")).otherwise(F.substr("name", F.lit(len(p) + 2))).alias("below")) for i, p in enumerate(prefixes)]
+    rows = groups[0]
+    for g in groups[1:]:
+        rows = rows.unionByName(g)
+    rows = rows.withColumn("head", F.substring_index("name", "/", 2))
+    before = rows.groupBy("pos", "head").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.orderBy("pos", "head").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    at = F.row_number().over(Window.partitionBy("pos", "head").orderBy("name")) + F.coalesce("before", F.lit(0))
+    return rows.join(before, ["pos", "head"]).select(at.cast("long").alias("row"), "pos", "name", "below")

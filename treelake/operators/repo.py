@@ -229,3 +229,61 @@ def finish_updates(judged: DataFrame, wraps: Column) -> DataFrame:
     """What stands behind an update that was let through: the commit itself, or one that the server makes around it."""
     done = F.col("outcome").isin("created", "updated")
     return judged.withColumn("outcome", F.when(done & wraps, "server commit").otherwise(F.col("outcome")))
+
+
+def stage(offered: DataFrame, stored: DataFrame) -> DataFrame:
+    """(otype, checksum, size, offered, written): each offered object (otype, checksum, size) once, and whether the store lacked it."""
+    one = offered.groupBy("otype", "checksum").agg(F.max("size").alias("size"), F.count("*").alias("offered"))
+    there = stored.select("otype", "checksum").distinct().withColumn("there", F.lit(True))
+    return one.join(there, ["otype", "checksum"], "left").select("otype", "checksum", "size", "offered", F.col("there").isNull().alias("written"))
+
+
+def publish(staged: DataFrame, refs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A transaction's end: (counts of what was offered and written, refs after it). Updates (name, checksum) whose commit is neither staged nor stored by name stay out; a null checksum drops the ref."""
+    from . import refs as R
+
+    stats = staged.agg(F.sum("offered").alias("offered"), F.count("*").alias("objects"), F.count_if("written").alias("written"), F.coalesce(F.sum(F.when(F.col("written"), F.col("size"))), F.lit(0)).alias("bytes"))
+    asked = updates.join(refs.select("name", F.col("checksum").alias("expected")), "name", "left").select("name", "expected", F.col("checksum").alias("new"), F.lit(True).alias("asked"))
+    return stats, R.compare_and_set(refs, asked).where("checksum is not null").select("name", "checksum")
+
+
+def dump(files: DataFrame, digests: bool = True) -> DataFrame:
+    """Dump rows (path, size, mode, nlink, uid, gid, rdev, mtime, payload, content, digest) of files (path, checksum, size, mode, digest) and the directories above them; links of a directory count its subdirectories."""
+    dirs = T.directories(files)
+    kids = dirs.where("path <> ''").groupBy(T.parent(F.col("path")).alias("path")).agg(F.count("*").alias("kids"))
+    octal = lambda m: F.conv(m.cast("string"), 10, 8)
+    same = [F.lit(0).alias("uid"), F.lit(0).alias("gid"), F.lit(0).alias("rdev"), F.lit("0.0").alias("mtime")]
+    stored = F.when(F.col("size") == 0, "-").otherwise(F.concat(F.substring("checksum", 1, 2), F.lit("/"), F.substr("checksum", F.lit(3)), F.lit(".file")))
+    regular = files.select("path", "size", octal(F.col("mode")).alias("mode"), F.lit(1).cast("long").alias("nlink"), *same, stored.alias("payload"), F.lit("-").alias("content"), F.when((F.col("size") == 0) | F.lit(not digests), "-").otherwise(F.col("digest")).alias("digest"))
+    listed = dirs.join(kids, "path", "left").select(F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("path"), F.lit(0).cast("long").alias("size"), octal(F.lit(H.DIR_MODE)).alias("mode"), (F.coalesce("kids", F.lit(0)) + 2).alias("nlink"), *same, F.lit("-").alias("payload"), F.lit("-").alias("content"), F.lit("-").alias("digest"))
+    return regular.unionByName(listed)
+
+
+def ls_line(kind: Column, mode: Column, uid: Column, gid: Column, size: Column, path: Column, checksum: Column | None = None, target: Column | None = None) -> Column:
+    """A line of a listing: type and mode, owner, group, size, the checksum if asked for, path, and where a link leads."""
+    parts = [F.concat(kind, F.lpad(F.conv(mode.cast("string"), 10, 8), 5, "0")), uid.cast("string"), gid.cast("string"), size.cast("string"), *([checksum] if checksum is not None else []), path]
+    return F.concat(F.concat_ws(" ", *parts), F.coalesce(F.concat(F.lit(" -> "), target), F.lit("")) if target is not None else F.lit(""))
+
+
+def completeness(wanted: DataFrame, there: DataFrame, most: int) -> DataFrame:
+    """(missing, first): how many wanted objects are nowhere, and the first of them in checksum order, at most so many."""
+    gone = wanted.select("checksum").distinct().join(there.select("checksum"), "checksum", "left_anti")
+    listed = gone.orderBy("checksum").limit(most).agg(F.array_sort(F.collect_list("checksum")).alias("first"))
+    return gone.agg(F.count("*").alias("missing")).join(listed)
+
+
+#: Object types and their file endings.
+ENDINGS = {1: "file", 2: "dirtree", 3: "dirmeta", 4: "commit"}
+
+
+def loose_path(checksum: Column, otype: Column, mode: Column) -> Column:
+    ending = F.element_at(F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair]), otype)
+    packed = F.when((otype == 1) & (mode == "archive"), "z").otherwise("")
+    return F.concat(F.substring(checksum, 1, 2), F.lit("/"), F.substr(checksum, F.lit(3)), F.lit("."), ending, packed)
+
+
+def delta_path(src: Column, dst: Column) -> Column:
+    """Fan-out path of a delta; one from nothing has no source."""
+    a, b = H.modified_base64(src), H.modified_base64(dst)
+    name = F.when(src.isNull(), b).otherwise(F.concat(a, F.lit("-"), b))
+    return F.concat(F.lit("deltas/"), F.substring(name, 1, 2), F.lit("/"), F.substr(name, F.lit(3)))

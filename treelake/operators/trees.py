@@ -173,13 +173,85 @@ def diff_stats(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count_if(in_a).alias("from_count"), F.count_if(F.col("in_b").isNotNull()).alias("to_count"), F.count_if(in_a & F.col("in_b").isNotNull()).alias("common_count"), F.coalesce(F.sum(F.when(F.col("in_b").isNotNull(), F.col("size"))), F.lit(0)).alias("common_bytes"))
 
 
-def merge(left: DataFrame, right: DataFrame, right_wins: bool = False) -> DataFrame:
-    """Two listings (path, kind, checksum) as one: equal entries once, directories united, other clashes marked or won by the right."""
-    l, r = (d.select("path", F.col("kind").alias(f"{x}k"), F.col("checksum").alias(f"{x}c")) for d, x in ((left, "l"), (right, "r")))
-    both = l.join(r, "path", "full_outer")
-    clash = F.col("lk").isNotNull() & F.col("rk").isNotNull() & ~((F.col("lk") == "d") & (F.col("rk") == "d")) & ((F.col("lk") != F.col("rk")) | (F.col("lc") != F.col("rc")))
+def merge(left: DataFrame, right: DataFrame, right_wins: bool = False, keep_meta: bool = True) -> DataFrame:
+    """Two listings (path, kind, checksum[, meta]) as one: equal entries once, directories united, other clashes marked or won by the right.
+
+    A directory's metadata is the left's, or with keep_meta off the right's where both have it; a directory that the right replaces by a file loses what is below it.
+    """
+    cols = lambda d, x: d.select("path", F.col("kind").alias(f"{x}k"), F.col("checksum").alias(f"{x}c"), (F.col("meta") if "meta" in d.columns else F.lit(None).cast("string")).alias(f"{x}m"))
+    both = cols(left, "l").join(cols(right, "r"), "path", "full_outer")
+    united = (F.col("lk") == "d") & (F.col("rk") == "d")
+    clash = F.col("lk").isNotNull() & F.col("rk").isNotNull() & ~united & ((F.col("lk") != F.col("rk")) | (F.col("lc") != F.col("rc")))
     take = (F.col("rk").isNotNull() & F.lit(right_wins)) | F.col("lk").isNull()
-    return both.select("path", F.when(take, F.col("rk")).otherwise(F.col("lk")).alias("kind"), F.when(take, F.col("rc")).otherwise(F.col("lc")).alias("checksum"), (clash & F.lit(not right_wins)).alias("conflict"))
+    pick = lambda c: F.when(take, F.col(f"r{c}")).otherwise(F.col(f"l{c}"))
+    meta = F.when(united, F.coalesce(*(["lm", "rm"] if keep_meta else ["rm", "lm"]))).otherwise(pick("m"))
+    out = both.select("path", pick("k").alias("kind"), pick("c").alias("checksum"), meta.alias("meta"), F.coalesce(clash & F.lit(not right_wins), F.lit(False)).alias("conflict"), F.coalesce(clash & (F.col("rk") != "d") & (F.col("lk") == "d") & F.lit(right_wins), F.lit(False)).alias("buries"), F.col("rk").isNotNull().alias("right"))
+    buried = out.where("buries").select(F.col("path").alias("up"))
+    parts = F.split("path", "/")
+    below_ = out.where("not right").select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("up")).join(buried, "up").select("path").distinct() if right_wins else None
+    out = out.join(below_, "path", "left_anti") if right_wins else out
+    return out.select("path", "kind", "checksum", "meta", "conflict")
+
+
+#: Edits of a staging tree; a row is (pos, op, path, target, checksum).
+EDITS = ("mkdir", "mkdirs", "write", "symlink", "link", "remove", "clear", "rename")
+
+
+def edit(tree: DataFrame, edits: list[tuple[str, str, str | None]]) -> tuple[DataFrame, list[str]]:
+    """A staging tree (path, kind, checksum) after a short list of edits (op, path, argument) in their order, and each edit's outcome.
+
+    mkdir needs the parent and nothing in its place; mkdirs makes parents too; write and symlink put a file or link (argument: checksum or target); link copies
+    the file named by the argument; remove takes a path and all below it; clear all below it; rename moves to the argument, whose parent must be there. An edit that fails changes nothing.
+    """
+    outcomes = []
+    for op, path, arg in edits:
+        at = {r.path: r.kind for r in tree.where(F.col("path").isin([p for p in (path, path.rpartition("/")[0], arg, (arg or "").rpartition("/")[0]) if p])).select("path", "kind").collect()}
+        at[""] = "d"
+        up = path.rpartition("/")[0]
+        under = (F.col("path") == path) | below(F.col("path"), path)
+        one = lambda p, kind, value: tree.sparkSession.createDataFrame([(p, kind, value)], "path string, kind string, checksum string")
+        outcome = "done"
+        if op in ("mkdir", "write", "symlink", "link") and at.get(up) != "d":
+            outcome = "no parent"
+        elif op == "mkdir" and path in at:
+            outcome = "there already"
+        elif op in ("write", "symlink", "link") and at.get(path) == "d":
+            outcome = "a directory"
+        elif op == "link" and at.get(arg) != "f" or op in ("remove", "clear", "rename") and path not in at:
+            outcome = "no such path"
+        elif op == "clear" and at[path] != "d":
+            outcome = "no directory"
+        elif op == "rename" and at.get(arg.rpartition("/")[0]) != "d":
+            outcome = "no parent"
+        elif op == "rename" and (arg in at or arg.startswith(path + "/")):
+            outcome = "there already"
+        elif op == "mkdir":
+            tree = tree.unionByName(one(path, "d", None))
+        elif op == "mkdirs":
+            names = path.split("/")[1:]
+            ups = ["/" + "/".join(names[: i + 1]) for i in range(len(names))]
+            there = {r.path: r.kind for r in tree.where(F.col("path").isin(ups)).select("path", "kind").collect()}
+            if any(k != "d" for k in there.values()):
+                outcome = "no directory"
+            for p in ups if outcome == "done" else []:
+                tree = tree if p in there else tree.unionByName(one(p, "d", None))
+        elif op in ("write", "symlink"):
+            tree = tree.where(F.col("path") != path).unionByName(one(path, "f" if op == "write" else "l", arg))
+        elif op == "link":
+            tree = tree.where(F.col("path") != path).unionByName(tree.where(F.col("path") == arg).withColumn("path", F.lit(path)))
+        elif op in ("remove", "clear"):
+            tree = tree.where(~under | ((F.col("path") == path) & F.lit(op == "clear")))
+        else:
+            tree = rename(tree, path, arg)
+        outcomes.append(outcome)
+    return tree, outcomes
+
+
+def with_metadata(dirs: DataFrame, own: DataFrame, root: str = "default", default: Column | None = None) -> DataFrame:
+    """(path, meta) of directories: their own (path, own) metadata, else the default for those that a file implies. The root's policy: `default`, or `required`, which leaves it null so that a caller can refuse."""
+    default = H.dirmeta_checksum() if default is None else default
+    both = dirs.join(own, "path", "left")
+    return both.select("path", F.coalesce("own", F.when((F.col("path") != "") | F.lit(root == "default"), default)).alias("meta"))
 
 
 def overlay(lower: DataFrame, upper: DataFrame) -> DataFrame:

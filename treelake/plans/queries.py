@@ -128,11 +128,6 @@ def s07_mirror_refs(spark, d):
     return _spaces(spark, d).where("space = 'mirror'").select("id", "name", "checksum")
 
 
-@query(SPACES + " SELECT * FROM spaces")
-def s08_collection_refs(spark, d):
-    return _spaces(spark, d)
-
-
 @query(SPACES + " SELECT space, name, checksum FROM spaces WHERE id = (SELECT id FROM collections WHERE nation = 3)")
 def s09_refs_of_collection(spark, d):
     one = S.collections(spark, d).where("nation = 3").select("id")
@@ -212,11 +207,6 @@ def s28_devino_cache(spark, d):
 # sinks
 
 
-@query(with_("f0") + " SELECT path, checksum, size FROM f0")
-def k01_content_checksum(spark, d):
-    return S.files(spark, d).select("path", "checksum", "size")
-
-
 @query(with_("f0") + ",\n" + trees_sql("f0") + " SELECT path, checksum, files, dirs FROM f0_trees")
 def k02_dirtree_checksum(spark, d):
     return T.write_tree(S.files(spark, d).select("path", "checksum"))
@@ -256,33 +246,11 @@ def k08_remove_refs(spark, d):
     return refs.join(doomed.select("name"), "name", "left_anti").select("name")
 
 
-@query(with_("content") + """, new AS (SELECT DISTINCT checksum, size FROM content WHERE k % 2 = 0), old AS (SELECT DISTINCT checksum FROM content WHERE k % 2 = 1)
-    SELECT (SELECT count(*) FROM content WHERE k % 2 = 0) AS offered, count(*) AS objects, count(*) FILTER (WHERE checksum NOT IN (SELECT checksum FROM old)) AS written,
-    CAST(coalesce(sum(size) FILTER (WHERE checksum NOT IN (SELECT checksum FROM old)), 0) AS BIGINT) AS bytes FROM new""")
-def a04_tx_stats(spark, d):
-    c = S.content(spark, d)
-    new = c.where("k % 2 = 0").groupBy("checksum", "size").agg(F.count("*").alias("n"))
-    old = c.where("k % 2 = 1").select("checksum").distinct().withColumn("there", F.lit(True))
-    both = new.join(old, "checksum", "left")
-    fresh = F.col("there").isNull()
-    return both.agg(F.sum("n").alias("offered"), F.count("*").alias("objects"), F.count_if(fresh).alias("written"), F.coalesce(F.sum(F.when(fresh, F.col("size"))), F.lit(0)).alias("bytes"))
-
-
 @query(with_("f0") + " SELECT path, count(*) OVER (PARTITION BY checksum) AS nlink, nullif(first_value(path) OVER (PARTITION BY checksum ORDER BY path), path) AS link_to FROM f0")
 def k11_link_groups(spark, d):
     return T.link_groups(S.files(spark, d)).select("path", "nlink", "link_to")
 
 
-@query(with_("f0") + """, e AS (SELECT path, size, 'f' AS kind, 1 AS links FROM f0 UNION ALL SELECT '/' || source || '/' || lang, 0, 'd', 2 FROM f0 GROUP BY source, lang
-    UNION ALL SELECT '/' || source, 0, 'd', 2 + count(DISTINCT lang) FROM f0 GROUP BY source UNION ALL SELECT '', 0, 'd', 2 + count(DISTINCT source) FROM f0) SELECT path, CAST(size AS BIGINT) AS size, kind, CAST(links AS BIGINT) AS links FROM e""")
-def k13_dump_listing(spark, d):
-    files = S.files(spark, d)
-    dirs = T.directories(files)
-    kids = dirs.where("path <> ''").groupBy(T.parent(F.col("path")).alias("path")).agg(F.count("*").alias("kids"))
-    listed = dirs.join(kids, "path", "left").select("path", F.lit(0).cast("long").alias("size"), F.lit("d").alias("kind"), (F.coalesce("kids", F.lit(0)) + 2).alias("links"))
-    return files.select("path", "size", F.lit("f").alias("kind"), F.lit(1).cast("long").alias("links")).unionByName(listed)
-
-
 @query(with_("commits", "refs") + " SELECT row_number() OVER (ORDER BY r.name) AS pos, r.name, r.checksum, c.ts FROM refs r JOIN commits c ON c.checksum = r.checksum")
 def k14_summary(spark, d):
     rows = S.refs(spark, d).join(S.commits(spark, d).select("checksum", "ts"), "checksum").select("name", "checksum", "ts")
@@ -304,30 +272,11 @@ def k17_reindex_deltas(spark, d):
 # projections
 
 
-@query(with_("f0") + " SELECT '-00644 0 0 ' || size || ' ' || path AS line FROM f0 UNION ALL SELECT DISTINCT 'd00755 0 0 0 /' || source || '/' || lang FROM f0 UNION ALL SELECT DISTINCT 'd00755 0 0 0 /' || source FROM f0")
-def p05_ls(spark, d):
-    files = S.files(spark, d)
-    line = lambda t, mode, size: F.concat(F.lit(t), F.lpad(F.conv(F.lit(str(mode & 0o7777)), 10, 8), 5, "0"), F.lit(" 0 0 "), size.cast("string"), F.lit(" "), F.col("path")).alias("line")
-    return files.select(line("-", H.FILE_MODE, F.col("size"))).unionByName(T.directories(files).where("path <> ''").select(line("d", H.DIR_MODE, F.lit(0))))
-
-
 @query(with_("f0") + " SELECT CASE WHEN starts_with(path, '/src1/') THEN '/usr/src1/' || substr(path, 7) ELSE path END AS path FROM f0")
 def p07_path_rewrite(spark, d):
     return T.rename(S.files(spark, d).select("path"), "/src1", "/usr/src1")
 
 
-@query(with_("content") + " SELECT DISTINCT checksum, 'objects/' || substr(checksum, 1, 2) || '/' || substr(checksum, 3) || '.filez' AS path FROM content")
-def p09_loose_path(spark, d):
-    c = S.content(spark, d).select("checksum").distinct()
-    return c.select("checksum", F.concat(F.lit("objects/"), F.substring("checksum", 1, 2), F.lit("/"), F.substring("checksum", 3, 62), F.lit(".filez")).alias("path"))
-
-
-@query(with_("commits") + " SELECT checksum, replace(replace(base64(unhex(checksum)), '/', '_'), '=', '') AS short, parent || '-' || checksum AS name FROM commits WHERE parent IS NOT NULL")
-def p10_delta_name(spark, d):
-    c = S.commits(spark, d).where("parent is not null")
-    return c.select("checksum", H.modified_base64(F.col("checksum")).alias("short"), F.concat_ws("-", "parent", "checksum").alias("name"))
-
-
 @query(with_("f0") + " SELECT source, count(*) AS found, CASE count(*) WHEN 1 THEN min(path) END AS kernel FROM f0 WHERE lang = 'es' AND size > 2000 GROUP BY source")
 def p11_bootable(spark, d):
     f = S.files(spark, d).where(F.col("path").rlike("^/[^/]+/es/[^/]+$") & (F.col("size") > 2000))
@@ -350,13 +299,6 @@ def f02_selector(spark, d):
     return refs.where(keep).select("name")
 
 
-@query("SELECT page_id, regexp_matches(r, '^([A-Za-z0-9._-]+:)?[A-Za-z0-9._+-]+(/[A-Za-z0-9._+-]+)*$') AND NOT regexp_matches(r, '(^|[:/])[.]{1,2}(/|$)') AS valid FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'r:' || page_id || '/..' WHEN 2 THEN 'x/' || page_id ELSE 'o:a/.b/' || page_id END AS r FROM pages)")
-def f04_ref_name(spark, d):
-    k = F.col("page_id").cast("string")
-    r = F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("r:"), k, F.lit("/.."))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("x/"), k)).otherwise(F.concat(F.lit("o:a/.b/"), k))
-    return table(spark, d, "pages").select("page_id", R.valid_ref(r).alias("valid"))
-
-
 @query(with_("collections") + " SELECT id, regexp_matches(id, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)+$') AND octet_length(encode(id)) <= 255 AS valid FROM (SELECT id FROM collections UNION ALL SELECT n_name FROM nation UNION ALL SELECT '1.' || n_name FROM nation)")
 def f05_collection_id(spark, d):
     n = table(spark, d, "nation")
@@ -364,12 +306,6 @@ def f05_collection_id(spark, d):
     return ids.select("id", R.valid_collection(F.col("id")).alias("valid"))
 
 
-@query(with_("commits") + ", w AS (SELECT DISTINCT substr(checksum, 1, 4) AS prefix FROM commits) SELECT prefix, count(*) AS found, CASE count(*) WHEN 1 THEN min(checksum) END AS resolved FROM w JOIN commits ON starts_with(checksum, prefix) GROUP BY prefix")
-def f07_resolve_prefix(spark, d):
-    c = S.commits(spark, d).withColumn("prefix", F.substring("checksum", 1, 4))
-    return c.groupBy("prefix").agg(F.count("*").alias("found"), F.when(F.count("*") == 1, F.min("checksum")).alias("resolved"))
-
-
 @query(with_("f0") + " SELECT path FROM f0 WHERE starts_with(path, '/src1/en/') OR starts_with(path, '/src2/')")
 def f08_subpath_scope(spark, d):
     return T.in_scope(S.files(spark, d).select("path"), ["/src1/en", "/src2/"])
@@ -388,26 +324,6 @@ def f09_rights(spark, d):
     return R.rights(_rules(spark, d))
 
 
-@query("""WITH ip AS (SELECT event_id, user_id, 10 * 16777216 + (user_id % 7) * 65536 + (event_id % 250) AS n FROM events),
-    net AS (SELECT * FROM (VALUES ('wide', 10 * 16777216, 8), ('mid', 10 * 16777216 + 3 * 65536, 16), ('near', 10 * 16777216 + 3 * 65536, 25)) t(grp, base, bits))
-    SELECT event_id, arg_max(grp, bits) AS grp FROM ip JOIN net ON n >> (32 - bits) = base >> (32 - bits) GROUP BY event_id""")
-def f12_cidr(spark, d):
-    ip = F.concat(F.lit("10."), (F.col("user_id") % 7).cast("string"), F.lit(".0."), (F.col("event_id") % 250).cast("string"))
-    nets = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("grp"), F.lit(b).alias("net")) for a, b in (("wide", "10.0.0.0/8"), ("mid", "10.3.0.0/16"), ("near", "10.3.0.0/25"))])))
-    hit = table(spark, d, "events").select("event_id", ip.alias("ip")).join(F.broadcast(nets), R.in_network(F.col("ip"), F.col("net")))
-    return hit.groupBy("event_id").agg(F.max_by("grp", F.substring_index("net", "/", -1).cast("int")).alias("grp"))
-
-
-@query(with_("commits", "refs") + """, p AS (SELECT * FROM (VALUES (0, '**', '^[^/]+(/[^/]+)*$', '1'), (1, 'cust/*/*', '^cust/[^/]+/[^/]+$', '322'), (2, 'cust/**', '^cust/[^/]+(/[^/]+)*$', '31'), (3, 'cust/7/*', '^cust/7/[^/]+$', '332'), (4, 'cust/*/21', '^cust/[^/]+/21$', '323')) t(pos, pattern, re, spec))
-    SELECT name, pattern FROM (SELECT name, pattern, row_number() OVER (PARTITION BY name ORDER BY spec DESC, pos) AS n FROM refs JOIN p ON regexp_matches(name, re)) WHERE n = 1""")
-def f14_rule_for(spark, d):
-    names, out = S.refs(spark, d).select("name"), None
-    for pos, pattern in enumerate(["**", "cust/*/*", "cust/**", "cust/7/*", "cust/*/21"]):
-        hit = names.where(R.matches(F.col("name"), pattern)).select("name", F.lit(pattern).alias("pattern"), F.lit(pos).alias("pos"))
-        out = hit if out is None else out.unionByName(hit)
-    return R.rule_for(out, "name", "pattern", "pos").select("name", "pattern")
-
-
 @query(with_("f0") + " SELECT path FROM f0 WHERE NOT starts_with(path, '/src4/') AND NOT starts_with(path, '/src5/de/') AND lang <> 'es'")
 def f15_filter_callbacks(spark, d):
     files = S.files(spark, d).select("path")
@@ -489,26 +405,11 @@ def a02_prune_stats(spark, d):
     return both.agg(F.count("*").alias("total"), F.count_if(gone).alias("pruned"), F.coalesce(F.sum(F.when(gone, F.col("size"))), F.lit(0)).alias("freed"))
 
 
-@query(with_("f1", "f2") + " SELECT DISTINCT checksum, size, size >= 4000 AS fallback FROM f2 WHERE checksum NOT IN (SELECT checksum FROM f1)")
-def j06_delta_objects(spark, d):
-    return D.select_objects(S.files(spark, d, 2), S.files(spark, d, 1), 4000)
-
-
 @query(with_("f1", "f2") + " SELECT checksum, source, path FROM (SELECT b.checksum, a.checksum AS source, b.path, row_number() OVER (PARTITION BY b.checksum ORDER BY b.path) AS n FROM f2 b JOIN f1 a ON a.path = b.path WHERE a.checksum <> b.checksum) WHERE n = 1")
 def j07_delta_pairs(spark, d):
     return D.pair_sources(S.files(spark, d, 1), S.files(spark, d, 2))
 
 
-@query(with_("f1", "f2") + " SELECT DISTINCT checksum, size FROM f1 WHERE checksum NOT IN (SELECT checksum FROM f2)")
-def j08_pull_plan(spark, d):
-    return S.files(spark, d, 1).select("checksum", "size").distinct().join(S.files(spark, d, 2).select("checksum"), "checksum", "left_anti")
-
-
-@query(with_("f1", "f2") + " SELECT coalesce(a.path, b.path) AS path, coalesce(a.checksum, b.checksum) AS checksum, coalesce(a.checksum <> b.checksum, false) AS conflict FROM f1 a FULL OUTER JOIN f2 b ON a.path = b.path")
-def j09_tree_merge(spark, d):
-    return T.merge(S.files(spark, d, 1).withColumn("kind", F.lit("f")), S.files(spark, d, 2).withColumn("kind", F.lit("f"))).select("path", "checksum", F.coalesce("conflict", F.lit(False)).alias("conflict"))
-
-
 @query(with_("commits", "content") + " SELECT DISTINCT c.checksum AS commit_, o.checksum AS object FROM content o JOIN commits c USING (k) WHERE o.size % 97 = 0")
 def j10_fsck_attribution(spark, d):
     bad = fsck.mismatches(S.stored_objects(spark, d)).select("checksum")
@@ -545,13 +446,6 @@ def j17_fast_forward(spark, d):
     return Hi.fast_forward(c.select("checksum", "parent"), own.unionByName(other)).select("name", "old", "new", "fast_forward")
 
 
-@query(with_("content") + ", stored AS (SELECT DISTINCT checksum FROM content WHERE size % 17 <> 0) SELECT count(DISTINCT o.checksum) AS missing, min(o.checksum) AS first FROM content o WHERE k % 3 = 0 AND o.checksum NOT IN (SELECT checksum FROM stored)")
-def j18_completeness(spark, d):
-    c = S.content(spark, d)
-    gone = c.where("k % 3 = 0").select("checksum").distinct().join(c.where("size % 17 <> 0").select("checksum"), "checksum", "left_anti")
-    return gone.agg(F.count("*").alias("missing"), F.min("checksum").alias("first"))
-
-
 @query(with_("f0", "f2") + " SELECT f0.path, CASE WHEN f2.path IS NULL THEN 'absent' WHEN f2.checksum <> f0.checksum THEN 'mismatch' ELSE 'ok' END AS image FROM f0 LEFT JOIN f2 ON f2.path = f0.path")
 def j19_image_check(spark, d):
     stored = S.files(spark, d, 2).select("path", F.col("checksum").alias("stored"))
@@ -579,12 +473,6 @@ def a09_refs_by_collection(spark, d):
     return _spaces(spark, d).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("n")).select("id", F.size("n").cast("long").alias("refs"), F.array_join("n", ",").alias("names"))
 
 
-@query("SELECT p_size AS mode, dense_rank() OVER (ORDER BY first) - 1 AS idx FROM (SELECT p_size, min(p_partkey) AS first FROM part GROUP BY p_size)")
-def a14_interning(spark, d):
-    first = table(spark, d, "part").groupBy(F.col("p_size").alias("mode")).agg(F.min("p_partkey").alias("first"))
-    return first.select("mode", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("long").alias("idx"))
-
-
 @query(with_("commits") + " SELECT checksum FROM (SELECT checksum, row_number() OVER (PARTITION BY branch ORDER BY seq DESC) AS n FROM commits) WHERE n <= 3")
 def w02_depth(spark, d):
     return Hi.positions(S.commits(spark, d), ["seq"]).where("depth <= 2").select("checksum")
@@ -615,33 +503,9 @@ def w07_nth_parent(spark, d):
     return S.commits(spark, d).select("checksum", F.lag("checksum", 3).over(Window.partitionBy("branch").orderBy("seq")).alias("back3"))
 
 
-@query(with_("commits", "refs") + " SELECT pos, name FROM refs JOIN (VALUES (0, 'cust/9'), (1, 'cust/1')) p(pos, prefix) ON name = prefix OR starts_with(name, prefix || '/')")
-def o04_prefix_groups(spark, d):
-    refs = S.refs(spark, d).select("name")
-    return refs.where(R.below(F.col("name"), "cust/9")).select(F.lit(0).alias("pos"), "name").unionByName(refs.where(R.below(F.col("name"), "cust/1")).select(F.lit(1).alias("pos"), "name"))
-
-
 # scalars
 
 
-@query(with_("commits") + " SELECT checksum, base64(unhex(checksum)) AS std, replace(replace(base64(unhex(checksum)), '/', '_'), '=', '') AS modified FROM commits")
-def c02_modified_base64(spark, d):
-    return S.commits(spark, d).select("checksum", F.base64(F.unhex("checksum")).alias("std"), H.modified_base64(F.col("checksum")).alias("modified"))
-
-
-@query("""SELECT l_orderkey AS n, CASE WHEN l_orderkey < 128 THEN printf('%02X', l_orderkey) WHEN l_orderkey < 16384 THEN printf('%02X', 128 + (l_orderkey & 127)) || printf('%02X', l_orderkey >> 7)
-    WHEN l_orderkey < 2097152 THEN printf('%02X', 128 + (l_orderkey & 127)) || printf('%02X', 128 + ((l_orderkey >> 7) & 127)) || printf('%02X', l_orderkey >> 14)
-    ELSE printf('%02X', 128 + (l_orderkey & 127)) || printf('%02X', 128 + ((l_orderkey >> 7) & 127)) || printf('%02X', 128 + ((l_orderkey >> 14) & 127)) || printf('%02X', l_orderkey >> 21) END AS leb FROM (SELECT DISTINCT l_orderkey * 7 AS l_orderkey FROM lineitem)""")
-def c03_varint(spark, d):
-    n = table(spark, d, "lineitem").select((F.col("l_orderkey") * 7).alias("n")).distinct()
-    return n.select("n", H.varint(F.col("n")).alias("leb"))
-
-
-@query(with_("content") + " SELECT DISTINCT checksum, upper(checksum) || CASE WHEN size < 128 THEN printf('%02X', size) ELSE printf('%02X', 128 + (size & 127)) || printf('%02X', size >> 7) END || '01' AS packed FROM content")
-def c04_size_entries(spark, d):
-    c = S.content(spark, d).select("checksum", "size").distinct()
-    return c.select("checksum", F.concat(F.upper("checksum"), H.varint(F.col("size")), F.lit("01")).alias("packed"))
-
 
 @query("SELECT o_orderkey AS k, lpad(hex(o_orderkey), 8, '0') AS be FROM orders")
 def c06_big_endian(spark, d):
@@ -653,15 +517,6 @@ def c09_byte_swap(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), H.le(F.col("o_orderkey"), F.lit(4)).alias("swapped"))
 
 
-@query("SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'main/' || s_suppkey WHEN 1 THEN s_name || ':main' ELSE '(org.x, main)' END AS ref FROM supplier")
-def c11_canonical_ref(spark, d):
-    k = F.col("s_suppkey")
-    space = F.when(k % 3 == 0, "mirror").when(k % 3 == 1, "remote").otherwise("mirror")
-    qualifier = F.when(k % 3 == 0, "org.own").when(k % 3 == 1, F.col("s_name")).otherwise("org.x")
-    name = F.when(k % 3 == 0, F.concat(F.lit("main/"), k.cast("string"))).otherwise("main")
-    return table(spark, d, "supplier").select(k.alias("k"), R.canonical_ref(space, qualifier, name, "org.own").alias("ref"))
-
-
 @query(with_("f0") + " SELECT '/' || path || '/./' AS raw, path AS plain FROM f0")
 def c23_normal_path(spark, d):
     raw = F.concat(F.lit("/"), "path", F.lit("/./"))
@@ -700,13 +555,6 @@ def s22_tar_round_trip(spark, d):
 
 
 
-@query(with_("f0") + " SELECT CASE WHEN starts_with(path, '/src2/') THEN '/moved/src2/' || substr(path, 7) ELSE path END AS path FROM f0 WHERE NOT starts_with(path, '/src1/')")
-def r01_staging_edits(spark, d):
-    files = S.files(spark, d).select("path")
-    gone = spark.range(1).select(F.lit("/src1").alias("path"))
-    return T.rename(T.skip_subtrees(files, gone), "/src2", "/moved/src2")
-
-
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '^https') THEN 'tls' WHEN regexp_matches(url, '^http') THEN 'http' ELSE 'file' END AS class FROM pages")
 def r14_endpoint_class(spark, d):
     u = F.col("url")

@@ -142,13 +142,6 @@ def r02_follow_links(spark, d):
     return out.select("path", F.when(F.col("there"), F.col("target")).alias("target"), F.when(F.col("loop"), "loop").when(F.col("there"), "found").otherwise("absent").alias("outcome"))
 
 
-@query(with_("f0") + f" SELECT DISTINCT '/' || source AS path, CASE WHEN source = 'src1' THEN 'own' ELSE '{'446a0ef11b7cc167f3b603e585c7eeeeb675faa412d5ec73f62988eb0b6c5488'}' END AS meta FROM f0")
-def r03_implied_metadata(spark, d):
-    own = spark.range(1).select(F.lit("/src1").alias("path"), F.lit("own").alias("own"))
-    dirs = T.directories(S.files(spark, d)).where(T.depth(F.col("path")) == 1)
-    return dirs.join(own, "path", "left").select("path", F.coalesce("own", H.dirmeta_checksum()).alias("meta"))
-
-
 @query("WITH " + REMOTES + " SELECT k, name, coalesce(CASE WHEN k % 5 = 0 THEN 'file:///o' END, pull_url, url) AS endpoint FROM remotes")
 def r12_config_view(spark, d):
     """One row for each remote, the settings as columns with their defaults; an override goes first."""
