@@ -26,11 +26,13 @@ def maybe_broadcast(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str) -> DataFrame:
-    """rows JOIN one on the key, which is unique in `one`. Rows of a hot key are dealt by a hash of `salt_by`, and its row of `one` is repeated for each share."""
-    hot = cut(rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > TOGETHER).select(key, (F.col("rows") / TOGETHER).cast("int").alias("shares")))
+def spread_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows JOIN one on the key, which is unique in `one`. Rows of a hot key are dealt by a hash of `salt_by`, and its row of `one` is repeated for each share. counts (key, rows), if known already, spares counting."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("rows")) if counts is None else counts
+    hot = cut(counts.where(F.col("rows") > TOGETHER).select(key, (F.col("rows") / TOGETHER).cast("int").alias("shares")))
     n = hot.count()
     if not n:
+        spent(hot)
         return rows.join(one, key)
     few = maybe_broadcast(hot, n)
     dealt = rows.join(few, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("shares") + 1), F.lit(0).cast("long")))
@@ -38,7 +40,6 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str) -> Data
     return dealt.drop("shares").join(copies.drop("shares"), [key, "salt"]).drop("salt")
 
 
-
 def smallish_join(rows: DataFrame, one: DataFrame, key: str, salt_by: str, wide: str, width: int = 1) -> DataFrame:
     """rows JOIN one on the key: `one` is broadcast if the bytes of its column `wide` (elements of `width` bytes) sum up to little, else rows of hot keys are dealt."""
     size = F.size(wide) if dict(one.dtypes)[wide].startswith("array") else F.octet_length(wide)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut, spent
+from .common import cut, spent, spread_join
 
 LOCAL = 200_000  # edges that a task joins at a time before the first shuffle
 
@@ -46,16 +46,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield star(held)
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """(u, m, rows): the smallest v of each u of rows (u, v), and how many there are. One row a node, written so that joins know its size."""
+    return cut(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = _least(both)
+    joined = spread_join(both.where("v > u"), least.select("u", F.least("u", "m").alias("m")), "u", "v", least.select("u", "rows"))
+    return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = _least(down)
+    moved = spread_join(down, least.select("u", "m"), "u", "v", least.select("u", "rows")).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("u", "m")).distinct()
 
 
@@ -70,7 +76,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of at least one edge.
 
     Null ends and loops are ignored. Tasks first join the edges that they have. A node's edges are met by min() with map-side
-    combining and by joins that adaptive execution can split, so a hub doesn't
+    combining and by joins that deal a hub's edges over copies of its row, so a hub doesn't
     end in one task. Each step is written to the shared folder; the driver
     sees only a count and a hash per step.
     """
