@@ -32,6 +32,8 @@ KBITS = {
 }
 #: Fixed values of the format: Hz by version bits (0 = 2.5, 2 = 2, 3 = 1) and index.
 HERTZ = {0: (11025, 12000, 8000), 2: (22050, 24000, 16000), 3: (44100, 48000, 32000)}
+#: Fixed values of the format, Layer II: bits of an allocation by table, as (subbands, bits) runs. a, b: MPEG-1 at usual rates; c, d: at low ones; l: MPEG-2.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "l": ((4, 4), (7, 3), (19, 2))}
 #: Units of payload in a frame -> its bit rate index.
 INDEX = {1: 6, 2: 10, 3: 12, 4: 14}
 
@@ -46,20 +48,74 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
 
 
 def header(data: bytes, at: int) -> dict | None:
-    """The frame header at this place, or None."""
+    """The frame header at this place, or None. The length of a frame of free bit rate is 0: the next header tells it."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
     b, c, d = data[at + 1], data[at + 2], data[at + 3]
     version, layer = b >> 3 & 3, 4 - (b >> 1 & 3)
     rate, index = c >> 2 & 3, c >> 4
-    if version == 1 or layer == 4 or rate == 3 or index in (0, 15) or d & 3 == 2:
+    if version == 1 or layer == 4 or rate == 3 or index == 15 or d & 3 == 2:
         return None
     first, hertz = version == 3, HERTZ[version][rate]
     kbits, padding, mono = KBITS[first, layer][index], c >> 1 & 1, d >> 6 == 3
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
+    slot = 4 if layer == 1 else 1
     length = (12 * kbits * 1000 // hertz + padding) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hertz + padding
     side = (17 if mono else 32) if first else (9 if mono else 17)
-    return {"version": version, "layer": layer, "hertz": hertz, "kbits": kbits, "samples": samples, "length": length, "crc": not b & 1, "mono": mono, "side": side if layer == 3 else 0, "joint": d >> 6 == 1, "bound": (d >> 4 & 3) * 4 + 4}
+    return {
+        "version": version, "layer": layer, "hertz": hertz, "kbits": kbits, "samples": samples, "length": length if index else 0, "padding": padding * slot, "crc": not b & 1, "mono": mono,
+        "side": side if layer == 3 else 0, "joint": d >> 6 == 1, "bound": (d >> 4 & 3) * 4 + 4,
+    }
+
+
+def free_length(data: bytes, at: int, end: int, padding: int) -> int:
+    """Bytes of a frame of free bit rate, without padding: up to the next header of the same kind; 0 where there is none within 8 KiB."""
+    like = data[at + 1 : at + 2] + bytes([data[at + 2] & 0xFC])
+    near = data.find(b"\xff", at + 24, min(end, at + 8192))
+    while 0 <= near and near + 4 <= end:
+        if data[near + 1 : near + 2] + bytes([data[near + 2] & 0xFC]) == like and header(data, near):
+            return near - at - padding
+        near = data.find(b"\xff", near + 1, min(end, at + 8192))
+    return 0
+
+
+def allocation_table(h: dict) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    each = h["kbits"] // (1 if h["mono"] else 2)
+    if h["version"] != 3:
+        name = "l"
+    elif each and each <= 48:
+        name = "d" if h["hertz"] == 32000 else "c"
+    else:
+        name = "a" if h["hertz"] == 48000 or each and each <= 80 else "b"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def checked_bits(data: bytes, body: int, h: dict) -> int:
+    """How many bits behind the CRC a frame's CRC covers: allocations, in Layer II scale factor selections, in Layer III the side information."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    bound = min(h["bound"], 32) if h["joint"] else 32
+    if h["layer"] == 1:
+        return 4 * 32 if h["mono"] else 4 * (bound + 32)
+    table, at, selected = allocation_table(h), 8 * body, 0
+    for sub, bits in enumerate(table):
+        shared = not h["mono"] and sub >= bound
+        for _ in range(1 if h["mono"] or shared else 2):
+            value = 0
+            for i in range(at, at + bits):
+                value = value << 1 | (data[i >> 3] >> (7 - (i & 7)) & 1 if i >> 3 < len(data) else 0)
+            at += bits
+            selected += (2 if shared else 1) if value else 0
+    return at - 8 * body + 2 * selected
+
+
+def crc16_bits(head: bytes, data: bytes, body: int, bits: int) -> int:
+    crc = crc16(data[body : body + bits // 8], crc16(head))
+    for i in range(bits % 8):
+        bit = data[body + bits // 8] >> (7 - i) & 1 if body + bits // 8 < len(data) else 0
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 & 1) ^ bit else 0)) & 0xFFFF
+    return crc
 
 
 _frames: dict[int, bytes] = {}
@@ -105,28 +161,71 @@ def write(payload: bytes, title: str = "") -> bytes:
     return b"ID3\x04\0\0" + _syncsafe(len(tag)) + tag + xing + bytes(size - len(xing)) + body + b"TAG" + title.encode()[:30].ljust(124, b"\0") + b"\xff"
 
 
+def _syncsafe_number(raw: bytes) -> int:
+    return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
+
+
+#: The names that later versions of the tag give to its old text frames.
+OLD_NAMES = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TRK": "TRCK", "TYE": "TYER", "TXX": "TXXX", "TCO": "TCON", "TEN": "TENC"}
+
+
 def _tags(data: bytes, at: int) -> tuple[dict[str, str], int]:
-    """Text frames of an ID3v2.3 or 2.4 tag, and where it ends."""
-    size = data[at + 6] << 21 | data[at + 7] << 14 | data[at + 8] << 7 | data[at + 9]
-    end, i, out = min(len(data), at + 10 + size), at + 10, {}
-    while i + 10 <= end and data[i]:
-        name, raw = data[i : i + 4], data[i + 4 : i + 8]
-        n = raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3] if data[at + 3] >= 4 else int.from_bytes(raw, "big")
-        body = data[i + 10 : min(end, i + 10 + n)]
+    """Text frames of an ID3v2.2, 2.3 or 2.4 tag, and where it ends: extended headers, unsynchronised bytes and footers included."""
+    version, flags = data[at + 3], data[at + 5]
+    size = _syncsafe_number(data[at + 6 : at + 10])
+    after = min(len(data), at + 10 + size + (10 if version >= 4 and flags & 0x10 else 0))
+    raw = data[at + 10 : min(len(data), at + 10 + size)]
+    if flags & 0x80 and version < 4:
+        raw = raw.replace(b"\xff\0", b"\xff")
+    i, out = 0, {}
+    if flags & 0x40 and version >= 3 and len(raw) >= 4:
+        i = _syncsafe_number(raw[:4]) if version >= 4 else 4 + int.from_bytes(raw[:4], "big")
+    head, width = (6, 3) if version == 2 else (10, 4)
+    while i + head <= len(raw) and raw[i]:
+        name, number = raw[i : i + width], raw[i + width : i + 2 * width]
+        n = _syncsafe_number(number) if version >= 4 else int.from_bytes(number, "big")
+        body = raw[i + head : i + head + n]
+        if version >= 4 and raw[i + 9] & 2:
+            body = body.replace(b"\xff\0", b"\xff")
+        if version >= 4 and raw[i + 9] & 1:  # a length stands before the text
+            body = body[4:]
         if name[:1] == b"T" and body:
             text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
             key = name.decode("latin-1")
+            key = OLD_NAMES.get(key, key)
             if key == "TXXX":
                 key, _, text = text.partition("\0")
             out[key] = text.rstrip("\0")
-        i += 10 + n
-    return out, end
+        i += head + n
+    return out, after
+
+
+def _xing(data: bytes, i: int, out: dict) -> None:
+    """Counts, seek table, and the encoder's delay and padding."""
+    flags, i = int.from_bytes(data[i + 4 : i + 8], "big"), i + 8
+    for bit, name in ((1, "vbr_frames"), (2, "vbr_bytes")):
+        if flags & bit:
+            out[name], i = int.from_bytes(data[i : i + 4], "big"), i + 4
+    if flags & 4:
+        out["toc"], i = data[i : i + 100], i + 100
+    i += 4 if flags & 8 else 0
+    if data[i : i + 4] in (b"LAME", b"Lavf", b"Lavc") and len(data) >= i + 24:
+        both = int.from_bytes(data[i + 21 : i + 24], "big")
+        out["delay"], out["trailing"] = both >> 12, both & 0xFFF
+
+
+def _vbri(data: bytes, i: int, out: dict) -> None:
+    """Counts, the delay, and the seek table as byte offsets from the table's frame on."""
+    delay, out["vbr_bytes"], out["vbr_frames"], entries, scale, width, _ = struct.unpack(">xxHxxIIHHHH", data[i + 4 : i + 26].rjust(22, b"\0"))
+    out["delay"] = delay
+    steps = [int.from_bytes(data[i + 26 + k * width : i + 26 + (k + 1) * width], "big") * scale for k in range(entries)]
+    out["vbri"] = np.cumsum(steps).tolist() if steps else []
 
 
 def parse(data: bytes) -> dict:
-    """Tags, VBR table, and of the audio frames: offsets, samples, bit rates, CRC checks, bytes skipped to find a frame again."""
-    out = {"tags": {}, "offsets": [], "samples": 0, "hertz": 0, "kbits": 0, "crc_ok": 0, "crc_bad": 0, "skipped": 0, "vbr_frames": None, "vbr_bytes": None, "toc": b"", "lengths": [], "spans": []}
-    at, end, first, known = 0, len(data), True, {}
+    """Tags, VBR table, and of the audio frames: offsets, samples, bit rates, CRC checks, bytes skipped to find a frame again. play_samples leaves out the encoder's delay and padding, where a table tells them."""
+    out = {"tags": {}, "offsets": [], "samples": 0, "hertz": 0, "kbits": 0, "crc_ok": 0, "crc_bad": 0, "skipped": 0, "vbr_frames": None, "vbr_bytes": None, "toc": b"", "vbri": [], "delay": 0, "trailing": 0, "spans": []}
+    at, end, first, known, free = 0, len(data), True, {}, 0
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         more, at = _tags(data, at)
         out["tags"] |= more
@@ -139,10 +238,13 @@ def parse(data: bytes) -> dict:
         h = known.get(key)
         if h is None:
             h = known[key] = header(data, at) or False
+        length = h["length"] if h else 0
+        if h and not length:
+            free = free or free_length(data, at, end, h["padding"])
+            length = free + h["padding"] if free else 0
         # out of step, a header counts only with another behind its frame, or the end
-        if not h or at + h["length"] > end or not synced and at + h["length"] + 4 <= end and not header(data, at + h["length"]):
-            if synced or out["offsets"]:
-                synced = False
+        if not length or at + length > end or not synced and at + length + 4 <= end and not header(data, at + length):
+            synced, free = False, 0
             nxt = data.find(b"\xff", at + 1, end)
             out["skipped"] += (end if nxt < 0 else nxt) - at
             at = end if nxt < 0 else nxt
@@ -154,31 +256,24 @@ def parse(data: bytes) -> dict:
             if good is None:
                 good = known[checked] = crc16(checked[:2] + checked[4:]) == int.from_bytes(checked[2:4], "big")
             out["crc_ok" if good else "crc_bad"] += 1
-        elif h["crc"] and h["layer"] == 1:
-            bits = 128 if h["mono"] else 4 * (h["bound"] + 32) if h["joint"] else 256
-            good = crc16(data[at + 2 : at + 4] + data[body : body + bits // 8]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        elif h["crc"]:
+            good = crc16_bits(data[at + 2 : at + 4], data, body, checked_bits(data, body, h)) == int.from_bytes(data[at + 4 : at + 6], "big")
             out["crc_ok" if good else "crc_bad"] += 1
         if first:
             first, i = False, body + h["side"]
-            if data[i : i + 4] in (b"Xing", b"Info"):
-                flags, i = int.from_bytes(data[i + 4 : i + 8], "big"), i + 8
-                for bit, name in ((1, "vbr_frames"), (2, "vbr_bytes")):
-                    if flags & bit:
-                        out[name], i = int.from_bytes(data[i : i + 4], "big"), i + 4
-                out["toc"] = data[i : i + 100] if flags & 4 else b""
-                at += h["length"]
-                continue
-            if data[at + 36 : at + 40] == b"VBRI":
-                out["vbr_bytes"], out["vbr_frames"] = struct.unpack(">II", data[at + 46 : at + 54])
-                at += h["length"]
+            table = data[i : i + 4] in (b"Xing", b"Info") or data[at + 36 : at + 40] == b"VBRI"
+            if table:
+                (_vbri if data[at + 36 : at + 40] == b"VBRI" else _xing)(data[: at + length], at + 36 if data[at + 36 : at + 40] == b"VBRI" else i, out)
+                at += length
                 continue
         out["offsets"].append(at)
-        out["spans"].append((body + h["side"], at + h["length"]))
+        out["spans"].append((body + h["side"], at + length))
         out["samples"] += h["samples"]
         out["kbits"] += h["kbits"]
         out["hertz"] = out["hertz"] or h["hertz"]
-        at += h["length"]
+        at += length
     out["skipped"] += end - at if at < end else 0
+    out["play_samples"] = max(0, out["samples"] - out["delay"] - out["trailing"])
     return out
 
 
@@ -211,23 +306,23 @@ def encode_column(docs: DataFrame, text: str = "text", media: str = "media") ->
 
 
 def inspect_column(df: DataFrame, media: str = "media") -> DataFrame:
-    """Replaces the media column by what the reader finds: media_bytes, media_sha256, frames, samples, hertz, crc_ok, crc_bad, skipped,
-    vbr_frames, offsets (a seek table: byte offset of each frame), tags, payload_bytes, payload_sha256, tail_crc32. A null media column gives nulls."""
-    keep = [c for c in df.columns if c != media]
-    kept = df.select(*[F.col(f"`{c}`") for c in keep])
-    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`"))
+    """Replaces the media column by what the reader finds: media_bytes, media_sha256, frames, samples, play_samples, hertz, duration (seconds: play_samples by hertz), crc_ok, crc_bad, skipped,
+    vbr_frames, offsets (a seek table: byte offset of each frame), tags, payload_bytes, payload_sha256, tail_crc32. A null media column gives nulls, a repeated row its values again; an empty table gives no rows. Columns of these names are replaced."""
     added = StructType.fromDDL(
-        "media_bytes long, media_sha256 string, frames long, samples long, hertz int, crc_ok long, crc_bad long, skipped long, "
+        "media_bytes long, media_sha256 string, frames long, samples long, play_samples long, hertz int, duration double, crc_ok long, crc_bad long, skipped long, "
         "vbr_frames long, offsets array<long>, tags map<string,string>, payload_bytes long, payload_sha256 string, tail_crc32 long"
     )
-    names, kinds = added.names, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.int64()]
+    keep = [c for c in df.columns if c != media and c not in added.names]
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+    df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`"))
+    names, kinds = added.names, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.int64()]
 
     def one(data: bytes | None) -> tuple:
         if data is None:
             return (None,) * len(names)
         f = parse(data)
         p = payload_of(data, f)
-        return (len(data), hashlib.sha256(data).hexdigest(), len(f["offsets"]), f["samples"], f["hertz"], f["crc_ok"], f["crc_bad"], f["skipped"], f["vbr_frames"], f["offsets"], list(f["tags"].items()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        return (len(data), hashlib.sha256(data).hexdigest(), len(f["offsets"]), f["samples"], f["play_samples"], f["hertz"], f["play_samples"] / f["hertz"] if f["hertz"] else 0.0, f["crc_ok"], f["crc_bad"], f["skipped"], f["vbr_frames"], f["offsets"], list(f["tags"].items()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,6 +332,3 @@ def inspect_column(df: DataFrame, media: str = "media") -> DataFrame:
 
     return df.mapInArrow(rows, StructType([*kept.schema.fields, *added.fields]))
 
-
-def seek_digest(offsets: list[int]) -> int:
-    return zlib.crc32(np.array(offsets, "<i8").tobytes())
