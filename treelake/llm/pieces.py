@@ -36,8 +36,8 @@ SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 @dataclass(frozen=True)
 class Params:
-    giant: int = 65_536  # characters from which a document is cut into chunks
-    chunk: int = 16_384
+    giant: int = 16_384  # characters from which a document is cut into chunks
+    chunk: int = 8_192
     near: int = 512  # characters that a border may move to meet the start of a word
 
 
@@ -304,8 +304,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     placed = chunks.join(maybe_broadcast(states, states.count()), ["row", "chunk"]).select("row", "doc", "chunk", "text", "begin", "end", "start", "stop")
     traced = placed.mapInArrow(_backtraces(model), "row long, doc long, chunk int, ids binary")
     joined = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])
-    giant = traced.groupBy("row").agg(F.first("doc").alias("doc_id"), F.expr("cast('' as binary)").alias("none"), joined.alias("parts"))
-    return whole.union(giant.select("doc_id", F.aggregate("parts", F.expr("cast('' as binary)"), lambda a, x: F.concat(a, x))))
+    giant = traced.groupBy("row").agg(F.first("doc").alias("doc_id"), joined.alias("parts"))
+    # joined in one step: appending part by part would copy what there is each time
+    return whole.union(giant.select("doc_id", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x)), ""))))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "text") -> DataFrame:
