@@ -17,7 +17,7 @@ SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is clear; without letters or with a narrow margin they go."""
+    """Keeps documents whose language is clear; without letters or with a narrow margin they go, null and empty texts too. Repeated rows stay or go together; without a labelled text all go."""
     model = langid.fit(docs, "doc_id", "text", "lang")
     if not model:
         return docs.where(F.lit(False))
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose toxicity score is below the threshold."""
+    """Keeps documents whose toxicity score is below the threshold, null and empty texts and rows without an id too; equal texts share their fate. Without toxic labels all stay."""
     p = toxicity.Params()
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), p=p)
     return toxicity.score(docs, model, p=p, name="__score").where(F.col("__score") < p.threshold).select(*docs.columns)
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens: every row's, also those of null or repeated ids; a null or empty text is one piece of one token."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), size=2048)
 
 
