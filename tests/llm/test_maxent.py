@@ -58,3 +58,35 @@ def test_word_hashes_follow_the_words():
         for w, x in zip(words(text), found, strict=True):
             assert by.setdefault(w, x) == x
     assert len(set(by.values())) == len(by)
+
+
+def test_parts_after_words_add_up_and_meet_their_counts(spark):
+    """The parts' softmax against a plain one, whole texts apart from each other, and one round of scaling."""
+    p = maxent.Params(rows=16)
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    k = rng.integers(1, maxent.C, 300)
+    h[[99, 199, 299]], k[[99, 199, 299]] = maxent.END, 0
+    rows, part = maxent.word_rows(h, k, p)
+    assert (rows // p.rows == k[:, None]).all() and (part == (h >> np.uint64(7)).astype(np.int64) % maxent.PARTS).all()
+    for a in (100, 200):  # a text's tokens don't depend on what stands before it
+        alone, _ = maxent.word_rows(h[a : a + 100], k[a : a + 100], p)
+        assert (alone == rows[a : a + 100]).all()
+    w, prior = rng.normal(size=(maxent.C * p.rows, maxent.PARTS)), rng.normal(size=(maxent.C, maxent.PARTS))
+    z = prior[k] + w[rows].sum(1)
+    assert np.allclose(np.exp(maxent.part_log_p(w, prior, rows, k)), np.exp(z) / np.exp(z).sum(1, keepdims=True))
+    # training: the likelihood of the kept tokens is better than the class's own shares
+    part = np.where(rows[:, 0] % 2 == 0, 3, 11)  # words after some words fall into one part
+    h = (h & ~np.uint64((maxent.PARTS - 1) << 7)) | (part.astype(np.uint64) << np.uint64(7))
+    rows, part = maxent.word_rows(h, k, p)
+    n = sum(np.bincount(rows[:, f] * maxent.PARTS + part, minlength=maxent.C * p.rows * maxent.PARTS) for f in range(3))
+    at = np.flatnonzero(n)
+    counts = spark.createDataFrame([(int(i), int(n[i])) for i in at], "key long, n long")
+    kept = spark.createDataFrame([(bytearray((h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + k.astype(np.uint8).tobytes()), len(h))], "tokens binary, n long")
+    share = np.ones((maxent.C, maxent.PARTS))
+    np.add.at(share, (k, part), 1)
+    prior = np.log(share / share.sum(1, keepdims=True))
+    small = maxent.Params(rows=16, pull=1.0)
+    weights = maxent.train_parts(counts, kept, prior, small)
+    own = np.arange(len(h))
+    assert maxent.part_log_p(weights, prior, rows, k)[own, part].sum() > maxent.part_log_p(0 * weights, prior, rows, k)[own, part].sum() + 20

@@ -1,13 +1,14 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's class comes from its ending, so that unseen words have one, and
+P(word | history) = P(class | history) * P(part | class, history) * P(word | class, part). A word's class comes from its ending, so that unseen words have one, and
 endings are clustered by the company they keep in all training texts. P(class | history) is a softmax
-over hashed features of the three classes before: n-grams (1, 1-2, 1-2-3 back) and skips (2, 3, 1 and 3 back). P(word | class) is
-(count + 1) / (tokens of the class + its words + 1), the last 1 being for all unseen words, so all probabilities of a history add up to 1.
+over hashed features of the three classes before: n-grams (1, 1-2, 1-2-3 back) and skips (2, 3, 1 and 3 back). The words of a class fall into parts
+by their hash; P(part | class, history) is a softmax within the class over hashed features of the words before: n-grams (1, 1-2 back) and a skip (2 back).
+P(word | class, part) is (count + 1) / (tokens of the part + its words + 1), the last 1 being for all its unseen words, so all probabilities of a history add up to 1.
 
-Counts cover every training text: pairs of endings, words, and class 4-grams, which are the model's sufficient statistics. Gradient updates
-run over the 4-gram table on the executors, which return one summed gradient for each partition.
-Word counts are looked up in a dictionary of the most frequent words of bounded size, and joined for all other words.
+Counts cover every training text: pairs of endings, words, class 4-grams, and parts after hashed words. Gradient updates
+run over the 4-gram table on the executors, which return one summed gradient for each partition; the parts' weights start from their counts and are
+scaled by expectations over every training token, summed on the executors. Word counts are looked up in a dictionary of the most frequent words of bounded size, and joined for all other words.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .words import Words, mix
+from .common import cut, spent
+from .words import M1, M2, Words, mix
 
 C = 32  # classes; 0 is the end of a text
+PARTS = 16  # parts of a class
 CONTEXTS = C**3
 HEAD = 200_000  # words of the broadcast dictionary: 16 bytes each
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
 END = np.uint64(0x6A09E667F3BCC909)
+END_PART = int(END >> np.uint64(7)) & PARTS - 1
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,10 @@ class Params:
     steps: int = 12
     rate: float = 0.15
     l2: float = 1e-7
+    rows: int = 2048  # hashed word features of each class
+    pull: float = 40.0  # tokens that hold a row's weights to what the class says
+    share: float = 0.6  # of each feature's own evidence, as features overlap
+    scalings: int = 1  # rounds over all training tokens
 
 
 def endings(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -115,6 +122,24 @@ class Tokens:
         return np.append(h, END), np.append(kinds, 0)
 
 
+def word_rows(h: np.ndarray, kinds: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(three rows of weights, the part) of each token of whole texts that follow each other. Only 32 bits of a word's hash are used."""
+    h = h.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+    end = END & np.uint64(0xFFFFFFFF)
+    one = np.concatenate([[end], h[:-1]])
+    two = np.where(one == end, end, np.concatenate([[end, end], h[:-2]])[: len(h)])
+    base, n = kinds.astype(np.int64) * p.rows, np.uint64(p.rows)
+    hashed = [mix(v + np.uint64(tag)) % n for tag, v in ((1, one), (2, two * M2), (3, one * M1 + two * M2))]
+    return np.stack([base + x.astype(np.int64) for x in hashed], 1), (h >> np.uint64(7) & np.uint64(PARTS - 1)).astype(np.int64)
+
+
+def part_log_p(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Natural logarithms of P(part | class, words before), a row for each token."""
+    z = prior[kinds] + weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]]
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
 def cells(kinds: np.ndarray) -> np.ndarray:
     """(3 back, 2 back, 1 back, class) of each token as one number; before the text stands its end."""
     k = np.concatenate([np.zeros(3, np.int64), kinds])
@@ -137,18 +162,25 @@ def log_p(weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _count(classes: np.ndarray, p: Params):
-    """Rows (kind, key, form, n): 0 = a word's count and class, 1 = a class 4-gram's count. Counted within the task first."""
+    """Rows (kind, key, form, n, tokens): 0 = a word's count and class, 1 = a class 4-gram's count, 2 = a part's count after a hashed word feature, 3 = a run of whole texts' tokens, kept for training. Counted within the task first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, grams = Tokens(classes, p), np.zeros(CONTEXTS * C, np.int64)
+        tokens, grams, parts = Tokens(classes, p), np.zeros(CONTEXTS * C, np.int64), np.zeros(C * p.rows * PARTS, np.int64)
         hashes, kinds, held = [], [], 0
 
-        def out(kind: int, key: np.ndarray, form: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(form.astype(np.int32)), pa.array(n.astype(np.int64))], ["kind", "key", "form", "n"])
+        def out(kind: int, key: np.ndarray, form: np.ndarray, n: np.ndarray, kept: list | None = None) -> pa.RecordBatch:
+            blob = pa.nulls(len(key), pa.binary()) if kept is None else pa.array(kept, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(form.astype(np.int32)), pa.array(n.astype(np.int64)), blob], ["kind", "key", "form", "n", "tokens"])
 
-        def counted() -> pa.RecordBatch:
-            key, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            return out(0, key, np.concatenate(kinds)[first], n)
+        def counted() -> Iterator[pa.RecordBatch]:
+            h, k = np.concatenate(hashes), np.concatenate(kinds)
+            key, first, n = np.unique(h, return_index=True, return_counts=True)
+            yield out(0, key, k[first], n)
+            at, part = word_rows(h, k, p)
+            for f in range(3):
+                parts[:] += np.bincount(at[:, f] * PARTS + part, minlength=len(parts))
+            one = np.zeros(1, np.int64)
+            yield out(3, one, one, np.array([len(h)]), [(h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + k.astype(np.uint8).tobytes()])
 
         for b in batches:
             for text in b.column(0):
@@ -159,14 +191,15 @@ def _count(classes: np.ndarray, p: Params):
                     grams[code] += n
                 hashes.append(h), kinds.append(k)
                 held += len(h)
-                if held >= 3_000_000:
-                    yield counted()
+                if held >= 500_000:
+                    yield from counted()
                     hashes, kinds, held = [], [], 0
         if held:
-            yield counted()
-        key = np.flatnonzero(grams)
-        if len(key):
-            yield out(1, key, np.zeros(len(key)), grams[key])
+            yield from counted()
+        for kind, table in ((1, grams), (2, parts)):
+            key = np.flatnonzero(table)
+            if len(key):
+                yield out(kind, key, np.zeros(len(key)), table[key])
 
     return rows
 
@@ -222,6 +255,48 @@ def train(grams: DataFrame, p: Params) -> np.ndarray:
     return best
 
 
+def train_parts(counts: DataFrame, kept: DataFrame, prior: np.ndarray, p: Params) -> np.ndarray:
+    """Weights of the hashed word features: from counts (key, n), then scaled so that what the model expects over all kept tokens meets them. Sums of at most C * rows * PARTS numbers reach the driver."""
+    shape = (C * p.rows, PARTS)
+
+    def dense(found: pa.Table) -> np.ndarray:
+        out = np.zeros(shape[0] * PARTS)
+        out[found.column("key").to_numpy()] = found.column("n").to_numpy()
+        return out.reshape(shape)
+
+    seen = dense(counts.groupBy("key").agg(F.sum("n").alias("n")).toArrow())
+    likely = np.exp(np.repeat(prior, p.rows, axis=0))
+    weights = (p.share * np.log((seen + p.pull * likely) / ((seen.sum(1, keepdims=True) + p.pull) * likely))).astype(np.float32)
+    for _ in range(p.scalings):
+        shared = kept.sparkSession.sparkContext.broadcast((weights, prior.astype(np.float32)))
+
+        def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            weights, prior = shared.value
+            total = np.zeros(shape, np.float64)
+            for b in batches:
+                for blob, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    raw = blob.as_buffer()
+                    h, k = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, np.uint8, n, 4 * n)
+                    rows, _ = word_rows(h, k, p)
+                    for at in range(0, n, 100_000):
+                        r = rows[at : at + 100_000]
+                        share = np.exp(part_log_p(weights, prior, r, k[at : at + 100_000]))
+                        for f in range(3):
+                            order = np.argsort(r[:, f], kind="stable")
+                            own = r[order, f]
+                            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                            total[own[first]] += np.add.reduceat(share[order], first, axis=0)
+            flat = total.ravel()
+            key = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(flat[key])], ["key", "n"])
+
+        sums = kept.mapInArrow(expected, "key long, n double").groupBy("key").agg(F.sum("n").alias("n"))
+        meets = dense(sums.toArrow())
+        weights = (weights + np.log((seen + p.pull * likely) / (meets + p.pull * likely)) / 3).astype(np.float32)
+        shared.unpersist()
+    return weights
+
+
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(keys, counts) by key of the words from the least count on that at most HEAD words reach."""
     top = 100_000  # the histogram has at most so many rows
@@ -249,32 +324,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), flag.alias("held_out"))
     training = docs.where("not held_out")
     classes = cluster(*meetings(training.select("text"), p), p)
-    rows = cut(training.select("text").mapInArrow(_count(classes, p), "kind byte, key long, form int, n long"))
+    rows = cut(training.select("text").mapInArrow(_count(classes, p), "kind byte, key long, form int, n long, tokens binary"))
     counts = cut(rows.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c"), F.max("form").alias("form")))
     weights = train(rows.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), p)
-    size = np.zeros((C, 2))
-    for r in counts.groupBy("form").agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).collect():
-        size[r.form] = r.tokens, r.words
-    total, distinct = (int(x) for x in size.sum(0))
+    size = np.zeros((C, PARTS, 2))
+    part = F.shiftright("key", 7).bitwiseAND(F.lit(PARTS - 1).cast("long")).alias("part")
+    for r in counts.groupBy("form", part).agg(F.sum("c").alias("tokens"), F.count("*").alias("words")).collect():
+        size[r.form, r.part] = r.tokens, r.words
+    total, distinct = (int(x) for x in size.sum((0, 1)))
     head = frequent(counts)
-    within = np.log10(size.sum(1) + 1)
+    within = np.log10(size.sum(2) + 1)
+    prior = np.log((size[:, :, 0] + 1) / (size[:, :, 0] + 1).sum(1, keepdims=True))
+    by_word = train_parts(rows.where("kind = 2").select("key", "n"), rows.where("kind = 3").select("tokens", "n"), prior, p)
+    spent(rows)
     table = np.empty((CONTEXTS, C), np.float32)
     ids = feature_ids(p)
     for at in range(0, CONTEXTS, 4096):  # sparse batches: seven rows of weights for each context
-        table[at : at + 4096] = log_p(weights, ids[at : at + 4096]) / np.log(10) - within
-    shared = spark.sparkContext.broadcast((classes, *head, table.ravel()))
+        table[at : at + 4096] = log_p(weights, ids[at : at + 4096]) / np.log(10)
+    shared = spark.sparkContext.broadcast((classes, *head, table.ravel(), by_word, prior.astype(np.float32), within))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts: (row, 0, doc, held_out, tokens, known words of the dictionary, their sum, sum over classes); other words: (row, 1, hash, null, times, ...)."""
-        classes, known, count, table = shared.value
+        classes, known, count, table, by_word, prior, within = shared.value
         logs, tokens = np.log10(count + 1.0), Tokens(classes, p)
         row = TaskContext.get().partitionId() << 33
         names = ["row", "kind", "a", "held_out", "n", "known", "counts", "classes"]
         for b in batches:
-            texts, rest, held = [], [], 0
+            texts, rest, words, held = [], [], [], 0
 
             def out() -> pa.RecordBatch:
+                h, k = (np.concatenate(c) for c in zip(*words, strict=True))
+                rows, part = word_rows(h, k, p)
+                logs = np.empty(len(h))
+                for at in range(0, len(h), 100_000):
+                    lp = part_log_p(by_word, prior, rows[at : at + 100_000], k[at : at + 100_000])
+                    logs[at : at + 100_000] = lp[np.arange(len(lp)), part[at : at + 100_000]]
+                logs = np.where(k > 0, logs / np.log(10), 0) - within[k, np.where(k > 0, part, END_PART)]
+                first = np.cumsum([0] + [len(x) for x, _ in words[:-1]])
+                more = np.add.reduceat(logs, first).tolist()
                 cols = [list(c) for c in zip(*texts, strict=True)]
+                cols[6] = [a + b for a, b in zip(cols[6], more, strict=True)]
                 r, k, n = (np.concatenate(c) for c in zip(*rest, strict=True))
                 pad = [None] * len(r)
                 data = [cols[0] + r.tolist(), [0] * len(texts) + [1] * len(r), cols[1] + k.tolist(), cols[2] + pad, cols[3] + n.tolist(), cols[4] + pad, cols[5] + pad, cols[6] + pad]
@@ -283,6 +372,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
             for doc, text, apart in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 h, k = tokens(text.as_py())
+                words.append((h, k))
                 h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
@@ -290,10 +380,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 texts.append((row, doc, apart, len(h), int(hit.sum()), float(logs[at[hit]].sum()), float(table[cells(k)].sum(dtype=np.float64))))
                 rest.append((np.full(len(other), row), other, n))
                 row += 1
-                held += 1 + len(other)
-                if held >= 100_000:
+                held += 1 + len(h)
+                if held >= 200_000:
                     yield out()
-                    texts, rest, held = [], [], 0
+                    texts, rest, words, held = [], [], [], 0
             if texts:
                 yield out()
 
