@@ -13,19 +13,19 @@ def damage(frame, checksum):
 
 
 def test_a_damaged_commit_is_counted(spark, monkeypatch):
-    before = {r.kind: r.n for r in catalog.QUERIES["a03_fsck_report"](spark, SF).collect()}
+    before = {(r.otype, r.kind): r.n for r in catalog.QUERIES["a03_fsck_report"](spark, SF).collect()}
     hit = S.commits(spark, SF).where("k % 97 <> 0 and k % 11 <> 0").orderBy("k").first().checksum
     stored = S.stored_commits
     monkeypatch.setattr(S, "stored_commits", lambda spark, d: damage(stored(spark, d), hit))
-    after = {r.kind: r.n for r in catalog.QUERIES["a03_fsck_report"](spark, SF).collect()}
-    assert after == {**before, "corrupt": before["corrupt"] + 1, "ok": before["ok"] - 1}
+    after = {(r.otype, r.kind): r.n for r in catalog.QUERIES["a03_fsck_report"](spark, SF).collect()}
+    assert after == {**before, (4, "corrupt"): before[4, "corrupt"] + 1, (4, "ok"): before[4, "ok"] - 1}
 
 
-def test_a_damaged_object_is_attributed(spark, monkeypatch):
-    rows = lambda: {(r.commit_, r.object) for r in catalog.QUERIES["j10_fsck_attribution"](spark, SF).collect()}
+def test_a_damaged_file_is_attributed(spark, monkeypatch):
+    rows = lambda: {(r.commit_, r.path, r.object) for r in catalog.QUERIES["j10_fsck_attribution"](spark, SF).collect()}
     before = rows()
-    hit = S.content(spark, SF).where("size % 97 <> 0").orderBy("checksum").first().checksum
-    holders = S.content(spark, SF).where(F.col("checksum") == hit).join(S.commits(spark, SF).select("k", F.col("checksum").alias("c")), "k").select("c").distinct().collect()
-    stored = S.stored_objects
-    monkeypatch.setattr(S, "stored_objects", lambda spark, d: damage(stored(spark, d), hit))
-    assert rows() - before == {(r.c, hit) for r in holders} and holders and before <= rows()
+    hit = S.files(spark, SF).where("size % 97 <> 0").orderBy("path").first().checksum
+    holders = {(f"commit{v}", r.path, hit) for v in range(3) for r in S.files(spark, SF, v).where(F.col("checksum") == hit).collect()}
+    stored = S.stored_files
+    monkeypatch.setattr(S, "stored_files", lambda spark, d: damage(stored(spark, d), hit))
+    assert rows() - before == holders and holders and before <= rows()

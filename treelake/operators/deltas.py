@@ -393,3 +393,25 @@ def run_opcodes(ops: bytes, blob: bytes, sources: dict[bytes, bytes], expected:
     if now is not None or len(out) != len(expected):
         raise ValueError("a part that ends too early")
     return out
+
+
+def reindex(deltas: DataFrame) -> DataFrame:
+    """(dst, entries) of deltas (src, dst, digest): for each target the deltas that lead to it, sorted by name (a delta from nothing is named by its target alone), with their digests."""
+    name = F.concat_ws("-", "src", "dst")
+    return deltas.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "digest"))).alias("entries"))
+
+
+def build_parts(objects: DataFrame, most: int, by: str = "delta") -> DataFrame:
+    """(by, part, objects, ops, blob, names) of objects (by, checksum, payload, source): packed greedily and written as parts. A part is at most one object beyond the limit, so it fits in a task."""
+    sized = objects.select(by, F.lit(1).alias("otype"), "checksum", F.coalesce(F.length("payload"), F.lit(0)).alias("size"))
+    placed = pack_parts(sized, most, by).select(by, "checksum", "part")
+    kind = objects.schema[by].dataType.simpleString()
+
+    def build(pdf):
+        pdf = pdf.sort_values("checksum")
+        rows = [(b"", bytes(new), hashlib.sha256(old).digest() if old else None, bytes(old) if old else None) for new, old in zip(pdf["payload"], pdf["source"], strict=True)]
+        ops, blob, _ = write_part(rows)
+        return pdf.iloc[:1][[by, "part"]].assign(objects=len(pdf), ops=[ops], blob=[blob], names=[pdf["checksum"].tolist()])
+
+    whole = objects.where("payload is not null").join(placed, [by, "checksum"])
+    return whole.groupBy(by, "part").applyInPandas(build, f"{by} {kind}, part long, objects long, ops binary, blob binary, names array<string>")

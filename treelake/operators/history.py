@@ -145,3 +145,11 @@ def complete(markers: DataFrame, commits: DataFrame, holds: DataFrame, arrived:
 
 def expired(ts: Column, now: Column, age: int) -> Column:
     return now - ts > age
+
+
+def log(commits: DataFrame, stored: DataFrame, order: list[str], by: str = "branch") -> DataFrame:
+    """(by, checksum, depth, stop) newest first along linear branches, up to the first commit that isn't stored; stop marks the one whose parent is missing."""
+    there = commits.join(stored.select("checksum").distinct().withColumn("there", F.lit(True)), "checksum", "left")
+    w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    rows = there.withColumn("depth", F.row_number().over(w) - 1).withColumn("gone", F.max(F.col("there").isNull()).over(w)).withColumn("next_gone", F.lead(F.col("there").isNull()).over(w))
+    return rows.where(~F.col("gone")).select(by, "checksum", F.col("depth").cast("long").alias("depth"), F.coalesce("next_gone", F.lit(False)).alias("stop"))

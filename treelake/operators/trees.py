@@ -290,3 +290,23 @@ def skip_subtrees(paths: DataFrame, skipped: DataFrame) -> DataFrame:
     ups = paths.select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("up"))
     dead = ups.join(skipped.select(F.col("path").alias("up")), "up").select("path").distinct()
     return paths.join(dead, "path", "left_anti")
+
+
+def walk(roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(root, path, kind, child) of everything below directory objects: roots (root, dirtree) and entries (dirtree, kind, name, child), kind d or f. A level is one join, so shared subtrees are stored once and listed for each place."""
+    entries = cut(entries)
+    now = cut(roots.select("root", F.lit("").alias("path"), F.col("dirtree").alias("at")))
+    found = []
+    while not now.isEmpty():
+        here = cut(now.join(entries.withColumnRenamed("dirtree", "at"), "at").select("root", F.concat("path", F.lit("/"), "name").alias("path"), "kind", "child"))
+        found.append(here)
+        now = here.where("kind = 'd'").select("root", "path", F.col("child").alias("at"))
+    return reduce(DataFrame.unionByName, found) if found else roots.select("root", F.lit("").alias("path"), F.lit("d").alias("kind"), F.col("dirtree").alias("child")).limit(0)
+
+
+def tree_entries(files: DataFrame, trees: DataFrame) -> DataFrame:
+    """(dirtree, kind, name, child): the distinct entries of directory objects, from files (path, checksum) and their directories (path, checksum)."""
+    names = trees.select("path", F.col("checksum").alias("dirtree"))
+    rows = files.select("path", F.lit("f").alias("kind"), "checksum").unionByName(trees.where("path <> ''").select("path", F.lit("d").alias("kind"), "checksum"))
+    rows = rows.select(parent(F.col("path")).alias("up"), base(F.col("path")).alias("name"), "kind", F.col("checksum").alias("child"))
+    return rows.join(names.withColumnRenamed("path", "up"), "up").select("dirtree", "kind", "name", "child").distinct()

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, gvariant
+from ..functions import codecs
 from ..functions import hashing as H
 from ..operators import deltas as D
-from ..operators import fsck
 from ..operators import history as Hi
 from ..operators import refs as R
 from ..operators import trees as T
@@ -131,7 +128,7 @@ def s07_mirror_refs(spark, d):
 @query(SPACES + " SELECT space, name, checksum FROM spaces WHERE id = (SELECT id FROM collections WHERE nation = 3)")
 def s09_refs_of_collection(spark, d):
     one = S.collections(spark, d).where("nation = 3").select("id")
-    return _spaces(spark, d).join(F.broadcast(one), "id").select("space", "name", "checksum")
+    return _spaces(spark, d).join(one, "id").select("space", "name", "checksum")
 
 
 @query(with_("commits", "refs") + " SELECT 'alias/' || branch AS name, name AS target FROM refs WHERE branch % 10 = 0")
@@ -262,16 +259,10 @@ def k14_summary(spark, d):
     return by.join(before, "head").select(at.cast("long").alias("pos"), "name", "checksum", "ts")
 
 
-@query("SELECT sha256('b:' || (o_orderkey + 1)) AS target, string_agg(sha256('b:' || o_orderkey), ',' ORDER BY sha256('b:' || o_orderkey)) AS sources FROM orders WHERE o_orderkey % 4 < 2 GROUP BY o_orderkey // 4, o_orderkey + 1")
-def k17_reindex_deltas(spark, d):
-    sha = lambda c: F.sha2(F.concat(F.lit("b:"), c.cast("string")).cast("binary"), 256)
-    o = table(spark, d, "orders").where("o_orderkey % 4 < 2")
-    return o.groupBy(sha(F.col("o_orderkey") + 1).alias("target")).agg(F.array_join(F.array_sort(F.collect_list(sha(F.col("o_orderkey")))), ",").alias("sources"))
-
-
 # projections
 
 
+
 @query(with_("f0") + " SELECT CASE WHEN starts_with(path, '/src1/') THEN '/usr/src1/' || substr(path, 7) ELSE path END AS path FROM f0")
 def p07_path_rewrite(spark, d):
     return T.rename(S.files(spark, d).select("path"), "/src1", "/usr/src1")
@@ -361,12 +352,6 @@ def j02_diff_stats(spark, d):
     return T.diff_stats(S.files(spark, d, 1), S.files(spark, d, 2))
 
 
-@query(with_("f0") + " SELECT path FROM f0 UNION SELECT '/' || source FROM f0 UNION SELECT '/' || source || '/' || lang FROM f0 UNION SELECT ''")
-def j03_tree_walk(spark, d):
-    files = S.files(spark, d)
-    return files.select("path").unionByName(T.directories(files))
-
-
 REACH = with_("commits", "refs", "content", recursive=True) + """, walk(checksum, left_) AS (SELECT checksum, 2 FROM refs WHERE branch % 2 = 0 UNION SELECT c.parent, left_ - 1 FROM walk JOIN commits c USING (checksum) WHERE c.parent IS NOT NULL AND left_ > 0),
     kept AS (SELECT DISTINCT checksum FROM walk)"""
 
@@ -383,6 +368,7 @@ def _reached_objects(spark, d, kept: DataFrame) -> DataFrame:
     return S.content(spark, d).join(ks, "k", "left_semi").select("checksum", "size").distinct()
 
 
+
 @query(REACH + " SELECT checksum FROM kept UNION ALL SELECT DISTINCT o.checksum FROM content o JOIN commits c USING (k) JOIN kept ON kept.checksum = c.checksum")
 def j04_reachable(spark, d):
     kept = _kept(spark, d)
@@ -410,13 +396,6 @@ def j07_delta_pairs(spark, d):
     return D.pair_sources(S.files(spark, d, 1), S.files(spark, d, 2))
 
 
-@query(with_("commits", "content") + " SELECT DISTINCT c.checksum AS commit_, o.checksum AS object FROM content o JOIN commits c USING (k) WHERE o.size % 97 = 0")
-def j10_fsck_attribution(spark, d):
-    bad = fsck.mismatches(S.stored_objects(spark, d)).select("checksum")
-    held = S.content(spark, d).join(bad, "checksum", "left_semi").select("k", F.col("checksum").alias("object"))
-    return held.join(S.commits(spark, d).select("k", F.col("checksum").alias("commit_")), "k").select("commit_", "object").distinct()
-
-
 @query(with_("commits") + ", h AS (SELECT * FROM commits WHERE k % 9 <> 0) SELECT h.checksum, CASE WHEN p.checksum IS NULL THEN 'absent' WHEN p.k % 11 = 0 THEN 'partial' ELSE 'ok' END AS state FROM h LEFT JOIN h p ON p.checksum = h.parent WHERE h.parent IS NOT NULL")
 def j12_dependencies(spark, d):
     h = S.commits(spark, d).where("k % 9 <> 0")
@@ -463,11 +442,6 @@ def j20_summary_consistency(spark, d):
 # aggregates, windows
 
 
-@query(with_("commits") + " SELECT CASE WHEN k % 97 = 0 THEN 'corrupt' WHEN k % 11 = 0 THEN 'partial' ELSE 'ok' END AS kind, count(*) AS n FROM commits GROUP BY 1")
-def a03_fsck_report(spark, d):
-    return fsck.report(S.stored_commits(spark, d), S.partial_commits(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query(SPACES + " SELECT id, count(*) AS refs, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT id, name FROM spaces) GROUP BY id")
 def a09_refs_by_collection(spark, d):
     return _spaces(spark, d).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("n")).select("id", F.size("n").cast("long").alias("refs"), F.array_join("n", ",").alias("names"))

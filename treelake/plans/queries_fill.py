@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import deltas as D
+from ..operators import fsck
 from ..operators import history as Hi
 from ..operators import refs as R
 from ..operators import repo as P
@@ -286,3 +288,78 @@ def s08_collection_refs(spark, d):
     s = table(spark, d, "supplier").join(ids, F.col("s_nationkey") == F.col("nation"))
     remotes = s.select(F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("remote"), F.when(F.col("s_suppkey") % 7 == 0, "bad id").otherwise(F.col("id")).alias("id"), F.lit("main").alias("name"), sha("tip:", F.col("s_suppkey")).alias("checksum"))
     return R.collection_refs(refs.where("nation = 0").select("name", "checksum"), mirrors, remotes, "org.own")
+
+
+# trees of objects, integrity, deltas as a whole
+
+
+def _snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(roots, entries) of three snapshots as directory objects; equal subtrees are one object."""
+    roots, entries = [], []
+    for v in range(3):
+        files = S.files(spark, d, v).select("path", "checksum")
+        trees = T.write_tree(files)
+        roots.append(trees.where("path = ''").select(F.lit(v).alias("root"), F.col("checksum").alias("dirtree")))
+        entries.append(T.tree_entries(files, trees))
+    return reduce(DataFrame.unionByName, roots), reduce(DataFrame.unionByName, entries).distinct()
+
+
+@query(with_("f0", "f1", "f2") + "".join(f" {'UNION ALL ' if v else ''}SELECT {v} AS root, path, 'f' AS kind, checksum AS object FROM f{v} UNION ALL SELECT DISTINCT {v}, '/' || source, 'd', NULL FROM f{v} UNION ALL SELECT DISTINCT {v}, '/' || source || '/' || lang, 'd', NULL FROM f{v}" for v in range(3)))
+def j03_tree_walk(spark, d):
+    """Paths of three snapshots, by walking their directory objects from the roots."""
+    return T.walk(*_snapshots(spark, d)).select("root", "path", "kind", F.when(F.col("kind") == "f", F.col("child")).alias("object"))
+
+
+@query(with_("f0", "f1", "f2") + "".join(f" {'UNION ALL ' if v else ''}SELECT 'commit{v}' AS commit_, path, checksum AS object FROM f{v} WHERE size % 97 = 0" for v in range(3)))
+def j10_fsck_attribution(spark, d):
+    """Stored files are hashed again; each damaged one is traced to the commits whose trees hold it, and to its paths there. Faults: a byte more where the size is a multiple of 97."""
+    bad = fsck.damaged_files(S.stored_files(spark, d)).select("checksum")
+    commits = spark.range(3).select(F.concat(F.lit("commit"), text("id")).alias("checksum"), F.col("id").cast("int").alias("root"))
+    return fsck.reached_by(bad, T.walk(*_snapshots(spark, d)), commits).withColumnRenamed("commit", "commit_")
+
+
+@query(with_("commits", "content") + """, c AS (SELECT 4 AS otype, CASE WHEN k % 97 = 0 THEN 'corrupt' WHEN k % 11 = 0 THEN 'partial' ELSE 'ok' END AS kind FROM commits UNION ALL SELECT 1, CASE WHEN size % 97 = 0 THEN 'corrupt' ELSE 'ok' END FROM (SELECT DISTINCT checksum, size FROM content))
+    SELECT otype, kind, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY otype) AS BIGINT) AS checked FROM c GROUP BY 1, 2""")
+def a03_fsck_report(spark, d):
+    """Commits and objects hashed again: how many are damaged, partial, sound, of how many checked."""
+    commits = fsck.report(S.stored_commits(spark, d), S.partial_commits(spark, d)).select(F.lit(4).alias("otype"), "kind")
+    objects = fsck.report(S.stored_objects(spark, d), S.partial_commits(spark, d).limit(0)).select(F.lit(1).alias("otype"), "kind")
+    return fsck.summary(commits.unionByName(objects))
+
+
+@query(with_("commits") + ", g AS (SELECT *, max(k % 29 = 0) OVER w AS gone, row_number() OVER w - 1 AS depth, lead(k % 29 = 0) OVER w AS next FROM commits WINDOW w AS (PARTITION BY branch ORDER BY seq DESC)) SELECT branch, checksum, depth, coalesce(next, false) AS stop FROM g WHERE NOT gone")
+def w01_log(spark, d):
+    """Every branch's log; some commits aren't stored, and a log ends before them."""
+    c = S.commits(spark, d)
+    return Hi.log(c, c.where("k % 29 <> 0"), ["seq"])
+
+
+@query(with_("commits") + """, e AS (SELECT checksum AS dst, parent || '-' || checksum AS name, sha256('s:' || k) AS digest FROM commits WHERE parent IS NOT NULL UNION ALL SELECT checksum, checksum, sha256('e:' || k) FROM commits WHERE k % 2 = 0)
+    SELECT dst AS target, string_agg(name || '=' || digest, ',' ORDER BY name) AS entries FROM e GROUP BY dst""")
+def k17_reindex_deltas(spark, d):
+    """For each target its deltas, from its parent and from nothing, with the digests of their superblocks."""
+    c = S.commits(spark, d)
+    deltas = c.where("parent is not null").select(F.col("parent").alias("src"), F.col("checksum").alias("dst"), sha("s:", F.col("k")).alias("digest")).unionByName(c.where("k % 2 = 0").select(F.lit(None).cast("string").alias("src"), F.col("checksum").alias("dst"), sha("e:", F.col("k")).alias("digest")))
+    return D.reindex(deltas).select(F.col("dst").alias("target"), F.array_join(F.transform("entries", lambda e: F.concat(e["name"], F.lit("="), e["digest"])), ",").alias("entries"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT source AS delta, sha256(CAST(doc_id AS VARCHAR)) AS checksum, octet_length(encode(substr(text, 1, length(text) // 2) || '<new>' || substr(text, length(text) // 2 + 1) || '!')) AS size FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY delta ORDER BY checksum) AS n FROM a), pack(delta, n, part, held) AS (SELECT delta, n, CAST(0 AS BIGINT), size FROM p WHERE n = 1 UNION ALL
+    SELECT p.delta, p.n, pack.part + CASE WHEN held > 0 AND held + size > 20000 THEN 1 ELSE 0 END, CASE WHEN held > 0 AND held + size > 20000 THEN size ELSE held + size END FROM pack JOIN p ON p.delta = pack.delta AND p.n = pack.n + 1)
+    SELECT delta, part, count(*) AS objects, true AS rebuilt FROM pack GROUP BY delta, part""")
+def k16_static_delta(spark, d):
+    """Deltas of every source's altered texts: packed, written as opcode streams, and run again against the old texts, each object checked by its hash."""
+    docs = table(spark, d, "documents").where("text is not null")
+    half = F.floor(F.length("text") / 2).cast("int")
+    new = F.concat(F.substr("text", F.lit(1), half), F.lit("<new>"), F.substr("text", half + 1), F.lit("!")).cast("binary")
+    objects = docs.select(F.col("source").alias("delta"), F.sha2(text("doc_id").cast("binary"), 256).alias("checksum"), new.alias("payload"), F.when(F.col("doc_id") % 3 != 0, F.col("text").cast("binary")).alias("source"))
+    parts = D.build_parts(objects, 20_000)
+    wanted = parts.select("delta", "part", "objects", "ops", "blob", F.posexplode("names").alias("pos", "checksum")).join(objects.select("delta", "checksum", F.sha2("payload", 256).alias("sum"), "source"), ["delta", "checksum"])
+
+    def check(pdf):
+        pdf = pdf.sort_values("pos")
+        old = {hashlib.sha256(s).digest(): bytes(s) for s in pdf["source"] if s}
+        made = D.run_opcodes(bytes(pdf["ops"].iloc[0]), bytes(pdf["blob"].iloc[0]), old, [(1, bytes.fromhex(x)) for x in pdf["sum"]], lambda _, b: hashlib.sha256(b).digest())
+        return pdf.iloc[:1][["delta", "part", "objects"]].assign(rebuilt=len(made) == len(pdf))
+
+    return wanted.groupBy("delta", "part").applyInPandas(check, "delta string, part long, objects long, rebuilt boolean")

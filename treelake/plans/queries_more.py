@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..operators import history as Hi
 from ..operators import refs as R
 from ..operators import trees as T
 from ..sources import derived as S

@@ -78,6 +78,14 @@ def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select(F.sha2(right.cast("binary"), 256).alias("checksum"), stored.cast("binary").alias("payload"))
 
 
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(checksum, payload): files of all snapshots as stored. Injected faults: one more byte where the size % 97 = 0."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(F.explode(F.array(text, F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit("!"))).otherwise(text))).alias("text"))
+    stored = F.when(F.octet_length("text") % 97 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    return docs.select(H.content_checksum(F.col("text")).alias("checksum"), stored.cast("binary").alias("payload")).distinct()
+
+
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, nation): org.<region>.<nation>."""
     plain = lambda c: F.lower(F.translate(c, " ", "_"))
