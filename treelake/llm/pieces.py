@@ -36,8 +36,8 @@ SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 @dataclass(frozen=True)
 class Params:
-    giant: int = 16_384  # characters from which a document is cut into chunks
-    chunk: int = 8_192
+    giant: int = 65_536  # characters from which a document is cut into chunks
+    chunk: int = 16_384
     near: int = 512  # characters that a border may move to meet the start of a word
 
 
@@ -106,7 +106,7 @@ class Pieces:
         key = (left, right)
         found = self.agreed.get(key)
         if found is None:
-            if len(self.agreed) > 500_000:
+            if len(self.agreed) > 200_000:
                 self.agreed.clear()
             found = self.agreed[key] = self.merge(left + right) == [left, right]
         return found
