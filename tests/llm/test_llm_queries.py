@@ -61,7 +61,7 @@ def test_op4(spark, docs):
 
 def test_op5(spark, docs):
     cols, rows = run(spark, "op5_bestfit_pack")
-    assert cols == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert cols == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "proved"]
     assert {r.doc_id for r in rows} == set(docs)
     assert max(Counter({s: sum(r.length for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows}}).values()) <= 2048
 
