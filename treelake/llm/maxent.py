@@ -26,7 +26,7 @@ from .common import cut, spent
 from .words import M1, M2, Words, mix
 
 C = 32  # classes; 0 is the end of a text
-PARTS = 16  # parts of a class
+PARTS = 8  # parts of a class
 CONTEXTS = C**3
 HEAD = 200_000  # words of the broadcast dictionary: 16 bytes each
 LOWER = np.arange(256, dtype=np.uint64)
@@ -43,7 +43,7 @@ class Params:
     steps: int = 12
     rate: float = 0.15
     l2: float = 1e-7
-    rows: int = 2048  # hashed word features of each class
+    rows: int = 1024  # hashed word features of each class
     pull: float = 40.0  # tokens that hold a row's weights to what the class says
     share: float = 0.6  # of each feature's own evidence, as features overlap
     scalings: int = 1  # rounds over all training tokens
@@ -191,7 +191,7 @@ def _count(classes: np.ndarray, p: Params):
                     grams[code] += n
                 hashes.append(h), kinds.append(k)
                 held += len(h)
-                if held >= 500_000:
+                if held >= 1_500_000:
                     yield from counted()
                     hashes, kinds, held = [], [], 0
         if held:
@@ -281,11 +281,9 @@ def train_parts(counts: DataFrame, kept: DataFrame, prior: np.ndarray, p: Params
                     for at in range(0, n, 100_000):
                         r = rows[at : at + 100_000]
                         share = np.exp(part_log_p(weights, prior, r, k[at : at + 100_000]))
-                        for f in range(3):
-                            order = np.argsort(r[:, f], kind="stable")
-                            own = r[order, f]
-                            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                            total[own[first]] += np.add.reduceat(share[order], first, axis=0)
+                        own, times = r.ravel(), np.repeat(share, 3, axis=0)
+                        for j in range(PARTS):
+                            total[:, j] += np.bincount(own, times[:, j], shape[0])
             flat = total.ravel()
             key = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(flat[key])], ["key", "n"])
