@@ -191,7 +191,7 @@ def _count(classes: np.ndarray, p: Params):
                     grams[code] += n
                 hashes.append(h), kinds.append(k)
                 held += len(h)
-                if held >= 1_500_000:
+                if held >= 800_000:
                     yield from counted()
                     hashes, kinds, held = [], [], 0
         if held:
