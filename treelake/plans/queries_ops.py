@@ -734,8 +734,10 @@ def t04_resume(spark, d):
 def t06_expiry(spark, d):
     """What is older than ten days at the newest event's time expires."""
     u = S.updates(spark, d)
-    now = u.agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()[0] or 0
-    old = Hi.expired(F.unix_timestamp(F.col("ts").cast("timestamp")), F.lit(now), 86400 * 10)
+    # seconds with their fraction, of the plain clock time whatever the session's zone
+    at = F.expr("cast(cast(cast(ts as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(18, 6))").cast("double")
+    now = u.agg(F.max(at)).first()[0] or 0.0
+    old = Hi.expired(at, F.lit(now), 86400 * 10)
     return u.groupBy("ref").agg(F.count_if(old).alias("expired"), F.count_if(~old).alias("kept"))
 
 
