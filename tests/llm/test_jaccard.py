@@ -125,3 +125,54 @@ def test_crossing_keeps_every_pair_that_links():
             both = len(np.intersect1d(sets[i], sets[j]))
             if component[i] != component[j] and 100 * both >= 80 * (n[i] + n[j] - both):
                 assert keep[i] and keep[j]
+
+
+def _sent(monkeypatch):
+    """Bytes of each frame that is broadcast from now on, as a hash table's rows of 8 bytes a column or as binary."""
+    from treelake.llm import common
+
+    sent, plain = [], common.F.broadcast
+
+    def broadcast(df):
+        wide = [c for c, kind in df.dtypes if kind == "binary"]
+        size = sum((common.F.octet_length(c) for c in wide), common.F.lit(16 + 8 * len(df.columns)))
+        sent.append(df.agg(common.F.sum(size)).first()[0] or 0)
+        return plain(df)
+
+    monkeypatch.setattr(common.F, "broadcast", broadcast)
+    return sent
+
+
+def test_driver_holds_no_table_of_many_ids(spark, monkeypatch):
+    """300,000 ids among 1,000,000 rows, null and repeated ones too: the driver gets a bitmap of them, and no row is lost or let in."""
+    sent = _sent(monkeypatch)
+    rows = spark.range(-1000, 1_000_000).selectExpr("nullif(id, 7) as doc", "cast(id as string) as text")
+    rows = rows.union(rows.where("doc % 1000 = 0"))
+    docs = spark.range(0, 900_000, 3).toDF("doc")
+    join = jaccard._Join(rows, None, [], 3, 90, 100)
+    got = join.some(docs).selectExpr("count(*) as n", "count(distinct doc) as docs", "count_if(doc % 3 <> 0 or doc < 0 or doc >= 900000 or text <> doc) as wrong").first()
+    assert (got.n, got.docs, got.wrong) == (300_300, 300_000, 0)
+    assert sum(sent) < 2_000_000
+
+
+def test_labels_of_many_documents_are_not_broadcast(spark, monkeypatch):
+    """Hubs of 60,000 links and chains, 240,000 documents: labels by dealt joins."""
+    sent = _sent(monkeypatch)
+    links = spark.range(240_000).selectExpr("id as a", "case when id < 120000 then id - id % 60000 else id - id % 4 + greatest(id % 4 - 1, 0) end as b").where("a <> b")
+    now = jaccard._Join(None, None, [links], 3, 90, 100).labels()
+    wrong = now.where("label <> case when doc < 120000 then doc - doc % 60000 else doc - doc % 4 end")
+    assert now.count() == 240_000 and wrong.count() == 0
+    assert sum(sent) < 2_000_000
+
+
+def test_shuffled_joins_equal_brute_force(spark, monkeypatch):
+    """All that is broadcast on small tables is shuffled, hot keys dealt: the same classes."""
+    from treelake.llm import common
+
+    for module, name, value in ((common, "BROADCAST_ROWS", 0), (jaccard, "BROADCAST_ROWS", 0), (common, "BROADCAST_BYTES", 40_000), (common, "TOGETHER", 3)):
+        monkeypatch.setattr(module, name, value)
+    r = random.Random(5)
+    base = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(60)) for _ in range(40)]
+    rows = [(i, base[i % 40] if i < 90 else base[0] + f" x{i % 7}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in jaccard_join(df).collect()} == brute(rows)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, smallish_join, spent, spread_join
+from .common import BROADCAST_ROWS, cut, few_join, maybe_broadcast, semi_join, smallish_join, spent, spread_join
 from .components import components
 from .words import M1, M2, Words, mix
 
@@ -359,8 +359,8 @@ class _Join:
         self.radius = (den - num) * 1_000_000 // den + 2  # in millionths; 2 covers the rounding of two distances
 
     def some(self, docs: DataFrame) -> DataFrame:
-        """Texts of these documents. The texts are the heavy side: they stay where they are while the ids are few enough to go to them."""
-        return self.texts.join(maybe_broadcast(docs, docs.count()), "doc", "left_semi")
+        """Texts of these documents. The texts are the heavy side: they stay where they are while the ids are few enough to go to them, and beyond that all but those that a bitmap of the ids lets in."""
+        return semi_join(self.texts, docs, "doc", docs.count())
 
     def sets(self, docs: DataFrame) -> DataFrame:
         return cut(self.some(docs).mapInArrow(_set_rows(self.k), "doc long, shingles array<long>").where("size(shingles) > 0"))
@@ -372,9 +372,9 @@ class _Join:
 
     def distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Adds to (region, pivot, doc) the exact distance in millionths (rounded down), whether the two link, and the size."""
-        mine = sets.join(maybe_broadcast(pairs.select("region", "pivot", "doc"), pairs.count()), "doc")
-        ids = pairs.select(F.col("pivot").alias("doc"))
-        of = sets.join(maybe_broadcast(ids, pairs.count()), "doc", "left_semi").select(F.col("doc").alias("pivot"), F.col("shingles").alias("of_pivot"))
+        n = pairs.count()
+        mine = sets.join(maybe_broadcast(pairs.select("region", "pivot", "doc"), n), "doc")
+        of = semi_join(sets, pairs.select(F.col("pivot").alias("doc")), "doc", n).select(F.col("doc").alias("pivot"), F.col("shingles").alias("of_pivot"))
         both = smallish_join(mine, of, "pivot", "doc", "of_pivot", 8)
         both = both.withColumn("i", F.size(F.array_intersect("shingles", "of_pivot")).cast("long")).withColumn("u", F.size("shingles") + F.size("of_pivot") - F.col("i"))
         return both.select("region", "pivot", "doc", F.expr("(u - i) * 1000000 div u").alias("d"), F.expr(f"{self.den} * i >= {self.num} * u").alias("linked"), F.size("shingles").cast("long").alias("n"))
@@ -405,11 +405,13 @@ class _Join:
         both = cut(links.union(links.select("b", "a")).toDF("doc", "other").distinct())
         now = cut(both.groupBy("doc").agg(F.min("other").alias("other")).select("doc", F.least("doc", "other").alias("label")))
         for _ in range(ROUNDS):
-            few = maybe_broadcast(now, now.count())
-            met = both.join(few.withColumnRenamed("doc", "other"), "other").groupBy("doc").agg(F.min("label").alias("label"))
-            jumped = met.join(few.select(F.col("doc").alias("label"), F.col("label").alias("further")), "label", "left")
+            n = now.count()
+            met = few_join(both, now.withColumnRenamed("doc", "other"), "other", "doc", n).groupBy("doc").agg(F.min("label").alias("label"))
+            met = met if n <= BROADCAST_ROWS else cut(met)  # its hot labels are counted first
+            # every label is a document with a label
+            jumped = few_join(met, now.select(F.col("doc").alias("label"), F.col("label").alias("further")), "label", "doc", n)
             last, now = now, cut(jumped.select("doc", F.least("doc", "label", "further").alias("label")))
-            spent(last)
+            spent(last, met)
         spent(both)
         return now
 
